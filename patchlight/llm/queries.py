@@ -1,7 +1,9 @@
 """The queries of this subpackage and, where SQL can say them, their oracles."""
 
+from .q_archive import OP3_SQL, op3_archive
+from .q_chat_pairs import OP2_SQL, op2_chat_pairs
 from .q_line_rules import OP9_SQL, op9_line_rules
 from .q_mixing import OP10_SQL, op10_mix
 
-QUERIES = {"op9_line_rules": op9_line_rules, "op10_mix": op10_mix}
-ORACLES = {"op9_line_rules": OP9_SQL, "op10_mix": OP10_SQL}
+QUERIES = {"op2_chat_pairs": op2_chat_pairs, "op3_archive": op3_archive, "op9_line_rules": op9_line_rules, "op10_mix": op10_mix}
+ORACLES = {"op2_chat_pairs": OP2_SQL, "op3_archive": OP3_SQL, "op9_line_rules": OP9_SQL, "op10_mix": OP10_SQL}
