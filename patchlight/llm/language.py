@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vectext as vt
 
@@ -190,5 +191,5 @@ def identify(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings
             pred = pc.if_else(pa.array(known), found, pa.scalar(UNDETERMINED))
             yield pa.RecordBatch.from_arrays([*batch.columns[:size], pred, pa.array(np.where(known, np.clip(score, 0, 1), 0.0))], [*names, "lang_pred", "score"])
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return ready.mapInArrow(run, schema)

@@ -60,11 +60,8 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word in order, and for each text the index of its first word.
-
-    The second array has one more entry than there are texts.
-    """
+def _layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words, where each word begins among them, each byte's place in its word, and each text's first word."""
     full = ~_SPACE[data]
     first = full.copy()
     first[1:] &= ~full[:-1]
@@ -72,16 +69,34 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[begins] = full[begins]
     starts = np.flatnonzero(first)
     of = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return np.zeros(0, np.uint64), of
     held = data[full]
     at = np.flatnonzero(first[full])
     place = np.arange(len(held)) - np.repeat(at, np.diff(np.append(at, len(held))))
-    if int(place.max()) < _PLACES:
-        term = _PLACE[place] * _LOWER[held]
-    else:
-        term = _PLACE[place % _PLACES] * (np.uint64(2) * (place // _PLACES).astype(np.uint64) + np.uint64(1)) * _LOWER[held]
-    return mix64(np.add.reduceat(term, at)), of
+    return held, at, place, of
+
+
+def _terms(held: np.ndarray, place: np.ndarray) -> np.ndarray:
+    if not len(place) or int(place.max()) < _PLACES:
+        return _PLACE[place] * _LOWER[held]
+    return _PLACE[place % _PLACES] * (np.uint64(2) * (place // _PLACES).astype(np.uint64) + np.uint64(1)) * _LOWER[held]
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word in order, and for each text the index of its first word.
+
+    The second array has one more entry than there are texts.
+    """
+    held, at, place, of = _layout(data, offsets)
+    return (mix64(np.add.reduceat(_terms(held, place), at)) if len(at) else np.zeros(0, np.uint64)), of
+
+
+def word_heads(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of the first ``size`` bytes of each word, and how many bytes each word has."""
+    held, at, place, _ = _layout(data, offsets)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    terms = np.where(place < size, _terms(held, place), np.uint64(0))
+    return mix64(np.add.reduceat(terms, at)), np.diff(np.append(at, len(held)))
 
 
 def shingles(hashes: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
