@@ -118,7 +118,7 @@ def shingles(hashes: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray,
     out = rolled[index] if len(index) else np.zeros(0, np.uint64)
     for i in np.flatnonzero(~long & (n > 0)):
         part = hashes[of[i] : of[i + 1]]
-        out[where[i]] = (part * _TERM[: len(part)]).sum(dtype=np.uint64) + _TERM[40 + len(part)]
+        out[where[i]] = np.append(part * _TERM[: len(part)], _TERM[40 + len(part)]).sum(dtype=np.uint64)
     return mix64(out), where
 
 
