@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import saved
+
 #: Levels of the tree; what lies deeper forms one last segment.
 DEPTH = 4
 #: A node with more distinct children has a wildcard in their place.
@@ -49,17 +51,19 @@ def _shape(path: Column) -> list[Column]:
 def template_verdicts(pages: DataFrame) -> DataFrame:
     """Verdicts of path shapes, from ``host``, ``s0``.., ``bad`` (boolean, null where a page has no label).
 
-    Pages are counted by shape first; the tree, its wildcards and merges are made of those counts.
+    Pages are counted by shape first; the tree, its wildcards and merges are made of those counts. Each level is written, so that the
+    plan of the next does not hold the plans of all before it.
     """
     names = [f"s{k}" for k in range(DEPTH)]
     shapes = pages.groupBy("host", *names).agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("n_bad"))
-    tree = shapes.withColumns({f"t{k}": F.col(n) for k, n in enumerate(names)})
+    tree = saved(shapes.withColumns({f"t{k}": F.col(n) for k, n in enumerate(names)}), "url-shapes")
     for k in range(DEPTH):
         at = ["host", *[f"t{j}" for j in range(k)]]
         children = tree.groupBy(*at).agg(F.count_distinct(f"t{k}").alias("children")).filter(F.col("children") > FANOUT)
         wide = children.select(*[F.col(c).alias(f"w_{c}") for c in at])
         same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in at]
         tree = tree.join(wide, same, "left").withColumn(f"t{k}", F.when(F.col("w_host").isNotNull() & F.col(f"t{k}").isNotNull(), "*").otherwise(F.col(f"t{k}"))).drop(*wide.columns)
+        tree = saved(tree, "url-tree")
     tree = tree.withColumn("template", F.concat_ws("/", *[f"t{k}" for k in range(DEPTH)]))
     tree = tree.withColumn("depth", sum(F.col(f"t{k}").isNotNull().cast("int") for k in range(DEPTH)))
     branches = tree.groupBy("host", "depth", "template").agg(F.sum("labelled").alias("l"), F.sum("n_bad").alias("b"))
