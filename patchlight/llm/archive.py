@@ -56,7 +56,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
     records.select(header.alias("header"), "address").write.parquet(f"{path}/records")
     at = F.coalesce(F.col("page_id"), F.lit(-1))
     stored = rows.select(at.alias("at"), "address", "payload").join(chosen.select(F.coalesce("response", F.lit(-1)).alias("at"), "address"), ["at", "address"])
-    stored.dropDuplicates(["at", "address"]).select("address", "payload").write.parquet(f"{path}/payloads")
+    stored.dropDuplicates(["at", "address"]).select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
