@@ -231,7 +231,7 @@ SQL = {
     "majority_vote": f"{_MATRIX} SELECT l_orderkey, l_linenumber, mv_label FROM m",
     "vote_patterns": f"{_MATRIX} SELECT {_NAMES}, count(*) AS n FROM vm GROUP BY ALL",
     "votes_long": f"{_MATRIX} " + " UNION ALL ".join(f"SELECT '{c}' AS lf, {c} AS vote, count(*) AS n FROM vm GROUP BY 2" for c in VOTES),
-    "votes_wide": f"{_MATRIX} SELECT l_orderkey, l_linenumber, {_NAMES} FROM vm",
+    "votes_wide": f"{_MATRIX} SELECT l_orderkey, l_linenumber, {', '.join(f'max({c}) AS {c}' for c in VOTES)} FROM vm GROUP BY 1, 2",
     "vote_table": f"{_MATRIX} {_lf_rows(POLARITY, 'm', 'is_gold')}",
     "vote_headline": f"""{_MATRIX} SELECT count(*) AS n_rows, count(*) FILTER (WHERE y + n > 0) AS any_vote, count(*) FILTER (WHERE y + n = 0) AS no_vote, count(*) FILTER (WHERE mv_label = 1) AS flagged,
       count(*) FILTER (WHERE is_gold) AS gold, count(*) FILTER (WHERE is_gold AND mv_label = 1) AS gold_by_model, count(*) FILTER (WHERE is_gold AND mv_label = 1) AS gold_by_majority,
@@ -240,7 +240,7 @@ SQL = {
     "threshold_sweep": f"{_MATRIX}, s AS (SELECT *, {_PRED} AS p FROM m) " + " UNION ALL ".join(f"SELECT {c}::DOUBLE AS threshold, count(*) FILTER (WHERE p >= {c}::DOUBLE) AS flagged, count(*) FILTER (WHERE p >= {c}::DOUBLE AND is_gold) AS gold_recovered FROM s" for c in (0.9, 0.8, 0.7, 0.6, 0.5, 0.27, 0.1)),
     "label_distribution": f"{_MATRIX} SELECT mv_label AS label, count(*) AS n, count(*) / (SELECT count(*) FROM m) AS share FROM m GROUP BY 1",
     "gold_recall": f"{_MATRIX} SELECT count(*) FILTER (WHERE is_gold) AS gold, count(*) FILTER (WHERE is_gold AND mv_label = 1) AS recovered, (count(*) FILTER (WHERE is_gold AND mv_label = 1)) / (count(*) FILTER (WHERE is_gold)) AS recall, count(*) FILTER (WHERE NOT is_gold AND mv_label = 1) AS extra FROM m WHERE mv_label <> -1",
-    "cofire": f"{_MATRIX}, f AS (SELECT l_orderkey, l_linenumber, unnest(list_filter([{_YES}], lambda x: x IS NOT NULL)) AS lf FROM vm) SELECT a.lf AS a, b.lf AS b, count(*) AS n FROM f a JOIN f b USING (l_orderkey, l_linenumber) WHERE a.lf <= b.lf GROUP BY 1, 2",
+    "cofire": f"{_MATRIX}, r AS (SELECT *, row_number() OVER () AS k FROM vm), f AS (SELECT k, unnest(list_filter([{_YES}], lambda x: x IS NOT NULL)) AS lf FROM r) SELECT a.lf AS a, b.lf AS b, count(*) AS n FROM f a JOIN f b USING (k) WHERE a.lf <= b.lf GROUP BY 1, 2",
     "vetoes": f"{_MATRIX}, f AS (SELECT y, unnest(list_filter([{_NO}], lambda x: x IS NOT NULL)) AS lf FROM m WHERE is_gold) SELECT lf, count(*) AS n, count(*) FILTER (WHERE y = 0) AS lone FROM f GROUP BY 1",
     "by_repo": f"{_MATRIX} SELECT repo, count(*) AS commits, count(*) FILTER (WHERE y + n > 0) AS any_vote, count(*) FILTER (WHERE y > 0) AS any_positive, count(*) FILTER (WHERE is_gold) AS gold, count(*) FILTER (WHERE mv_label = 1) AS flagged, round((count(*) FILTER (WHERE mv_label = 1)) * 100 / count(*), 2) AS flagged_percent FROM m GROUP BY 1",
     "gold_detail": f"{_MATRIX} SELECT l_orderkey, l_linenumber, array_to_string(list_filter([{_YES}], lambda x: x IS NOT NULL), ',') AS positives, array_to_string(list_filter([{_NO}], lambda x: x IS NOT NULL), ',') AS vetoes, mv_label FROM m WHERE is_gold",

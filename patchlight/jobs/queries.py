@@ -204,7 +204,7 @@ def gold_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 def missed_gold(spark: SparkSession, sf: str) -> DataFrame:
     missed = majority_matrix(spark, sf).filter("is_gold and mv_label <> 1")
-    return missed.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if("mv_label = -1").alias("abstained"), F.count_if("n_negative > 0").alias("vetoed"))
+    return missed.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("mv_label = -1")).alias("abstained"), F.count_if(F.expr("n_negative > 0")).alias("vetoed"))
 
 
 QUERIES: dict[str, Query] = {

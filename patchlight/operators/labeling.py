@@ -185,4 +185,5 @@ def long_votes(votes: DataFrame, names: Sequence[str], *ids: str) -> DataFrame:
 
 
 def wide_votes(votes: DataFrame, names: Sequence[str], *ids: str) -> DataFrame:
-    return votes.groupBy(*ids).pivot("lf", [*names]).agg(F.first("vote"))
+    """Rows as vote columns again; of several votes of one function on one id the largest counts."""
+    return votes.groupBy(*ids).pivot("lf", [*names]).agg(F.max("vote"))

@@ -48,17 +48,17 @@ def headline(votes: DataFrame, polarity: Mapping[str, int], *, label: str = "lab
     rows = votes.select(yes.alias("y"), no.alias("n"), g.alias("g"), F.col(label).alias("l"), F.col(mv).alias("m"))
     return rows.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_if("y + n > 0").alias("any_vote"),
-        F.count_if("y + n = 0").alias("no_vote"),
-        F.count_if("l = 1").alias("flagged"),
+        F.count_if(F.expr("y + n > 0")).alias("any_vote"),
+        F.count_if(F.expr("y + n = 0")).alias("no_vote"),
+        F.count_if(F.expr("l = 1")).alias("flagged"),
         F.count_if("g").alias("gold"),
-        F.count_if("g and l = 1").alias("gold_by_model"),
-        F.count_if("g and m = 1").alias("gold_by_majority"),
-        F.count_if("g and y > 0").alias("gold_with_positive"),
-        F.count_if("g and n > 0").alias("gold_vetoed"),
-        F.count_if("y > 0").alias("any_positive"),
-        F.count_if("n > 0").alias("any_negative"),
-        F.count_if("y > 0 and n > 0").alias("both_sides"),
+        F.count_if(F.expr("g and l = 1")).alias("gold_by_model"),
+        F.count_if(F.expr("g and m = 1")).alias("gold_by_majority"),
+        F.count_if(F.expr("g and y > 0")).alias("gold_with_positive"),
+        F.count_if(F.expr("g and n > 0")).alias("gold_vetoed"),
+        F.count_if(F.expr("y > 0")).alias("any_positive"),
+        F.count_if(F.expr("n > 0")).alias("any_negative"),
+        F.count_if(F.expr("y > 0 and n > 0")).alias("both_sides"),
     )
 
 
@@ -103,7 +103,7 @@ def by_repo(votes: DataFrame, names: Sequence[str], gold: str = "is_gold", mv: s
     """Per repository: commits, any vote, any positive, gold, flagged and its percentage to two places."""
     yes, no = n_votes(names, 1), n_votes(names, 0)
     rows = votes.select("repo", yes.alias("y"), no.alias("n"), F.coalesce(F.col(gold), F.lit(False)).alias("g"), F.col(mv).alias("m"))
-    out = rows.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.count_if("y + n > 0").alias("any_vote"), F.count_if("y > 0").alias("any_positive"), F.count_if("g").alias("gold"), F.count_if("m = 1").alias("flagged"))
+    out = rows.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.count_if(F.expr("y + n > 0")).alias("any_vote"), F.count_if(F.expr("y > 0")).alias("any_positive"), F.count_if("g").alias("gold"), F.count_if(F.expr("m = 1")).alias("flagged"))
     return out.withColumn("flagged_percent", F.round(F.col("flagged") * 100 / F.col("commits"), 2))
 
 
@@ -116,7 +116,7 @@ def gold_detail(votes: DataFrame, polarity: Mapping[str, int], *ids: str, gold:
 def conversion(votes: DataFrame, names: Sequence[str], label: str = "label") -> DataFrame:
     """Rows by number of positive votes (3 stands for more): ``n_positive``, ``n`` and how many are labeled security."""
     rows = votes.select(F.least(n_votes(names, 1), F.lit(3)).alias("n_positive"), F.col(label).alias("l"))
-    return rows.groupBy("n_positive").agg(F.count(F.lit(1)).alias("n"), F.count_if("l = 1").alias("labeled"))
+    return rows.groupBy("n_positive").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("l = 1")).alias("labeled"))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
