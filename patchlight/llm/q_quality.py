@@ -9,12 +9,12 @@ from .quality import grade_of, rate
 LEAST_TOP = 0.5
 
 
-def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min(grade_of(F.col("quality"), F.col("toxic"))).alias("grade"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    graded = rate(docs, rated(spark, docs, sf_dir))
+    graded = rate(docs, ratings(spark, sf_dir))
     return graded.select("doc_id", "expected_grade", "p_top", "p_bottom", (F.col("p_top") >= LEAST_TOP).alias("selected"))

@@ -131,12 +131,11 @@ def fit(found: np.ndarray, where: np.ndarray, target: np.ndarray, grades: list[i
     return Ordinal(grades, w, cuts())
 
 
-def _sample(rated: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sample(docs: DataFrame, ratings: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features and grades of a bounded number of documents of each grade, drawn by the hash of their ids."""
-    usable = rated.filter(F.col("grade").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     draw = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "grade").withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= settings.docs_each).select("doc_id", "grade").distinct()
-    texts = usable.join(F.broadcast(ids), ["doc_id", "grade"]).select("doc_id", "grade", "text")
+    ids = ratings.withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= settings.docs_each).select("doc_id", "grade")
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,19 +153,20 @@ def _sample(rated: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarra
     return lists.flatten().to_numpy().astype(np.int64), (offsets - offsets[0]).astype(np.int64), table["grade"].to_numpy()
 
 
-def rate(docs: DataFrame, rated: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def rate(docs: DataFrame, ratings: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Expected grade of every text: the columns of ``docs``, then ``expected_grade``, ``p_top`` and ``p_bottom``.
 
-    ``rated`` (``doc_id``, ``text``, ``grade`` as an int) teaches, with a bounded number of documents of each grade. ``p_top`` is the
-    tail probability of the highest grade, ``p_bottom`` that of the lowest; ``expected_grade`` weighs the grades by theirs.
+    ``ratings`` (``doc_id``, ``grade`` as an int) of any of the documents teach, with a bounded number of each grade, drawn before any text
+    is read; of several grades of a document the lowest counts. ``p_top`` is the tail probability of the highest grade, ``p_bottom`` that of the lowest; ``expected_grade`` weighs the grades by theirs.
 
     A null text is an empty one, judged by the thresholds alone. With fewer than two grades to learn from, the only grade (or 0)
     is expected, with p_top 1 and p_bottom 0. Repeated rows are judged alike; an empty table gives an empty result; columns
     that have the names of the new ones are replaced.
     """
-    found, where, grade = _sample(rated, settings)
+    known = ratings.filter(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    found, where, grade = _sample(docs, known, settings)
     grades = sorted({int(g) for g in grade})
-    sizes = {int(r["grade"]): r["count"] for r in rated.filter(F.col("grade").isin(grades)).groupBy("grade").count().collect()} if len(grades) > 1 else {}
+    sizes = {int(r["grade"]): r["count"] for r in known.filter(F.col("grade").isin(grades)).groupBy("grade").count().collect()} if len(grades) > 1 else {}
     model = fit(found, where, np.searchsorted(grades, grade), grades, np.array([float(sizes[g]) for g in grades]), settings) if len(grades) > 1 else None
     sent = docs.sparkSession.sparkContext.broadcast((model, grades))
     new = ("expected_grade", "p_top", "p_bottom")
