@@ -14,7 +14,7 @@ from patchlight.llm.language import UNDETERMINED, identify
 from patchlight.llm.lm_scoring import remainder
 from patchlight.llm.mixing import mix
 from patchlight.llm.ngram_join import ngram_groups
-from patchlight.llm.q_quality import LEAST_TOP, rated
+from patchlight.llm.q_quality import LEAST_TOP, ratings
 from patchlight.llm.quality import rate
 from patchlight.llm.storage import saved
 
@@ -31,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the texts that are more likely of the best grade than not; toxic ones have the lowest."""
-    graded = rate(docs, rated(spark, docs, sf_dir))
+    graded = rate(docs, ratings(spark, sf_dir))
     return graded.filter(F.col("p_top") >= LEAST_TOP).select(*docs.columns)
 
 
