@@ -111,7 +111,7 @@ def shingles(hashes: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), where
     total = len(hashes)
     rolled = np.zeros(total, np.uint64)
-    for k in range(size):
+    for k in range(min(size, total)):
         rolled[: total - k] += hashes[k:] * _TERM[k]
     long = n >= size
     index = np.arange(int(counts.sum())) - np.repeat(where[:-1], counts) + np.repeat(of[:-1], counts)
