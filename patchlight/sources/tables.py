@@ -49,7 +49,7 @@ def read_log_records(spark: SparkSession, path: str) -> DataFrame:
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
     """One patch per file, named by its commit: ``sha``, ``diff_text``."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_name", r"([0-9a-f]{7,40})", 1).alias("sha"), F.col("value").alias("diff_text"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"([0-9a-f]{7,40})", 1).alias("sha"), F.col("value").alias("diff_text"))
 
 
 def read_citations(spark: SparkSession, path: str | None, commits: DataFrame) -> DataFrame:
