@@ -44,7 +44,7 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a log dump, each ended by 0x1E, as ``value``."""
-    return spark.read.option("lineSep", "\x1e").text(path).filter(F.trim("value") != "")
+    return spark.read.option("lineSep", "\x1e").text(path).filter(F.col("value").rlike(r"\S"))
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
