@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import vocabulary as v
-from ..operators.labeling import FAMILIES, MESSAGE, POSITIVE
+from ..operators.labeling import ALL_WITH_DIFF, FAMILIES, MESSAGE, POSITIVE
 from .fixtures import POLARITY, VOTES, commits_cte, cves_cte, osv_cte, votes_cte
 
 #: The class pattern without its lookahead, and the alternative that has it, by counts.
@@ -192,7 +192,19 @@ _YES = ", ".join(f"CASE WHEN {c} = 1 THEN '{c}' END" for c in VOTES)
 _NO = ", ".join(f"CASE WHEN {c} = 0 THEN '{c}' END" for c in VOTES)
 _NAMES = ", ".join(VOTES)
 
+_CITED = f"""asked AS (SELECT sha FROM commits WHERE {release_subject()} OR is_merge),
+notes AS (SELECT sha, k, unnest(string_split(s, chr(10))) AS x, unnest(range(len(string_split(s, chr(10))))) AS p FROM pathed SEMI JOIN asked USING (sha) WHERE regexp_matches(path, '(\\.md|\\.rst)$|(^|/)\\.changeset/|NEWS|CHANGES')),
+added AS (SELECT a.sha, coalesce(string_agg(substr(x, 2), chr(10) ORDER BY k, p), '') AS t FROM asked a LEFT JOIN (SELECT * FROM notes WHERE left(x, 1) = '+' AND left(x, 3) <> '+++') USING (sha) GROUP BY a.sha),
+cited AS (SELECT DISTINCT sha, left(ref, 7) AS p7 FROM (SELECT sha, unnest(regexp_extract_all(t, '{v.SHA_REFERENCE}', 1)) AS ref FROM added)),
+hits AS (SELECT DISTINCT sha FROM cited WHERE p7 <> left(sha, 7) AND p7 IN (SELECT left(sha, 7) FROM seeded WHERE seed))"""
+_EVERY = f"""mv AS (SELECT sha, is_gold, is_merge, {_votes(MESSAGE)} FROM facts), dv AS (SELECT sha, {_DIFF_VOTES} FROM dg),
+av AS (SELECT mv.*, dv.* EXCLUDE (sha), CASE WHEN w.release_window_positive THEN 1 ELSE -1 END::TINYINT AS lf_release_of_security_fix,
+  CASE WHEN NOT mv.is_merge AND h.sha IS NOT NULL THEN 1 ELSE -1 END::TINYINT AS lf_patch_cites_fix_commit
+  FROM mv JOIN dv USING (sha) JOIN fired w USING (sha) LEFT JOIN hits h USING (sha)),
+ac AS (SELECT *, {_sum(ALL_WITH_DIFF, 1)} AS y, {_sum(ALL_WITH_DIFF, 0)} AS n FROM av)"""
+
 SQL = {
+    "all_lf_summary": f"{_WITH}, {_SEEDED}, {_WINDOW}, {_SECTIONS}, {_LINES}, {_DIFF_FACTS}, {_CITED}, {_EVERY} {_lf_rows({lf.name: lf.polarity for lf in ALL_WITH_DIFF}, 'ac', 'is_gold')}",
     "lf_summary": f"{_MESSAGE} {_lf_rows({lf.name: lf.polarity for lf in MESSAGE}, 'counted', 'is_gold')}",
     "lf_votes": f"{_MESSAGE} SELECT sha, {', '.join(lf.name for lf in MESSAGE)}, CASE WHEN y > n THEN 1 WHEN n > y THEN 0 ELSE -1 END::TINYINT AS mv_label FROM counted",
     "seed_votes": f"{_WITH}, {_SEEDED} SELECT sha, seed FROM seeded",
@@ -213,12 +225,7 @@ SQL = {
       u AS (SELECT *, fits AND sum(fits::INT) OVER (PARTITION BY sha ORDER BY fp, lp ROWS UNBOUNDED PRECEDING) <= 600 AS shown FROM t)
       SELECT sha, count(DISTINCT fp) AS n_files, count(DISTINCT fp) FILTER (WHERE shown) AS n_files_shown, count(*) AS n_lines, count(*) FILTER (WHERE shown) AS n_lines_shown,
         coalesce(string_agg(left(x, 500), chr(10) ORDER BY fp, lp) FILTER (WHERE shown), '') AS excerpt FROM u GROUP BY sha""",
-    "citations": f"""{_WITH}, {_SEEDED}, {_SECTIONS}, asked AS (SELECT sha FROM commits WHERE {release_subject()} OR is_merge),
-      notes AS (SELECT sha, k, unnest(string_split(s, chr(10))) AS x, unnest(range(len(string_split(s, chr(10))))) AS p FROM pathed SEMI JOIN asked USING (sha) WHERE regexp_matches(path, '(\\.md|\\.rst)$|(^|/)\\.changeset/|NEWS|CHANGES')),
-      added AS (SELECT a.sha, coalesce(string_agg(substr(x, 2), chr(10) ORDER BY k, p), '') AS t FROM asked a LEFT JOIN (SELECT * FROM notes WHERE left(x, 1) = '+' AND left(x, 3) <> '+++') USING (sha) GROUP BY a.sha),
-      cited AS (SELECT DISTINCT sha, left(ref, 7) AS p7 FROM (SELECT sha, unnest(regexp_extract_all(t, '{v.SHA_REFERENCE}', 1)) AS ref FROM added)),
-      hits AS (SELECT DISTINCT sha FROM cited WHERE p7 <> left(sha, 7) AND p7 IN (SELECT left(sha, 7) FROM seeded WHERE seed))
-      SELECT sha, {found('t', v.ADVISORY_ID)} AS patch_cites_advisory, sha IN (SELECT sha FROM hits) AS patch_cites_fix_commit FROM added""",
+    "citations": f"{_WITH}, {_SEEDED}, {_SECTIONS}, {_CITED} SELECT sha, {found('t', v.ADVISORY_ID)} AS patch_cites_advisory, sha IN (SELECT sha FROM hits) AS patch_cites_fix_commit FROM added",
     "stratified_sample": f"{_WITH}, {_STRATA} SELECT sha, stratum FROM drawn",
     "stratum_sizes": f"{_WITH}, {_STRATA} SELECT stratum, count(*) AS n, sum(length(diff_text))::BIGINT AS chars, count(*) FILTER (WHERE diff_text = '') AS empty FROM drawn GROUP BY 1",
     "seeded_sample": f"WITH {commits_cte()} SELECT sha, repo FROM commits ORDER BY md5('7:' || sha), sha LIMIT 100",

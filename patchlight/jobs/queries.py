@@ -22,6 +22,8 @@ MESSAGE = {lf.name: lf.polarity for lf in labeling.MESSAGE}
 VOTES = list(fx.POLARITY)
 POSITIVE = [c for c, p in fx.POLARITY.items() if p == 1]
 NEGATIVE = [c for c, p in fx.POLARITY.items() if p == 0]
+#: Class prior of the vote matrix, and so the probability above which votes speak for a row.
+PRIOR = 0.4
 CUTS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.27, 0.1)
 
 
@@ -88,8 +90,8 @@ def votes_wide(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_labels(spark: SparkSession, sf: str) -> DataFrame:
     votes = fx.vote_matrix(spark, sf)
-    model = combine.fit_label_model(combine.patterns(votes, VOTES), VOTES, 0.3, weight="n")
-    return combine.with_labels(votes, model)
+    model = combine.fit_label_model(combine.patterns(votes, VOTES), VOTES, PRIOR, weight="n")
+    return combine.with_labels(votes, model, PRIOR)
 
 
 def label_model(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +99,7 @@ def label_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lf_accuracies(spark: SparkSession, sf: str) -> DataFrame:
-    model = combine.fit_label_model(combine.patterns(fx.vote_matrix(spark, sf), VOTES), VOTES, 0.3, weight="n")
+    model = combine.fit_label_model(combine.patterns(fx.vote_matrix(spark, sf), VOTES), VOTES, PRIOR, weight="n")
     return spark.createDataFrame(model.accuracies(), "lf string, accuracy double")
 
 
@@ -112,7 +114,7 @@ def ablations(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for name, lfs in subsets.items():
         part = counted.groupBy(*lfs, "is_gold").agg(F.sum("n").alias("n"))
-        scored = combine.with_labels(part, combine.fit_label_model(part, lfs, 0.3, weight="n"))
+        scored = combine.with_labels(part, combine.fit_label_model(part, lfs, PRIOR, weight="n"), PRIOR)
         row = scored.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("flagged"), F.sum(F.when((F.col("label") == 1) & F.col("is_gold"), F.col("n")).otherwise(0)).alias("gold")).select(F.lit(name).alias("subset"), "flagged", "gold")
         out = row if out is None else out.unionByName(row)
     return out
