@@ -22,3 +22,52 @@ def test_near_copies_leave_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
     kept = corpus_pipeline.near_copy_stage(spark, docs, SF).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 2), (False, 3), (False, 7), (True, 0)]
+
+
+def shingled(text, size):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({("only", *w)} if w else set())
+
+
+def test_last_three_stages_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    kept, result = docs, []
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        kept = corpus_pipeline.saved(stage(spark, kept, SF), name)
+        result.append(kept)
+
+    sets = {k: shingled(r["text"], 5) for k, r in rows.items()}
+    smallest = {}
+    for k in sorted(rows):
+        links = [j for j in rows if sets[k] and sets[j] and 100 * len(sets[k] & sets[j]) >= 80 * len(sets[k] | sets[j])]
+        group = {k}.union(*[smallest[j] for j in links if j in smallest])
+        for j in group:
+            smallest[j] = group
+    alone = {k for k in rows if k == min(smallest[k])}
+    assert {r["doc_id"] for r in result[0].collect()} == alone
+
+    items = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        items.setdefault(r["item_id"], set()).update(shingled(r["text"], 5))
+    clean = {k for k in alone if not any(i and len(i & sets[k]) >= 0.8 * len(i) for i in items.values())}
+    assert {r["doc_id"] for r in result[1].collect()} == clean
+
+    sizes = {k: len((rows[k]["text"] or "").encode().split()) for k in clean}
+    sources = sorted({rows[k]["source"] for k in clean}, key=lambda s: (s is None, s))
+    total = {s: sum(n for k, n in sizes.items() if rows[k]["source"] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    full = set()
+    while True:
+        level = (sum(total.values()) - sum(3 * total[s] for s in full)) / sum(weight[s] for s in sources if s not in full)
+        over = {s for s in sources if s not in full and level * weight[s] > 3 * total[s]}
+        if not over:
+            break
+        full |= over
+    target = {s: 3 * total[s] if s in full else level * weight[s] for s in sources}
+    mixed = result[2].collect()
+    assert {r["doc_id"] for r in mixed} <= clean
+    for s in sources:
+        own = [r for r in mixed if r["source"] == s]
+        assert all(abs(r["target"] - target[s]) < 1e-6 * target[s] for r in own)
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= max(sizes.values())
