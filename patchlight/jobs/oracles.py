@@ -235,6 +235,12 @@ SQL = {
       SELECT lf, fired, n, p AS rate, greatest(0, (p + 1.96 * 1.96 / (2 * n)) / s - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / s)::DOUBLE AS low,
         least(1, (p + 1.96 * 1.96 / (2 * n)) / s + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / s)::DOUBLE AS high,
         CASE WHEN p < 0.005 THEN 'precise' WHEN p < 0.02 THEN 'usable' ELSE 'loose' END AS verdict FROM w""",
+    "control_trips": f"{_WITH}, {_STRATA}, {_SECTIONS}, {_LINES}, {_DIFF_FACTS}, c AS (SELECT {_DIFF_VOTES} FROM dg SEMI JOIN (SELECT sha FROM drawn WHERE stratum = 'control') USING (sha)), t AS (SELECT count(*) AS n, count(*) FILTER (WHERE greatest({', '.join(b for *_, b in FAMILIES)}) = 1) AS tripped FROM c) SELECT n, tripped, tripped / n AS rate, tripped / n * (SELECT count(*) FROM commits) AS expected FROM t",
+    "family_table": f"{_WITH}, {_SECTIONS}, {_LINES}, {_DIFF_FACTS}, c AS (SELECT is_gold, {_DIFF_VOTES} FROM dg) "
+    + " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) FILTER (WHERE is_gold AND {s} = 0) AS surface_vetoes, count(*) FILTER (WHERE is_gold AND {m} = 1) AS mitigation_hits, count(*) FILTER (WHERE is_gold AND {b} = 1) AS both_hits FROM c" for f, s, m, b in FAMILIES),
+    "fired_sample": f"{_WITH} SELECT sha, repo, subject FROM facts WHERE class ORDER BY md5('5:' || sha), sha LIMIT 20",
+    "kept_cves": f"WITH {_CVE_LINKS}, k AS (SELECT cve_id, count(kind) AS n_patch_refs FROM links GROUP BY 1 HAVING count(kind) > 0) SELECT cve_id, published, n_patch_refs FROM cves JOIN k USING (cve_id) ORDER BY published, cve_id LIMIT 100",
+    "weak_functions": f"{_MESSAGE}, w AS ({_lf_rows({lf.name: lf.polarity for lf in MESSAGE}, 'counted', 'is_gold')}) SELECT lf, fired, CASE WHEN fired = 0 THEN 'dead' ELSE 'thin' END AS state FROM w WHERE coverage < 0.01",
     "majority_vote": f"{_MATRIX} SELECT l_orderkey, l_linenumber, mv_label FROM m",
     "vote_patterns": f"{_MATRIX} SELECT {_NAMES}, count(*) AS n FROM vm GROUP BY ALL",
     "votes_long": f"{_MATRIX} " + " UNION ALL ".join(f"SELECT '{c}' AS lf, {c} AS vote, count(*) AS n FROM vm GROUP BY 2" for c in VOTES),

@@ -209,6 +209,31 @@ def missed_gold(spark: SparkSession, sf: str) -> DataFrame:
     return missed.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("mv_label = -1")).alias("abstained"), F.count_if(F.expr("n_negative > 0")).alias("vetoed"))
 
 
+def control_trips(spark: SparkSession, sf: str) -> DataFrame:
+    voted = labeling.apply_lfs(df_ops.with_hunks(strata(spark, sf)), labeling.DIFF)
+    both = [b for *_, b in labeling.FAMILIES]
+    tripped = measure.control_trips(voted, both, F.lit(1.0))
+    size = fx.commits(spark, sf).agg(F.count(F.lit(1)).alias("corpus"))
+    return tripped.join(size).select("n", "tripped", "rate", (F.col("rate") * F.col("corpus")).alias("expected"))
+
+
+def family_table(spark: SparkSession, sf: str) -> DataFrame:
+    voted = labeling.apply_lfs(hunks(spark, sf), labeling.DIFF)
+    return measure.family_table(voted, labeling.FAMILIES)
+
+
+def fired_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty commits that one function fired on, drawn by hash."""
+    voted = labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE).filter(F.col("lf_vuln_class") != -1)
+    return sampling.sample(voted.select("sha", "repo", "subject"), 20, 5)
+
+
+def kept_cves(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred CVEs, by date, that name a repository and a patch."""
+    found = links(spark, sf).groupBy("cve_id").agg(F.count("kind").alias("n_patch_refs")).filter("n_patch_refs > 0")
+    return cves(spark, sf).select("cve_id", "published").join(found, "cve_id").orderBy("published", "cve_id").limit(100)
+
+
 QUERIES: dict[str, Query] = {
     "lf_summary": lf_summary,
     "lf_votes": lf_votes,
@@ -227,6 +252,11 @@ QUERIES: dict[str, Query] = {
     "stratum_sizes": lambda s, d: sampling.stratum_sizes(strata(s, d)),
     "seeded_sample": lambda s, d: sampling.sample(fx.commits(s, d).select("sha", "repo"), 100, 7),
     "control_rates": control_rates,
+    "control_trips": control_trips,
+    "family_table": family_table,
+    "fired_sample": fired_sample,
+    "kept_cves": kept_cves,
+    "weak_functions": lambda s, d: measure.weak_functions(lf_summary(s, d)),
     "majority_vote": lambda s, d: majority_matrix(s, d).select("l_orderkey", "l_linenumber", "mv_label"),
     "vote_patterns": lambda s, d: combine.patterns(fx.vote_matrix(s, d), VOTES),
     "votes_long": votes_long,

@@ -137,3 +137,24 @@ def control_rates(sample: DataFrame, names: Sequence[str], stratum: str = "strat
     rate = F.coalesce(F.col("fired") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
     verdict = F.when(rate < 0.005, "precise").when(rate < 0.02, "usable").otherwise("loose")
     return rows.select("lf", "fired", "n", rate.alias("rate"), low.alias("low"), high.alias("high"), verdict.alias("verdict"))
+
+
+def weak_functions(table: DataFrame, thin: float = 0.01) -> DataFrame:
+    """Functions of ``lf_table`` that never fire (dead) or on fewer than one row in a hundred (thin)."""
+    return table.filter(F.col("coverage") < thin).select("lf", "fired", F.when(F.col("fired") == 0, "dead").otherwise("thin").alias("state"))
+
+
+def family_table(votes: DataFrame, families: Sequence[tuple[str, str, str, str]], gold: str = "is_gold") -> DataFrame:
+    """Per family, on gold rows: those its surface vetoes, its mitigation hits and both together hit."""
+    g = F.coalesce(F.col(gold), F.lit(False))
+    sums = [x for f, s, m, b in families for x in (F.count_if(g & (F.col(s) == 0)).alias(f"{f}|s"), F.count_if(g & (F.col(m) == 1)).alias(f"{f}|m"), F.count_if(g & (F.col(b) == 1)).alias(f"{f}|b"))]
+    rows = F.array(*[F.struct(F.lit(f).alias("family"), F.col(f"`{f}|s`").alias("surface_vetoes"), F.col(f"`{f}|m`").alias("mitigation_hits"), F.col(f"`{f}|b`").alias("both_hits")) for f, *_ in families])
+    return votes.agg(*sums).select(F.explode(rows).alias("x")).select("x.*")
+
+
+def control_trips(sample: DataFrame, conjunctions: Sequence[str], corpus_rows: Column, stratum: str = "stratum") -> DataFrame:
+    """Control rows on which any conjunction fires, their rate, and what that makes of so many rows."""
+    trips = F.greatest(*[F.col(c) for c in conjunctions]) == 1
+    one = sample.filter(F.col(stratum) == "control").agg(F.count(F.lit(1)).alias("n"), F.count_if(trips).alias("tripped"))
+    rate = F.coalesce(F.col("tripped") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
+    return one.select("n", "tripped", rate.alias("rate"), (rate * corpus_rows).alias("expected"))
