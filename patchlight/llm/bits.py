@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,6 @@ def build_filter(keys: DataFrame, col: str) -> Filter:
     """The filter of a column of longs. Tasks hand on the bytes of the tables that they set; the driver gets at most 4 MB."""
 
     def run(batches):
-        import pyarrow as pa
-
         tables = [np.zeros(1 << FILTER_BITS, bool) for _ in _SALTS]
         for batch in batches:
             values = batch.column(0).drop_null().to_numpy()
@@ -61,3 +62,23 @@ def build_filter(keys: DataFrame, col: str) -> Filter:
     return Filter(tables)
 
 
+
+
+def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """``rows`` whose id (a long; null never) is not among ``ids``: an anti-join that moves only rows that may be among them.
+
+    A filter of fixed size parts the rows. What it lets pass is joined exactly, so a full filter costs time, not results.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(build_filter(ids, col))
+    at = rows.columns.index(col)
+
+    def parted(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(at)
+                passes = sent.value.passes(own.fill_null(0).to_numpy()) & own.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(passes == wanted))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return parted(False).unionByName(parted(True).join(ids, col, "left_anti").select(*rows.columns))

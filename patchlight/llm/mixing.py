@@ -44,8 +44,9 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3,
 
     A source is repeated ``floor(target / source_size)`` times whole. For the fraction that remains, documents
     join in the order of a seeded draw until the words so far come nearest to the target, so a source's taken words
-    miss it by at most half a document. The order is met in two steps, sums by bucket of the draw and then the
-    rows inside each bucket, so that no source is sorted by a single task.
+    miss it by at most half a document. Where a source's order is cut follows from sums by bucket of the draw and the rows of the one
+    bucket that the cut falls in, so that no source is sorted by a single task and no text moves: each
+    document is compared with its source's cut.
 
     Null text has size 0; null sources form one source, the last; an empty table gives an empty result; equal
     rows are documents of their own. Columns of ``docs`` that have the names of the new ones are replaced. Reruns agree.
@@ -54,19 +55,24 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3,
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
     kept = docs.drop(*[c for c in new if c in docs.columns])
     sized = kept.withColumns({"size": n_words(F.col(text_col)), "__draw": draw}).withColumn("__bucket", F.shiftright("__draw", 32 - BUCKET_BITS))
-    narrow = sized.select(F.col(source_col).alias("source"), F.col(id_col).alias("__id"), "size", "__draw", "__bucket")
+    place = lambda i: F.struct(F.col("__draw"), i.isNull().alias("none"), i.alias("id"), F.col("size"))
+    narrow = sized.select(F.col(source_col).alias("source"), "__bucket", "size", place(F.col(id_col)).alias("place"))
     buckets = narrow.groupBy("source", "__bucket").agg(F.sum("size").alias("held"))
     goals = targets(buckets.groupBy("source").agg(F.sum("held").cast("long").alias("source_size")), weights, epochs)
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    earlier = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
-    same = F.col("s.source").eqNullSafe(F.col("g.source"))
-    starts = starts.alias("s").join(goals.alias("g"), same).select("s.source", "s.__bucket", "s.before", "g.source_size", "g.target", "g.whole", "g.part")
-    placed = sized.alias("d").join(starts.alias("s"), F.col(f"d.{source_col}").eqNullSafe(F.col("s.source")) & (F.col("d.__bucket") == F.col("s.__bucket")))
-    placed = placed.select("d.*", "s.before", "s.source_size", "s.target", "s.whole", "s.part")
-    inside = Window.partitionBy(source_col, "__bucket").orderBy("__draw", F.col(id_col).asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = buckets.withColumn("upto", F.sum("held").over(upto)).alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")))
+    # The first bucket that goes beyond the fraction; all before it are taken.
+    beyond = F.min(F.when(F.col("upto") > F.col("part"), F.struct(F.col("__bucket"), (F.col("upto") - F.col("held")).alias("before"))))
+    cuts = summed.groupBy("g.source", "source_size", "target", "whole", "part").agg(beyond.alias("cut"))
+    cuts = cuts.select("source", "source_size", "target", "whole", "part", F.coalesce("cut.__bucket", F.lit(1 << BUCKET_BITS)).alias("last"), "cut.before")
+    met = narrow.alias("n").join(cuts.alias("c"), F.col("n.source").eqNullSafe(F.col("c.source")) & (F.col("n.__bucket") == F.col("c.last"))).select("c.source", "n.place", "n.size", "c.before", "c.part")
+    inside = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
-    taken = placed.withColumn("copies", (F.col("whole") + F.when((F.col("part") > 0) & (reached <= F.col("part")), 1).otherwise(0)).cast("int"))
-    taken = taken.withColumn("taken", F.col("copies") * F.col("size"))
+    ends = met.withColumn("reached", reached).filter(F.col("reached") <= F.col("part")).groupBy("source").agg(F.max("place").alias("end"))
+    cuts = cuts.alias("c").join(ends.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source")), "left").select("c.*", "e.end")
+    taken = sized.alias("d").join(cuts.alias("c"), F.col(f"d.{source_col}").eqNullSafe(F.col("c.source"))).select("d.*", "c.source_size", "c.target", "c.whole", "c.part", "c.last", "c.end")
+    more = (F.col("part") > 0) & ((F.col("__bucket") < F.col("last")) | ((F.col("__bucket") == F.col("last")) & F.coalesce(place(F.col(id_col)) <= F.col("end"), F.lit(False))))
+    taken = taken.withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
     return taken.select(*kept.columns, *new)
