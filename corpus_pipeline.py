@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlight.llm.bits import without
 from patchlight.llm.contamination import contained_items
 from patchlight.llm.language import UNDETERMINED, identify
 from patchlight.llm.lm_scoring import remainder
@@ -41,7 +42,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id, or without words, are in no group and stay. Of rows that repeat an id and its text one stays.
     """
     groups = saved(ngram_groups(docs, shingle_words=5, percent=80).filter("n_shingles > 0 and doc_id is not null"), "near-copies")
-    kept = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = without(docs, groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id")
     repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
@@ -53,7 +54,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that hold a benchmark item."""
     found = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, saved(found.select("doc_id").distinct(), "contaminated"), "doc_id")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
