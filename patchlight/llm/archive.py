@@ -59,16 +59,19 @@ def write_archive(pages: DataFrame, path: str) -> None:
     stored.dropDuplicates(["at", "address"]).select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The records of an archive: ``header`` and ``payload`` bytes, the payload that of the response for a revisit.
-
-    A payload whose digest is not its address fails the read.
-    """
+def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records, and payloads whose digest has been found to be their address; another digest fails the read."""
     records = spark.read.schema("header binary, address string").parquet(f"{path}/records")
     payloads = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
     sound = F.sha2("payload", 256) == F.col("address")
-    checked = payloads.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("binary")))
-    return records.join(checked, "address", "left").select("header", "payload")
+    damaged = F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))).cast("binary")
+    return records, payloads.withColumn("payload", F.when(sound, F.col("payload")).otherwise(damaged))
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an archive: ``header`` and ``payload`` bytes, the payload that of the response for a revisit."""
+    records, payloads = _tables(spark, path)
+    return records.join(payloads, "address", "left").select("header", "payload")
 
 
 def record_bytes(header: Column, payload: Column) -> Column:
@@ -88,14 +91,18 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
     write_archive(pages, path)
-    read = read_archive(spark, path)
+    records, payloads = _tables(spark, path)
+    # What the rows say of a payload is worked out once for each stored one, so payloads stay where they are read.
+    facts = payloads.select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    read = records.join(facts, "address", "left")
     number = lambda name: F.regexp_extract(field(F.col("header"), name), r"<urn:page:(-?[0-9]+)>", 1).cast("long")
+    kind = field(F.col("header"), "WARC-Type")
     return read.select(
         number("WARC-Record-ID").alias("page_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        field(F.col("header"), "WARC-Type").alias("record_type"),
+        "payload_bytes",
+        "payload_digest",
+        kind.alias("record_type"),
         number("WARC-Refers-To").alias("refers_to"),
         field(F.col("header"), "WARC-Payload-Digest").alias("header_digest"),
-        F.octet_length(record_bytes(F.col("header"), F.col("payload"))).cast("long").alias("record_bytes"),
+        (F.octet_length("header") + F.when(kind == "revisit", 0).otherwise(F.col("payload_bytes")) + 4).cast("long").alias("record_bytes"),
     )
