@@ -1,23 +1,15 @@
 """Context-tree weighting over bytes: a model of the corpus whose mixture gives the code length of every byte.
 
-A byte is eight binary decisions, so each context holds a tree of 255 decision nodes. Contexts are the last
-three bytes: the nearest exactly (256), the two before by 32 classes, so there are at most 2**18 deepest contexts whatever
-the corpus holds, and as many rows, of one kilobyte each, in the model. Every node of every depth has the counts of all
+A byte is eight binary decisions, so each context holds a tree of 255 decision nodes. Here are the shallow contexts, the last
+three bytes: the nearest exactly (256), the two before by 32 classes, so there are at most 2**18 of them whatever
+the corpus holds; ``deep_tree`` continues each with the exact bytes. Every node of every depth has the counts of all
 training bytes in its context, a Krichevsky-Trofimov estimate from them, and the weighting that mixes its
 own estimate with its children's by halves; a trained model predicts with the posterior weights that this gives.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from . import vectext as vt
 
 #: Ends a text, and fills the context before its first byte; UTF-8 never holds it.
 END = 0xFF
@@ -113,11 +105,13 @@ def _mixed(counts: np.ndarray, log_below: np.ndarray | None) -> tuple[np.ndarray
     return own, np.exp(kt - np.log(2.0) - weighted), weighted
 
 
-def subtree(cell: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
+def subtree(cell: np.ndarray, count: np.ndarray, log_deeper: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """The contexts under one nearest byte: rows of ids and, for each, the probability of a one at its 255 nodes.
 
     Depth 1 is a single row, so a subtree has at most 1 + 32 + 1024 rows. Each row already mixes depths 1 up to its own; the root
-    is mixed in by ``Model``. log_weighted is that of the depth-1 context.
+    is mixed in by ``Model``. log_weighted is that of the depth-1 context. log_deeper: for each depth-3 context in order of
+    ids, the sum over deeper children of their log weighted probabilities. left3 is the share that depth 3 leaves to them, own3 what
+    that share says where no child was seen.
     """
     deep = (cell >> 8).astype(np.int64)
     ids3, row3 = np.unique(deep, return_inverse=True)
@@ -127,7 +121,7 @@ def subtree(cell: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
     table2 = np.zeros((len(ids2), 256))
     np.add.at(table2, row2, table3)
     table1 = table2.sum(0, keepdims=True)
-    own3, _, log3 = _mixed(table3, None)
+    own3, keep3, log3 = _mixed(table3, log_deeper)
     sum3 = np.zeros((len(ids2), 255))
     np.add.at(sum3, row2, log3)
     own2, keep2, log2 = _mixed(table2, sum3)
@@ -142,7 +136,7 @@ def subtree(cell: np.ndarray, count: np.ndarray) -> dict[str, np.ndarray]:
     depth = np.concatenate([[1], np.full(len(ids2), 2), np.full(len(ids3), 3)])
     ids = np.concatenate([[ids3[0] >> 2 * CLASS_BITS], ids2, ids3])
     ones = np.concatenate([p1, seen2, seen3]).astype(np.float32)
-    return {"depth": depth, "id": ids, "ones": ones, "counts": table1[0], "log_weighted": log1[0]}
+    return {"depth": depth, "id": ids, "ones": ones, "counts": table1[0], "log_weighted": log1[0], "left3": left2[row2] * (1 - keep3), "own3": own3}
 
 
 class Model:
@@ -154,9 +148,7 @@ class Model:
     @classmethod
     def of(cls, depth: np.ndarray, ids: np.ndarray, ones: np.ndarray, counts: np.ndarray, log_weighted: np.ndarray) -> Model:
         """From the rows of all subtrees; counts and log_weighted have a row for each depth-1 context."""
-        total = counts.sum(0, keepdims=True) if len(counts) else np.zeros((1, 256))
-        log_below = log_weighted.sum(0, keepdims=True) if len(counts) else np.zeros((1, 255))
-        own, keep, _ = _mixed(total, log_below)
+        own, keep = cls.root(counts, log_weighted)
         mixed = np.concatenate([own, keep * own + (1 - keep) * ones]) if len(ones) else own
         row = np.zeros(_DEEP, np.int32)
         for d in (1, 2, 3):
@@ -165,6 +157,13 @@ class Model:
                 row[int(i) << bits : (int(i) + 1) << bits] = k + 1
         return cls(cls._bytes(mixed), row)
 
+    @staticmethod
+    def root(counts: np.ndarray, log_weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the empty context: probability of a one, and share of the own estimate."""
+        total = counts.sum(0, keepdims=True) if len(counts) else np.zeros((1, 256))
+        log_below = log_weighted.sum(0, keepdims=True) if len(counts) else np.zeros((1, 255))
+        return _mixed(total, log_below)[:2]
+
     @staticmethod
     def _bytes(ones: np.ndarray) -> np.ndarray:
         """Log10 probabilities of the bytes from the probabilities of a one at the decision nodes."""
@@ -184,40 +183,3 @@ class Model:
         cell, where = text_cells(data, offsets)
         value = self.log10[self.row[cell >> 8], cell & 255]
         return np.add.reduceat(value.astype(np.float64), where[:-1]) if len(where) > 1 else np.zeros(0)
-
-
-CELLS = "cell int, n bigint"
-_ROWS = "depth int, id int, ones binary, counts binary, log_weighted binary"
-
-
-def count_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Counts of the cells of all texts, as every task has them: ``cell``, ``n``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = vt.Tally()
-        out = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(n.astype(np.int64))], ["cell", "n"])
-        for batch in batches:
-            data, offsets = vt.text_bytes(batch.column(0))
-            for i, j in vt.slices(offsets):
-                cell, _ = text_cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for part in tally.add(cell):
-                    yield out(*part)
-        for part in tally.rest():
-            yield out(*part)
-
-    return docs.select(text_col).mapInArrow(run, CELLS)
-
-
-def train(counts: DataFrame) -> Model:
-    """The model of counted cells. A nearest byte's subtree has at most 1024 * 256 cells, and is made by one task."""
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = subtree(pdf["cell"].to_numpy(np.uint32), pdf["n"].to_numpy(np.float64))
-        first = [None] * (len(t["id"]) - 1)
-        return pd.DataFrame({"depth": t["depth"].astype(np.int32), "id": t["id"].astype(np.int32), "ones": [r.tobytes() for r in t["ones"]], "counts": [t["counts"].tobytes(), *first], "log_weighted": [t["log_weighted"].tobytes(), *first]})
-
-    totals = counts.groupBy("cell").agg(F.sum("n").alias("n"))
-    rows = totals.groupBy(F.shiftright("cell", 8 + 2 * CLASS_BITS)).applyInPandas(grow, _ROWS).toArrow()
-    rows = rows.sort_by([("depth", "ascending"), ("id", "ascending")])
-    stack = lambda name, kind, width: np.frombuffer(b"".join(x.as_py() for x in rows[name].drop_null()), kind).reshape(-1, width)
-    return Model.of(rows["depth"].to_numpy(), rows["id"].to_numpy(), stack("ones", np.float32, 255), stack("counts", np.float64, 256), stack("log_weighted", np.float64, 255))
