@@ -131,7 +131,7 @@ def commit_columns(sql: bool) -> dict[str, str]:
         "committer_email": "'dev@org.example'",
         "committer_date": hour_stamp(f"({hours} + {k} % 3)"),
         "subject": f"CASE WHEN {gold} OR {k} % 13 = 5 THEN {pick(k, [text(s) for s in SECURITY_SUBJECTS])} ELSE {pick(k, [text(s) for s in SUBJECTS])} END",
-        "body": f"CASE WHEN {k} % 20 = 17 THEN '' ELSE substr(text, 1, 300) END",
+        "body": f"CASE WHEN {k} % 20 = 17 THEN '' ELSE text END",
         "files": f"CASE WHEN {k} % 20 = 17 THEN {_array([], sql)} ELSE {pick(k, [_array(f, sql) for f in FILES])} END",
         "insertions": "CAST(n_chars AS INT)",
         "deletions": "CAST(floor(n_chars / 3) AS INT)",
