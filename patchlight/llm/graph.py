@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import saved
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """``edges``, written, with their number and a digest of them, observed as they are written."""
+    seen = Observation()
+    now = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("mark")), "edges")
+    return now, (seen.get["n"], seen.get["mark"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """For edges ``a``, ``b`` (longs): each node with the smallest node that it reaches, ``node``, ``root``.
 
     Rounds of hooking larger neighbours, then smaller ones, to each node's smallest neighbour; every round
     is written, and the number of rounds grows with the logarithm of the edges. No neighbour list is gathered.
     """
-    now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now, mark = _marked(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
-        if mark == before:
-            break
+    while mark != before:
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # Nodes that have no larger neighbour keep their way to the smallest.
+        large = now.select(F.col("v").alias("at"), F.col("u")).join(least.withColumnRenamed("u", "at"), "at").select("u", F.col("m").alias("v")).filter("u <> v")
         large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         hooked = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = saved(hooked.distinct(), "edges")
+        now, mark = _marked(hooked.distinct())
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return saved(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")

@@ -3,8 +3,8 @@
 Texts with equal sets form one class. Sets are ordered by an estimate of how many classes hold a shingle (a count sketch of fixed size,
 the same for all), ties by hash, and two sets that are similar enough share one of the first few shingles. Which classes
 share one is found with a shuffle by shingle; what they share must make up the overlap that their sizes ask for. Classes that
-are still connected form a candidate group, and only there do whole sets meet: in blocks of bounded size, each a prefix tree that
-the sets of the block walk.
+are still connected form a candidate group, and only there do whole sets meet: in blocks of bounded weight, each a prefix tree that
+the sets of the block walk. The tree reads the common order from its other end, so that beginnings are shared.
 """
 
 from __future__ import annotations
@@ -22,12 +22,15 @@ from . import vectext as vt
 from .bits import build_filter
 from .graph import components
 from .storage import saved
-from .trie import similar_pairs
+from .trie import Least, similar_pairs
 
 SKETCH_BITS = 21
 _PARTS = 64
-#: Sets in one block. A larger group is dealt out in pairs of chunks of half of it.
-BLOCK = 512
+#: Weight of one chunk of a group: its shingles and SET_WEIGHT for each set. Two chunks meet in a block; small groups share one.
+CHUNK = 1 << 17
+SET_WEIGHT = 32
+#: Sets of which a task remembers that it has met them; what it forgets and meets again is merged later.
+_REMEMBERED = 1 << 17
 #: A shingle that starts more classes than this ties them to one of them instead of in pairs.
 HOT_CLASSES = 64
 
@@ -44,6 +47,12 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _remember(seen: set[int], digest: int) -> None:
+    if len(seen) >= _REMEMBERED:
+        seen.clear()
+    seen.add(digest)
+
+
 def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """For each document ``doc_id``, ``n_shingles`` and ``class`` (null for an empty set); and the sketch."""
 
@@ -57,7 +66,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 for k, own, digest in _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size):
                     n[i + k], classes[i + k], known[i + k] = len(own), digest, True
                     if digest not in seen:
-                        seen.add(digest)
+                        _remember(seen, digest)
                         np.add.at(sketch, _slot(own), np.uint32(1))
             none = pa.nulls(batch.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(classes, mask=~known), none, pa.nulls(batch.num_rows, pa.binary())], names)
@@ -92,7 +101,7 @@ def first_shingles(docs: DataFrame, size: int, percent: int, sketch: np.ndarray)
                 tokens, classes, sizes = [np.zeros(0, np.uint64)], [], []
                 for _, own, digest in _sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size):
                     if digest not in seen:
-                        seen.add(digest)
+                        _remember(seen, digest)
                         first = len(own) - -(-percent * len(own) // 100) + 1
                         tokens.append(own[np.argsort(sketch[_slot(own)], kind="stable")[:first]])
                         classes.append(digest)
@@ -106,12 +115,17 @@ def first_shingles(docs: DataFrame, size: int, percent: int, sketch: np.ndarray)
 
 
 def candidate_edges(firsts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes (``a``, ``b``) whose components hold every pair that can be similar enough."""
-    by = Window.partitionBy("token")
-    met = firsts.withColumns({"low": F.min("class").over(by), "high": F.max("class").over(by)}).filter("low < high").select("token", "class", "n").distinct()
-    shared = saved(met.withColumn("held", F.count(F.lit(1)).over(by)), "shared-firsts")
+    """Pairs of classes (``a``, ``b``) whose components hold every pair that can be similar enough.
+
+    Counts by shingle are summed within tasks first, so a shingle of very many classes is many rows nowhere but in joins, which Spark splits.
+    """
+    firsts = saved(firsts, "first-shingles")
+    several = firsts.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("token")
+    met = saved(firsts.join(several, "token", "left_semi").distinct(), "shared-firsts")
+    held = met.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("class").alias("least"))
+    shared = met.join(held, "token")
     hot = shared.filter(F.col("held") > HOT_CLASSES)
-    ties = hot.join(hot.groupBy("token").agg(F.min("class").alias("b")), "token").select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
+    ties = hot.select(F.col("class").alias("a"), F.col("least").alias("b")).filter("a <> b")
     small = shared.filter(F.col("held") <= HOT_CLASSES).select("token", "class", "n")
     other = small.select("token", F.col("class").alias("b"), F.col("n").alias("n_b"))
     a = small.select("token", F.col("class").alias("a"), F.col("n").alias("n_a"))
@@ -128,16 +142,23 @@ def candidate_edges(firsts: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Which blocks each class (``class``, ``n``, ``copies``, ``root``) goes to: ``block`` and ``side`` (1 for the tree's sets, 2 for those that walk it, 3 for both)."""
-    half = BLOCK // 2
-    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("n", "class")) - 1).withColumn("chunk", F.floor(F.col("rank") / half).cast("int"))
-    ranked = saved(ranked.select("class", "n", "copies", "root", "chunk"), "join-members")
-    chunks = ranked.groupBy("root", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"))
-    chunks = saved(chunks, "join-chunks")
-    several = chunks.filter("chunk > 0").select("root").distinct().withColumn("several", F.lit(True))
-    bins = max(1, (chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0) // half)
-    alone = ranked.join(several, "root", "left_anti").select("class", "copies", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")).alias("block"), F.lit(3).alias("side"))
-    left = chunks.join(several, "root").select("root", F.col("chunk").alias("i"), F.col("high").alias("high_i"))
+    """Which blocks each class (``class``, ``n``, ``copies``, ``root``) goes to: ``block`` and ``side`` (1 for the tree's sets, 2 for those that walk it, 3 for both).
+
+    A group's sets stand by size, those of one size by hash, and are cut into chunks of equal weight. The places follow from counts
+    by size, so that no task sorts a group.
+    """
+    weight = F.col("n") + SET_WEIGHT
+    sizes = members.groupBy("root", "n").agg((F.count(F.lit(1)) * weight).alias("held"))
+    by = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumns({"before": F.coalesce(F.sum("held").over(by), F.lit(0)), "whole": F.sum("held").over(Window.partitionBy("root"))})
+    fraction = F.pmod(F.xxhash64("class"), F.lit(1 << 20)) / (1 << 20)
+    chunk = F.when(F.col("whole") <= CHUNK, 0).otherwise(F.floor((F.col("before") + fraction * F.col("held")) / CHUNK)).cast("int")
+    dealt = saved(members.join(placed, ["root", "n"]).select("class", "n", "copies", "root", "whole", chunk.alias("chunk")), "join-members")
+    small, large = dealt.filter(F.col("whole") <= CHUNK), dealt.filter(F.col("whole") > CHUNK)
+    bins = 1 + (small.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0] or 0) // CHUNK
+    alone = small.select("class", "copies", "root", F.concat(F.lit("bin "), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")).alias("block"), F.lit(3).alias("side"))
+    chunks = saved(large.groupBy("root", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high")), "join-chunks")
+    left = chunks.select("root", F.col("chunk").alias("i"), F.col("high").alias("high_i"))
     right = chunks.select("root", F.col("chunk").alias("j"), F.col("low").alias("low_j"))
     # Chunks ascend by size of set, so two are too far apart if the first's largest is below percent of the second's smallest.
     met = left.join(right, "root").filter((F.col("i") <= F.col("j")) & (F.col("high_i") * 100 >= F.col("low_j") * percent))
@@ -145,7 +166,7 @@ def _blocks(members: DataFrame, percent: int) -> DataFrame:
     sides = met.select("root", F.col("i").alias("chunk"), name.alias("block"), F.when(F.col("i") == F.col("j"), 3).otherwise(1).alias("side")).unionByName(
         met.filter("i < j").select("root", F.col("j").alias("chunk"), name.alias("block"), F.lit(2).alias("side"))
     )
-    return alone.unionByName(ranked.join(sides, ["root", "chunk"]).select("class", "copies", "block", "side"))
+    return alone.unionByName(large.join(sides, ["root", "chunk"]).select("class", "copies", "root", "block", "side"))
 
 
 def _whole_sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
@@ -161,37 +182,31 @@ def _whole_sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 keep = known.passes(np.array([d for d, _ in found], np.int64)) if found else []
                 rows = [x for x, k in zip(found, keep, strict=True) if k and x[0] not in seen]
                 rows = list({d: (d, own) for d, own in rows}.values())
-                seen.update(d for d, _ in rows)
+                for d, _ in rows:
+                    _remember(seen, d)
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([own.tobytes() for _, own in rows], pa.binary())], ["class", "hashes"])
 
     return docs.select("text").mapInArrow(run, "class bigint, hashes binary").dropDuplicates(["class"])
 
 
-def linked_classes(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def linked_classes(docs: DataFrame, members: DataFrame, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """Of each class in a candidate group and each of its blocks: ``class``, ``to`` (the smallest class it reaches there) and ``links`` (documents of other classes that it links with there)."""
     dealt = _whole_sets(docs, size, members).join(_blocks(members, percent), "class")
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        classes, copies, side = pdf["class"].to_numpy(), pdf["copies"].to_numpy(), pdf["side"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
-        a, b = similar_pairs(sets, percent, None if (side == 3).all() else side == 1)
-        links = np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
-        root = np.arange(len(sets))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                low, high = (p, q) if classes[p] < classes[q] else (q, p)
-                root[high] = low
-        return pd.DataFrame({"class": classes, "to": classes[[find(k) for k in range(len(sets))]], "links": links.astype(np.int64)})
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class")
+        classes, copies, side, roots = (table[c].to_numpy() for c in ("class", "copies", "side", "root"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]]
+        whole = (side == 3).all()
+        common = lambda tokens: sent.value[_slot(tokens)]
+        links, least = np.zeros(len(sets)), Least(len(sets))
+        for a, b in similar_pairs(sets, percent, groups=roots, indexed=None if whole else side == 1, asked=None if whole else side == 2, weigh=common):
+            links += np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
+            least.link(a, b)
+        return pa.table({"class": classes, "to": classes[least.of], "links": links.astype(np.int64)})
 
-    return dealt.groupBy("block").applyInPandas(join, "class bigint, to bigint, links bigint")
+    return saved(dealt.groupBy("block").applyInArrow(join, "class bigint, to bigint, links bigint"), "linked")
 
 
 def ngram_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -209,7 +224,7 @@ def ngram_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80)
     classes = saved(classes, "classes")
     candidates = components(candidate_edges(first_shingles(docs, shingle_words, percent, sketch), percent))
     members = saved(classes.join(candidates, F.col("class") == F.col("node")).select("class", "n", "copies", "root"), "members")
-    linked = saved(linked_classes(docs, members, shingle_words, percent), "linked")
+    linked = linked_classes(docs, members, shingle_words, percent, sketch)
     roots = components(linked.select(F.col("class").alias("a"), F.col("to").alias("b")))
     links = linked.groupBy("class").agg(F.sum("links").alias("links"))
     joined = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("root", "class")).select("class", "copies", "least", "group")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from patchlight.llm import ngram_join
+from patchlight.llm import ngram_join, trie
 from patchlight.llm.graph import components
 from patchlight.llm.ngram_join import ngram_groups
 from patchlight.llm.trie import similar_pairs
@@ -46,10 +46,10 @@ def corpus(seed):
     return [(k * 7 % 1009, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "size", "percent", "block"), [(1, 5, 80, 512), (2, 4, 85, 8)])
-def test_groups_match_brute_force(spark, monkeypatch, seed, size, percent, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "HOT_CLASSES", 10 if block == 8 else 64)
+@pytest.mark.parametrize(("seed", "size", "percent", "chunk"), [(1, 5, 80, 1 << 17), (2, 4, 85, 700)])
+def test_groups_match_brute_force(spark, monkeypatch, seed, size, percent, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "HOT_CLASSES", 10 if chunk == 700 else 64)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component_id string").repartition(3)
     got = [tuple(r) for r in ngram_groups(docs, shingle_words=size, percent=percent).collect()]
@@ -70,10 +70,37 @@ def test_trie_join_matches_brute_force():
         sets = [np.array(s, np.uint64) for s in sets]
         percent = (50, 80, 100)[trial % 3]
         want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
-        pairs = [(max(p), min(p)) for p in zip(*map(np.ndarray.tolist, similar_pairs(sets, percent)), strict=True)]
+        pairs = [(max(p), min(p)) for p in [p for a, b in similar_pairs(sets, percent) for p in zip(a.tolist(), b.tolist(), strict=True)]]
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+def test_trie_join_by_groups_and_sides(monkeypatch):
+    monkeypatch.setattr(trie, "STEP", 7)
+    monkeypatch.setattr(trie, "CELLS", 200)
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(1, 30))).astype(np.uint64) for _ in range(25)]
+        groups, side = rng.integers(0, 4, 25), rng.integers(1, 3, 25)
+        good = lambda i, j: groups[i] == groups[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))  # noqa: B023, E731
+        weigh = lambda tokens: tokens % np.uint64(3)
+        found = lambda **k: sorted(p for a, b in similar_pairs(sets, 60, groups=groups, weigh=weigh, **k) for p in zip(a.tolist(), b.tolist(), strict=True))  # noqa: B023, E731
+        assert sorted((max(p), min(p)) for p in found()) == [(i, j) for i in range(25) for j in range(i) if good(i, j)]
+        assert found(indexed=side == 1, asked=side == 2) == [(i, j) for i in range(25) for j in range(25) if side[i] == 2 and side[j] == 1 and good(i, j)]
+
+
+def test_least_follows_links():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        pairs, least = rng.integers(0, 60, (40, 2)), trie.Least(60)
+        for part in np.split(pairs, 4):
+            least.link(part[:, 0], part[:, 1])
+        want = np.arange(60)
+        for _ in range(60):
+            for a, b in pairs:
+                want[a] = want[b] = min(want[a], want[b])
+        assert (least.of == want).all()
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(30)] + [(5, 5), (300, 299), (299, 300)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
