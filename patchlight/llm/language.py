@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as vt
+from .sample import drawn, unused
 
 UNDETERMINED = "und"
 
@@ -25,8 +26,7 @@ class Settings:
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 8
     embedding: int = 8
-    #: At most so many languages (the most frequent), labelled documents of each, and windows of each document, evenly spread.
-    languages: int = 256
+    #: At most so many labelled documents of each language, and windows of each document, evenly spread.
     docs_each: int = 300
     windows_each: int = 4
     epochs: int = 8
@@ -132,10 +132,8 @@ def cut(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray,
 def _sample(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray, list[str]]:
     """Windows of the sampled documents, and the language of each."""
     named = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).select("lang")
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = named.filter(F.col("doc_id").isNotNull()).join(F.broadcast(frequent), "lang").select("doc_id", "lang").withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= settings.docs_each)
-    texts = named.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).select("lang", "text")
+    ids = drawn(named.filter(F.col("doc_id").isNotNull()), "lang", settings.docs_each)
+    texts = named.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("lang", "text")
     window, most = settings.window, settings.windows_each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +165,7 @@ def identify(docs: DataFrame, labelled: DataFrame, settings: Settings = Settings
     net = train(windows, np.searchsorted(languages, named), languages, settings) if languages else None
     sent = docs.sparkSession.sparkContext.broadcast(net)
     kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    ready = kept.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    ready = kept.withColumn(unused("letter", kept.columns), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     names, at = kept.columns, kept.columns.index("text")
     size = len(names)
 

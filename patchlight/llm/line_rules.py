@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sample import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: A line passes the punctuation rule if it ends like a sentence ...
@@ -41,16 +43,17 @@ def with_repeated_words(docs: DataFrame, words: str, into: str) -> DataFrame:
     Windows are compared by 64-bit hash. Sorting tells whether any repeats; only then do their places matter.
     Each array is a column of its own, so that no lambda makes it again for every element.
     """
+    held, at = unused("windows", docs.columns), unused("places", docs.columns)
     last = F.size(words) - 3
     windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    docs = docs.withColumn("__windows", F.when(last >= 0, windows))
-    distinct = F.size(F.array_distinct("__windows"))
-    places = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    docs = docs.withColumn("__at", F.when(distinct < F.size("__windows"), places))
-    before, after = F.slice("__at", 1, F.size("__at") - 1), F.slice("__at", 2, F.size("__at") - 1)
+    docs = docs.withColumn(held, F.when(last >= 0, windows))
+    distinct = F.size(F.array_distinct(held))
+    places = F.sort_array(F.transform(held, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    docs = docs.withColumn(at, F.when(distinct < F.size(held), places))
+    before, after = F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1)
     pairs = F.filter(F.zip_with(before, after, lambda a, b: F.struct(a["h"].alias("h"), b["h"].alias("g"), a["i"].alias("i"), b["i"].alias("j"))), lambda x: x["h"] == x["g"])
     covered = F.flatten(F.transform(pairs, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2, x["j"], x["j"] + 1, x["j"] + 2)))
-    return docs.withColumn(into, F.coalesce(F.when(F.col("__at").isNotNull(), F.size(F.array_distinct(covered))), F.lit(0)).cast("long"))
+    return docs.withColumn(into, F.coalesce(F.when(F.col(at).isNotNull(), F.size(F.array_distinct(covered))), F.lit(0)).cast("long"))
 
 
 def clean_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -63,25 +66,26 @@ def clean_lines(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     gives an empty result. Columns of ``docs`` that have the names of the new ones are replaced.
     """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_failed_lines", "clean_text", "kept"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(*[c for c in docs.columns if c not in new], text.alias("__text"))
-    split = base.withColumns({"__words": F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)), "__lines": F.split("__text", "\n", -1)})
+    own = [c for c in docs.columns if c not in new]
+    whole, words, lines, full, passing = (unused(c, docs.columns) for c in ("whole_text", "word_list", "line_list", "full_lines", "passing_lines"))
+    base = docs.select(*own, F.coalesce(F.col(text_col), F.lit("")).alias(whole))
+    split = base.withColumns({words: F.regexp_extract_all(whole, F.lit(WORD), F.lit(0)), lines: F.split(whole, "\n", -1)})
     counted = split.withColumns(
         {
-            "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": F.regexp_count("__text", F.lit(SYMBOL)).cast("long"),
-            "__full": F.filter("__lines", lambda x: x.rlike(WORD)),
-            "__passing": F.filter("__lines", line_passes),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.length(F.array_join(words, "")).cast("long"),
+            "n_symbols": F.regexp_count(whole, F.lit(SYMBOL)).cast("long"),
+            full: F.filter(lines, lambda x: x.rlike(WORD)),
+            passing: F.filter(lines, line_passes),
         }
     )
-    cleaned = with_repeated_words(counted, "__words", "n_repeat_words").withColumns(
+    cleaned = with_repeated_words(counted, words, "n_repeat_words").withColumns(
         {
-            "n_dup_lines": (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long"),
-            "n_failed_lines": (F.size("__lines") - F.size("__passing")).cast("long"),
-            "clean_text": F.array_join("__passing", "\n"),
+            "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
+            "n_failed_lines": (F.size(lines) - F.size(passing)).cast("long"),
+            "clean_text": F.array_join(passing, "\n"),
             "base_failed": (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50),
         }
     )
     stay = F.regexp_count("clean_text", F.lit(WORD)) * 100 >= F.col("n_words") * KEPT_PERCENT
-    return cleaned.withColumn("kept", ~F.col("base_failed") & stay).select(*[c for c in docs.columns if c not in new], *new)
+    return cleaned.withColumn("kept", ~F.col("base_failed") & stay).select(*own, *new)
