@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import saved
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -27,47 +29,53 @@ def loss_spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda s: s["spans"])
 
 
-def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Format each pair (``chosen_id``, ``rejected_id`` of conversations; a null rejected_id is an unpaired chosen).
+def conversations(turns: DataFrame) -> DataFrame:
+    """Each conversation (``conv_id``) with its ``turns`` (``role``, ``text``) in order of turn; ties go by role and text, null is empty text. Null ids are left out."""
+    texts = turns.filter(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("given"), "turn", "role", "text")))
+    return texts.groupBy("conv_id").agg(F.transform(ordered, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+
+
+def last_answer(turns: Column) -> Column:
+    """The place, from 1, of the last turn of the assistant; 0 if there is none."""
+    return F.coalesce(F.array_max(F.transform(turns, lambda t, k: F.when(t["role"] == "assistant", k + 1))), F.lit(0))
+
+
+def n_common(chosen: Column, rejected: Column) -> Column:
+    """How many turns two conversations have in common from the start, by role and text."""
+    same = F.zip_with(chosen, rejected, lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
+    differs = F.array_position(same, F.lit(False))
+    return F.when(differs > 0, differs - 1).otherwise(F.size(same)).cast("int")
+
 
-    Gives ``chosen_id``, ``rejected_id``, ``n_common`` (turns of the prompt), ``prompt``, ``chosen``, ``rejected`` and the spans
-    that training may see, ``chosen_mask`` and ``rejected_mask``, in characters of each completion.
+def format_pairs(pairs: DataFrame) -> DataFrame:
+    """Format each pair of conversations (``chosen_turns`` and ``rejected_turns``, as ``conversations`` makes them; null rejected turns are an unpaired chosen).
 
-    Turns (``conv_id``, ``turn``, ``role``, ``text``) are compared by role and text in order of turn; ties of turn go by role
-    and text. A null role or text counts as empty. Where one conversation is the other's prefix, the shorter's completion is
-    empty. An unpaired conversation's prompt is all before its last assistant turn. The common prefix is found with a join
-    turn by turn, so two long conversations meet as rows; only the rendering gathers one conversation into a row.
+    Adds ``n_common`` (turns of the prompt), ``prompt``, ``chosen``, ``rejected`` and the spans that training may
+    see, ``chosen_mask`` and ``rejected_mask``, in characters of each completion; the turns go. The prompt is the longest common prefix
+    of turns, rendered once. Where one conversation is the other's prefix, the shorter's completion is empty. An unpaired
+    conversation's prompt is all before its last assistant turn. Repeated rows are formatted alike; an empty table gives an empty result.
     """
-    texts = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("conv_id").isNotNull())
-    numbered = texts.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    same = numbered.select("conv_id", "k", F.sha2(F.concat_ws("\x1f", "role", "text"), 256).alias("digest"), F.when(F.col("role") == "assistant", F.col("k")).alias("answer"))
-    keyed = pairs.select("chosen_id", "rejected_id")
-    chosen = keyed.join(same.withColumnRenamed("conv_id", "chosen_id"), "chosen_id")
-    other = same.select(F.col("conv_id").alias("rejected_id"), "k", F.col("digest").alias("other"))
-    met = chosen.join(other, ["rejected_id", "k"], "left")
-    first_differs = F.min(F.when(F.col("other").isNull() | (F.col("other") != F.col("digest")), F.col("k")))
-    lengths = met.groupBy("chosen_id", "rejected_id").agg((F.coalesce(first_differs, F.max("k") + 1) - 1).alias("shared"), F.max("answer").alias("answer"))
-    common = F.when(F.col("rejected_id").isNull(), F.coalesce(F.col("answer") - 1, F.lit(0))).otherwise(F.col("shared"))
-    lengths = lengths.select("chosen_id", "rejected_id", common.cast("int").alias("n_common"))
-    whole = numbered.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "role", "text"))).alias("turns"))
-    out = lengths.join(whole.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("c")), "chosen_id")
-    out = out.join(whole.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("r")), "rejected_id", "left")
-    empty = F.array().cast("array<struct<k:int,role:string,text:string>>")
+    c, r = F.col("chosen_turns"), F.col("rejected_turns")
+    common = F.when(r.isNull(), F.greatest(last_answer(c) - 1, F.lit(0))).otherwise(n_common(c, r))
+    cut = pairs.withColumn("n_common", common.cast("int"))
     tail = lambda x: F.slice(x, F.col("n_common") + 1, F.greatest(F.size(x) - F.col("n_common"), F.lit(0)))
-    cut = out.select("chosen_id", "rejected_id", "n_common", F.slice("c", 1, F.col("n_common")).alias("p"), tail(F.col("c")).alias("c"), F.coalesce(tail(F.col("r")), empty).alias("r"))
+    empty = F.array().cast("array<struct<role:string,text:string>>")
+    parts = cut.select(*[x for x in cut.columns if x not in ("chosen_turns", "rejected_turns")], F.slice(c, 1, F.col("n_common")).alias("p"), tail(c).alias("c"), F.coalesce(tail(r), empty).alias("r"))
     text = lambda x: F.array_join(F.transform(x, rendered), "")
-    return cut.select("chosen_id", "rejected_id", "n_common", text("p").alias("prompt"), text("c").alias("chosen"), text("r").alias("rejected"), loss_spans(F.col("c")).alias("chosen_mask"), loss_spans(F.col("r")).alias("rejected_mask"))
+    kept = [x for x in parts.columns if x not in ("p", "c", "r")]
+    return parts.select(*kept, text(F.col("p")).alias("prompt"), text(F.col("c")).alias("chosen"), text(F.col("r")).alias("rejected"), loss_spans(F.col("c")).alias("chosen_mask"), loss_spans(F.col("r")).alias("rejected_mask"))
 
 
-def neighbours(turns: DataFrame) -> DataFrame:
-    """Pairs of conversations that open with the same turn, as ``format_pairs`` takes them.
+def neighbours(whole: DataFrame) -> DataFrame:
+    """Pairs (``chosen_id``, ``rejected_id``) of ``conversations`` that open with the same turn; one that is left over has no rejected_id.
 
     Those with one opening stand in the order of their ids, dealt out in groups of two: the longer (the lower id if equal)
-    is chosen. One that is left over has no partner. The order is met within buckets of the id's hash first, and only the odd
+    is chosen. The order is met within buckets of the id first, and only the odd
     one of each bucket goes on, so a very common opening is not sorted by one task.
     """
-    opening = turns.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "role", "text")).alias("t"))
-    opening = opening.select("conv_id", "n", F.sha2(F.concat_ws("\x1f", F.coalesce("t.role", F.lit("")), F.coalesce("t.text", F.lit(""))), 256).alias("opening"))
+    first = F.get("turns", F.lit(0))
+    opening = whole.select("conv_id", F.size("turns").alias("n"), F.sha2(F.concat(F.length(first["role"]).cast("string"), F.lit(":"), first["role"], first["text"]), 256).alias("opening"))
 
     def dealt(rows: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
         by = Window.partitionBy(*keys).orderBy("conv_id")
@@ -81,3 +89,33 @@ def neighbours(turns: DataFrame) -> DataFrame:
     near, odd = dealt(opening.withColumn("bucket", F.col("conv_id") % 64), "opening", "bucket")
     far, left = dealt(odd, "opening")
     return near.unionByName(far).unionByName(left.select(F.col("conv_id").alias("chosen_id"), F.lit(None).cast("long").alias("rejected_id")))
+
+
+def answer_givers(whole: DataFrame) -> DataFrame:
+    """For ``conversations`` that have an answer: ``chosen_id`` and ``answer_id``, the next of the same 64 consecutive ids that has one too, the first after the last."""
+    answering = whole.filter(last_answer(F.col("turns")) > 0).select("conv_id", F.floor(F.col("conv_id") / 64).alias("group"))
+    by = Window.partitionBy("group").orderBy("conv_id")
+    next_id = F.coalesce(F.lead("conv_id").over(by), F.first("conv_id").over(by))
+    return answering.select(F.col("conv_id").alias("chosen_id"), next_id.alias("answer_id")).filter("answer_id <> chosen_id")
+
+
+def preference_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs of all conversations of ``turns`` (``conv_id``, ``turn``, ``role``, ``text``), as ``format_pairs`` takes them.
+
+    Conversations with one opening are paired (``rejected_id``). One that has no such partner is rejected with another's answer in place of its own last one
+    (``answer_id``), so that what comes before is common; without an answer, or with nobody to give one, it has no partner.
+    """
+    whole = saved(conversations(turns), "conversations")
+    pairs = saved(neighbours(whole), "conversation-pairs")
+    chosen = whole.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns"))
+    other = lambda c: whole.select(F.col("conv_id").alias(c), F.col("turns").alias("rejected_turns"))
+    columns = ["chosen_id", "rejected_id", "answer_id", "chosen_turns", "rejected_turns"]
+    null_id = F.lit(None).cast("long")
+    natural = pairs.filter(F.col("rejected_id").isNotNull()).join(chosen, "chosen_id").join(other("rejected_id"), "rejected_id").withColumn("answer_id", null_id)
+    alone = saved(pairs.filter(F.col("rejected_id").isNull()).select("chosen_id").join(chosen, "chosen_id"), "conversations-alone")
+    givers = saved(answer_givers(alone.select(F.col("chosen_id").alias("conv_id"), F.col("chosen_turns").alias("turns"))), "answer-givers")
+    lent = alone.join(givers, "chosen_id").join(other("answer_id"), "answer_id")
+    answer = F.element_at("rejected_turns", last_answer(F.col("rejected_turns")))
+    lent = lent.withColumns({"rejected_turns": F.concat(F.slice("chosen_turns", 1, last_answer(F.col("chosen_turns")) - 1), F.array(answer)), "rejected_id": null_id})
+    none = alone.join(givers, "chosen_id", "left_anti").withColumns({"rejected_id": null_id, "answer_id": null_id, "rejected_turns": F.lit(None).cast("array<struct<role:string,text:string>>")})
+    return natural.select(columns).unionByName(lent.select(columns)).unionByName(none.select(columns))
