@@ -30,6 +30,7 @@ def test_round_trip_is_exact_and_stores_a_payload_once(spark, pages, tmp_path):
     write_archive(pages, str(tmp_path / "w"))
     stored = spark.read.parquet(str(tmp_path / "w/payloads"))
     assert stored.count() == stored.select("address").distinct().count() == 4
+    assert {r["address"] for r in stored.collect()} == {hashlib.sha256((h or "").encode()).hexdigest() for (h,) in pages.select("html").collect()}
     whole = read_archive(spark, str(tmp_path / "w")).select(record_bytes(F.col("header"), F.col("payload")).alias("b"), "payload").collect()
     want = sorted((h or "").encode() for (h,) in pages.select("html").collect())
     assert sorted(bytes(r["payload"]) for r in whole) == want
@@ -40,9 +41,25 @@ def test_round_trip_is_exact_and_stores_a_payload_once(spark, pages, tmp_path):
         assert len(content) - 4 == length
 
 
+def test_headers_name_what_a_reader_asks_for(spark, pages, tmp_path):
+    write_archive(pages, str(tmp_path / "h"), date="2024-05-06T07:08:09Z")
+    heads = [bytes(r["header"]).decode() for r in spark.read.parquet(str(tmp_path / "h/records")).collect()]
+    assert all("\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" in h for h in heads)
+    assert sum("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" in h for h in heads) == sum("WARC-Type: revisit" in h for h in heads) == 2
+    assert sum("WARC-Target-URI: http://b/%0D%0AX: y\r\n" in h for h in heads) == 1
+
+
+def test_very_long_and_repeated_payloads(spark):
+    rows = [(k, "u", "long " * 400_000 if k % 2 else "\x00\ud7ff" * 700, "x") for k in range(6)]
+    got = {r["page_id"]: r for r in archive_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[k]["refers_to"] for k in range(6)] == [4, 5, 4, 5, None, None]
+    assert got[1]["payload_bytes"] == 2_000_000 and got[1]["record_bytes"] < 1000 < 2_000_000 < got[5]["record_bytes"]
+
+
 def test_damage_is_found(spark, pages, tmp_path):
     write_archive(pages, str(tmp_path / "d"))
-    spark.read.parquet(str(tmp_path / "d/payloads")).withColumn("payload", F.lit(b"no")).write.parquet(str(tmp_path / "d2/payloads"))
+    zstd = __import__("zstandard")
+    spark.read.parquet(str(tmp_path / "d/payloads")).withColumn("payload", F.lit(zstd.compress(b"no"))).write.parquet(str(tmp_path / "d2/payloads"))
     spark.read.parquet(str(tmp_path / "d/records")).write.parquet(str(tmp_path / "d2/records"))
     with pytest.raises(Exception, match="damaged payload"):
         read_archive(spark, str(tmp_path / "d2")).collect()
