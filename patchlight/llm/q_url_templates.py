@@ -17,13 +17,16 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, of_page, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: The oracle spells out so many levels; no path of the given tables is deeper.
+LEVELS = 6
+
+
 def _sql() -> str:
     level = []
-    for k in range(4):
-        keys = ", ".join(["host", *[f"t{j}" for j in range(k)]])
-        cols = ", ".join(f"t{j}" if j != k else f"CASE WHEN t{k} IS NOT NULL AND w > 8 THEN '*' ELSE t{k} END AS t{k}" for j in range(4))
-        join = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in keys.split(", "))
-        level.append(f"l{k + 1} AS (SELECT host, s0, s1, s2, s3, labelled, n_bad, {cols} FROM (SELECT a.*, b.w FROM l{k} a JOIN (SELECT {keys}, count(DISTINCT t{k}) AS w FROM l{k} GROUP BY {keys}) b ON {join}))")
+    for k in range(LEVELS):
+        node = f"host, t[1:{k}]" if k else "host"
+        new = f"list_concat(t[1:{k}], ['*'], t[{k + 2}:])" if k else "list_concat(['*'], t[2:])"
+        level.append(f"w{k} AS (SELECT *, len(list_distinct(list(t[{k + 1}]) OVER (PARTITION BY {node}))) AS w FROM l{k}), l{k + 1} AS (SELECT host, shape, labelled, n_bad, CASE WHEN len(t) > {k} AND w > 8 THEN {new} ELSE t END AS t FROM w{k})")
     return rf"""
 WITH p AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -35,13 +38,13 @@ lab AS (
 seg AS (
   SELECT p.*, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END) AS x FROM p),
 cut AS (
-  SELECT page_id, host, path, x[1] AS s0, x[2] AS s1, x[3] AS s2, CASE WHEN len(x) >= 4 THEN array_to_string(x[4:], '/') END AS s3 FROM seg),
+  SELECT page_id, host, path, array_to_string(x, '/') AS shape, x FROM seg),
 l0 AS (
-  SELECT host, s0, s1, s2, s3, s0 AS t0, s1 AS t1, s2 AS t2, s3 AS t3, count(bad) AS labelled, count(*) FILTER (WHERE bad) AS n_bad
-  FROM cut LEFT JOIN lab USING (page_id) GROUP BY host, s0, s1, s2, s3),
+  SELECT host, shape, any_value(x) AS t, count(bad) AS labelled, count(*) FILTER (WHERE bad) AS n_bad
+  FROM cut LEFT JOIN lab USING (page_id) GROUP BY host, shape),
 {", ".join(level)},
 tree AS (
-  SELECT *, concat_ws('/', t0, t1, t2, t3) AS template, (t0 IS NOT NULL)::INT + (t1 IS NOT NULL)::INT + (t2 IS NOT NULL)::INT + (t3 IS NOT NULL)::INT AS depth FROM l4),
+  SELECT *, array_to_string(t, '/') AS template, len(t) AS depth FROM l{LEVELS}),
 branches AS (
   SELECT host, depth, template, sum(labelled) AS l, sum(n_bad) AS b FROM tree GROUP BY ALL),
 near AS (
@@ -60,7 +63,7 @@ rules AS (
                  WHEN com AND starts_with(path, '/') THEN 'com/' END AS rule FROM ruled)
 SELECT r.page_id, r.host, r.path, r.rule,
        CASE WHEN r.rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block' WHEN j.purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict
-FROM rules r JOIN tree t ON t.host = r.host AND t.s0 IS NOT DISTINCT FROM r.s0 AND t.s1 IS NOT DISTINCT FROM r.s1 AND t.s2 IS NOT DISTINCT FROM r.s2 AND t.s3 IS NOT DISTINCT FROM r.s3
+FROM rules r JOIN tree t ON t.host = r.host AND t.shape = r.shape
 JOIN judged j ON j.host = t.host AND j.template = t.template AND j.depth = t.depth
 """
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .storage import saved
 
-#: Levels of the tree; what lies deeper forms one last segment.
-DEPTH = 4
 #: A node with more distinct children has a wildcard in their place.
 FANOUT = 8
 #: A branch merges with its siblings' pool unless its rate of bad pages is this many standard errors away.
@@ -41,31 +39,42 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], s
     return out
 
 
-def _shape(path: Column) -> list[Column]:
-    """The path's segments, those with a digit as ``*``, in DEPTH columns (null beyond the end)."""
-    parts = F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
-    rest = F.slice(parts, DEPTH, F.greatest(F.size(parts) - (DEPTH - 1), F.lit(0)))
-    return [F.get(parts, F.lit(k)) for k in range(DEPTH - 1)] + [F.when(F.size(parts) >= DEPTH, F.array_join(rest, "/"))]
+def path_shape(path: Column) -> Column:
+    """The path's segments, those with a digit as ``*``, between slashes."""
+    return F.array_join(F.transform(F.filter(F.split(path, "/", -1), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)), "/")
+
+
+def template_tree(shapes: DataFrame) -> DataFrame:
+    """Path shapes (``host``, ``shape``, counts) with their ``t``, the segments of the template that each falls under.
+
+    Level by level from the host down, the children of a node with more than FANOUT distinct ones become a wildcard. A node with no more
+    shapes than that can't have more children anywhere below it, so its shapes are finished: the levels go as deep as there is something to
+    generalise, however long paths are. Each level is written, so that the plan of the next does not hold the plans of all before it.
+    """
+    now = saved(shapes.withColumn("t", F.filter(F.split("shape", "/", -1), lambda s: s != "")), "url-shapes")
+    done, k = None, 0
+    while True:
+        at = now.withColumn("node", F.array_join(F.slice("t", 1, k), "/"))
+        nodes = at.filter(F.size("t") > k).groupBy("host", "node").agg(F.count_distinct(F.get("t", F.lit(k))).alias("children"), F.count(F.lit(1)).alias("shapes")).filter(F.col("shapes") > FANOUT)
+        met = at.join(nodes, ["host", "node"], "left").withColumn("going", F.col("shapes").isNotNull() & (F.size("t") > k))
+        wild = F.concat(F.slice("t", 1, k), F.array(F.lit("*")), F.slice("t", k + 2, F.greatest(F.size("t") - (k + 1), F.lit(0))))
+        seen = Observation()
+        level = met.select(*now.columns, "going", F.when(F.col("going") & (F.col("children") > FANOUT), wild).otherwise(F.col("t")).alias("new_t"))
+        level = saved(level.drop("t").withColumnRenamed("new_t", "t").observe(seen, F.count_if("going").alias("n")), "url-tree")
+        ended = level.filter(~F.col("going")).drop("going")
+        done = ended if done is None else done.unionByName(ended)
+        if not seen.get["n"]:
+            return done
+        now, k = level.filter("going").drop("going"), k + 1
 
 
 def template_verdicts(pages: DataFrame) -> DataFrame:
-    """Verdicts of path shapes, from ``host``, ``s0``.., ``bad`` (boolean, null where a page has no label).
+    """Verdicts of path shapes, from ``host``, ``shape`` and ``bad`` (boolean, null where a page has no label).
 
-    Pages are counted by shape first; the tree, its wildcards and merges are made of those counts. Each level is written, so that the
-    plan of the next does not hold the plans of all before it.
+    Pages are counted by shape first; the tree, its wildcards and merges are made of those counts.
     """
-    names = [f"s{k}" for k in range(DEPTH)]
-    shapes = pages.groupBy("host", *names).agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("n_bad"))
-    tree = saved(shapes.withColumns({f"t{k}": F.col(n) for k, n in enumerate(names)}), "url-shapes")
-    for k in range(DEPTH):
-        at = ["host", *[f"t{j}" for j in range(k)]]
-        children = tree.groupBy(*at).agg(F.count_distinct(f"t{k}").alias("children")).filter(F.col("children") > FANOUT)
-        wide = children.select(*[F.col(c).alias(f"w_{c}") for c in at])
-        same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in at]
-        tree = tree.join(wide, same, "left").withColumn(f"t{k}", F.when(F.col("w_host").isNotNull() & F.col(f"t{k}").isNotNull(), "*").otherwise(F.col(f"t{k}"))).drop(*wide.columns)
-        tree = saved(tree, "url-tree")
-    tree = tree.withColumn("template", F.concat_ws("/", *[f"t{k}" for k in range(DEPTH)]))
-    tree = tree.withColumn("depth", sum(F.col(f"t{k}").isNotNull().cast("int") for k in range(DEPTH)))
+    tree = template_tree(pages.groupBy("host", "shape").agg(F.count("bad").alias("labelled"), F.count_if("bad").alias("n_bad")))
+    tree = tree.withColumns({"template": F.array_join("t", "/"), "depth": F.size("t")})
     branches = tree.groupBy("host", "depth", "template").agg(F.sum("labelled").alias("l"), F.sum("n_bad").alias("b"))
     pools = branches.groupBy("host", "depth").agg(F.sum("b").alias("pb"), F.sum("l").alias("pl"))
     near = branches.join(pools, ["host", "depth"])
@@ -78,7 +87,7 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
     purity = (F.col("ml") - F.col("mb") + PRIOR_PAGES * F.coalesce("base", F.lit(1.0))) / (F.col("ml") + PRIOR_PAGES)
     judged = near.join(merged.withColumnsRenamed({"host": "mh", "depth": "md", "branch": "mbranch"}), (F.col("host") == F.col("mh")) & (F.col("depth") == F.col("md")) & F.col("branch").eqNullSafe(F.col("mbranch")))
     judged = judged.join(F.broadcast(base), how="cross").select("host", "template", "depth", purity.alias("purity"))
-    return tree.select("host", *names, "template", "depth").join(judged, ["host", "template", "depth"]).select("host", *names, "template", "purity", F.when(F.col("purity") < LEAST_PURITY, "block").otherwise("allow").alias("method"))
+    return tree.select("host", "shape", "template", "depth").join(judged, ["host", "template", "depth"]).select("host", "shape", "template", "purity", F.when(F.col("purity") < LEAST_PURITY, "block").otherwise("allow").alias("method"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -93,14 +102,11 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     A null url, or one without ``://``, has an empty host and path. Repeated rows are judged alike, an empty table gives an
     empty result, and other columns of the inputs are ignored.
     """
-    names = [f"s{k}" for k in range(DEPTH)]
     at = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    cut = at.withColumns(dict(zip(names, _shape(F.col("path")), strict=True)))
+    cut = at.withColumn("shape", path_shape(F.col("path")))
     known = labels.filter(F.col("page_id").isNotNull()).groupBy(F.col("page_id").alias("of")).agg(F.bool_or("bad").alias("bad"))
-    shapes = template_verdicts(cut.join(known, F.col("page_id") == F.col("of"), "left").select("host", *names, "bad"))
-    right = shapes.withColumnsRenamed({c: f"v_{c}" for c in ["host", *names]})
-    same = [F.col(c).eqNullSafe(F.col(f"v_{c}")) for c in ["host", *names]]
-    judged = cut.join(right, same, "left")
+    shapes = template_verdicts(cut.join(known, F.col("page_id") == F.col("of"), "left").select("host", "shape", "bad"))
+    judged = cut.join(shapes, ["host", "shape"], "left")
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(rule_of(host, path, rules, "action"), F.col("method"))
     return judged.select("page_id", "host", "path", rule_of(host, path, rules, "text").alias("rule"), verdict.alias("verdict"), "template", "purity")

@@ -39,3 +39,14 @@ def test_repeats_and_empty(spark):
     none = spark.createDataFrame([], "page_id long, bad boolean")
     assert filter_urls(pages, none, RULES).count() == 3
     assert filter_urls(pages.limit(0), none, RULES).count() == 0
+
+
+def test_paths_of_any_depth(spark):
+    rows = [(k, f"http://h.org/a/b/c/d/e/f/{'abcdefghijkl'[k]}/g") for k in range(12)] + [(50, "http://h.org/" + "/".join(f"p{'x' * k}" for k in range(400)))]
+    got = judged(spark, rows)
+    assert got[5]["template"] == "a/b/c/d/e/f/*/g" and len(got[50]["template"].split("/")) == 400
+
+
+def test_equal_shares_of_good_and_bad_pass(spark):
+    got = judged(spark, [(k, f"http://h.org/x/{k}") for k in range(4)], [(0, True), (1, False), (2, True), (3, False)])
+    assert all(r["purity"] == 0.5 and r["verdict"] == "allow" for r in got.values())
