@@ -2,9 +2,11 @@
 
 Items fall into classes by their number of shingles, up to 8, 16, 32 and so on. For the class up to ``u``, a text is cut into
 blocks of ``u`` shingles, and every two neighbouring blocks form a window, so any run of the text as long as an item of the
-class lies in one window of at most twice the class's size. The Jaccard similarity of item and window is then at least a fifth
-for an item of which eight tenths are there, however long the text is. With one row a band, any of ``permutations`` equal minima
-makes a candidate; all similarities that matter are missed with a chance below ``0.81 ** permutations``.
+class lies in one window of at most twice the class's size. An item has more than half its class's size of shingles, or over three in the
+smallest class; if eight tenths of it are in one run of the text, its Jaccard similarity with the window is over a sixth, however long
+the text is. With one row a band, any of ``permutations`` equal minima makes a candidate, so such an item is missed with a
+chance below ``(5 / 6) ** permutations`` (1e-5), and one that is scattered over a text with a chance that grows with its pieces. An item of up to
+three shingles must be there whole, so its least shingle finds it exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ SHINGLE_WORDS = 5
 LEAST_CONTAINMENT = 0.8
 PERMUTATIONS = 64
 SMALLEST_CLASS = 8
+#: Items of at most so many shingles are looked up by one of them.
+EXACT = 3
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +47,10 @@ def band_keys(values: np.ndarray, which: int, size: int) -> np.ndarray:
     return values.astype(np.uint64) | np.uint64(which << 32 | size.bit_length() << 48)
 
 
-def item_keys(hashes: np.ndarray, permutations: int) -> np.ndarray:
-    """The keys of one item's set."""
+def item_keys(hashes: np.ndarray, permutations: int, least: float) -> np.ndarray:
+    """The keys of one item's set; of one that must be found whole, its least shingle."""
+    if len(hashes) <= EXACT and least * len(hashes) > len(hashes) - 1:
+        return hashes.min(keepdims=True)
     a, b = _coefficients(permutations)
     x = (hashes >> np.uint64(32)).astype(np.uint32)
     return np.array([band_keys((x * a[k] + b[k]).min(keepdims=True), k, size_class(len(hashes)))[0] for k in range(permutations)], np.uint64)
@@ -67,7 +73,8 @@ def window_keys(hashes: np.ndarray, where: np.ndarray, sizes: list[int], permuta
         text = np.repeat(np.arange(len(counts)), each)
         begin = first[text] + (np.arange(len(text)) - (np.cumsum(each) - each)[text]) * (size // SMALLEST_CLASS)
         plans.append((size, begin, text, np.append(text[1:] == text[:-1], False)))
-    keys, texts = [], []
+    at = np.flatnonzero(passes(hashes))
+    keys, texts = [hashes[at]], [np.searchsorted(where, at, "right") - 1]
     for k in range(permutations):
         least = np.minimum.reduceat(x * a[k] + b[k], starts)
         for size, begin, text, has_next in plans:
@@ -109,7 +116,7 @@ def contained_items(docs: DataFrame, items: DataFrame, *, least: float = LEAST_C
     shingles = saved(item_shingles(items, shingle_words), "item-shingles")
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = item_keys(pdf["h"].to_numpy().view(np.uint64), permutations)
+        found = item_keys(pdf["h"].to_numpy().view(np.uint64), permutations, least)
         return pd.DataFrame({"item_id": pdf["item_id"].iloc[0], "key": vt.signed(found), "n_item": np.int64(len(pdf))})
 
     sketches = saved(shingles.groupBy("item_id").applyInPandas(sketch, "item_id bigint, key bigint, n_item bigint"), "item-sketches")
@@ -143,8 +150,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, least: float = LEAST_C
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(vt.signed(h[at]))], ["doc_id", "h"])
 
     held = texts.mapInArrow(exact, "doc_id bigint, h bigint").distinct()
-    shared = held.join(shingles, "h").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    # Each pair brings its item's shingles, so a shingle that many texts and items hold joins none but candidates.
     sized = shingles.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item"))
-    met = shared.join(pairs, ["doc_id", "item_id"]).join(sized, "item_id")
+    met = pairs.join(shingles, "item_id").join(held, ["doc_id", "h"]).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared")).join(sized, "item_id")
     found = met.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= least)
     return found.select("doc_id", "item_id", "n_shared", "n_item", "containment")

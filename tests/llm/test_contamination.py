@@ -43,3 +43,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r["doc_id"] for r in contained_items(odd_docs, items).collect()} == {7, 9}
     assert contained_items(no_docs, items).count() == 0
     assert contained_items(odd_docs, items.limit(0)).count() == 0
+
+
+def test_tiny_items_inside_many_long_texts(spark):
+    rng = random.Random(4)
+    items = [(k, f"t{k} u{k} v{k} w{k} x{k}" + (" y" if k % 3 else "")) for k in range(12)]
+    docs = [(k, words(rng, 200, 10**6) + " " + items[k % 12][1] + " " + words(rng, 200, 10**6)) for k in range(300)]
+    found = contained_items(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, h string"), spark.createDataFrame([(*i, 1) for i in items], ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k % 12) for k in range(300)}
