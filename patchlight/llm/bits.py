@@ -58,15 +58,12 @@ def build_filter(keys: DataFrame, col: str) -> Filter:
     return Filter([x.ravel() for x in np.split(held, len(_SALTS))])
 
 
-def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
-    """``rows`` whose id (a long; null never) is not among ``ids``: an anti-join that moves only rows that may be among them.
-
-    A filter of fixed size parts the rows. What it lets pass is joined exactly, so a full filter costs time, not results.
-    """
-    sent = rows.sparkSession.sparkContext.broadcast(build_filter(ids, col))
+def parted(rows: DataFrame, ids: DataFrame, col: str, id_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose id (a long; null never) is surely not among ``ids``, and those of which it may be: a filter of fixed size tells."""
+    sent = rows.sparkSession.sparkContext.broadcast(build_filter(ids, id_col or col))
     at = rows.columns.index(col)
 
-    def parted(wanted: bool) -> DataFrame:
+    def part(wanted: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = batch.column(at)
@@ -75,4 +72,13 @@ def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
 
         return rows.mapInArrow(run, rows.schema)
 
-    return parted(False).unionByName(parted(True).join(ids, col, "left_anti").select(*rows.columns))
+    return part(False), part(True)
+
+
+def without(rows: DataFrame, ids: DataFrame, col: str) -> DataFrame:
+    """``rows`` whose id (a long; null never) is not among ``ids``: an anti-join that moves only rows that may be among them.
+
+    What the filter lets pass is joined exactly, so a full filter costs time, not results.
+    """
+    clear, suspect = parted(rows, ids, col)
+    return clear.unionByName(suspect.join(ids, col, "left_anti").select(*rows.columns))

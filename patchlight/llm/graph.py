@@ -15,6 +15,12 @@ def _marked(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return now, (seen.get["n"], seen.get["mark"])
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Of each row several edges (``u``, ``v``), but none from a node to itself."""
+    edges = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return rows.select(F.explode(edges).alias("e")).select("e.u", "e.v").filter("u <> v")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """For edges ``a``, ``b`` (longs): each node with the smallest node that it reaches, ``node``, ``root``.
 
@@ -22,17 +28,17 @@ def components(edges: DataFrame) -> DataFrame:
     is written, and the number of rounds grows with the logarithm of the edges. No neighbour list is gathered.
     """
     now, mark = _marked(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before = (0, 0)
     while mark != before:
         before = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # Nodes that have no larger neighbour keep their way to the smallest.
-        large = now.select(F.col("v").alias("at"), F.col("u")).join(least.withColumnRenamed("u", "at"), "at").select("u", F.col("m").alias("v")).filter("u <> v")
-        large = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
+        both = _each(now, ("u", "v"), ("v", "u")).select(F.col("u").alias("x"), F.col("v").alias("y"))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        # Larger neighbours, and the node itself, go to the smallest of a node's neighbourhood.
+        near = both.join(least, "x").withColumn("y", F.greatest("x", "y"))
+        large = saved(_each(near, ("x", "m"), ("y", "m")).distinct(), "hooked-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        hooked = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now, mark = _marked(hooked.distinct())
+        now, mark = _marked(_each(large.join(least, "u"), ("u", "m"), ("v", "m")).distinct())
+    if not mark[0]:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return saved(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")

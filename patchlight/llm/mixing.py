@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sample import unused
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Of the seeded 32-bit draw, the leading bits that name a bucket of a source's documents.
 BUCKET_BITS = 12
@@ -48,15 +50,17 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3,
     bucket that the cut falls in, so that no source is sorted by a single task and no text moves: each
     document is compared with its source's cut.
 
-    Null text has size 0; null sources form one source, the last; an empty table gives an empty result; equal
-    rows are documents of their own. Columns of ``docs`` that have the names of the new ones are replaced. Reruns agree.
+    Documents of one id are drawn alike and follow each other by size, text and, if they are equal, by their place in ``docs``, so
+    a cut that falls among them divides them too. Null text has size 0; null sources form one source, the last; an empty table
+    gives an empty result. Columns of ``docs`` that have the names of the new ones are replaced. Reruns agree.
     """
     new = ("size", "source_size", "target", "copies", "taken")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
     kept = docs.drop(*[c for c in new if c in docs.columns])
-    sized = kept.withColumns({"size": n_words(F.col(text_col)), "__draw": draw}).withColumn("__bucket", F.shiftright("__draw", 32 - BUCKET_BITS))
-    place = lambda i: F.struct(F.col("__draw"), i.isNull().alias("none"), i.alias("id"), F.col("size"))
-    narrow = sized.select(F.col(source_col).alias("source"), "__bucket", "size", place(F.col(id_col)).alias("place"))
+    head, place = unused("head", kept.columns), unused("place", kept.columns)
+    order = F.struct(draw.alias("draw"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("size"), F.xxhash64(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    sized = kept.withColumn("size", n_words(F.col(text_col))).withColumns({head: F.shiftright(draw, 32 - BUCKET_BITS), place: order})
+    narrow = sized.select(F.col(source_col).alias("source"), F.col(head).alias("__bucket"), "size", F.col(place).alias("place"))
     buckets = narrow.groupBy("source", "__bucket").agg(F.sum("size").alias("held"))
     goals = targets(buckets.groupBy("source").agg(F.sum("held").cast("long").alias("source_size")), weights, epochs)
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -72,7 +76,8 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3,
     reached = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
     ends = met.withColumn("reached", reached).filter(F.col("reached") <= F.col("part")).groupBy("source").agg(F.max("place").alias("end"))
     cuts = cuts.alias("c").join(ends.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source")), "left").select("c.*", "e.end")
-    taken = sized.alias("d").join(cuts.alias("c"), F.col(f"d.{source_col}").eqNullSafe(F.col("c.source"))).select("d.*", "c.source_size", "c.target", "c.whole", "c.part", "c.last", "c.end")
-    more = (F.col("part") > 0) & ((F.col("__bucket") < F.col("last")) | ((F.col("__bucket") == F.col("last")) & F.coalesce(place(F.col(id_col)) <= F.col("end"), F.lit(False))))
-    taken = taken.withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return taken.select(*kept.columns, *new)
+    taken = sized.alias("d").join(cuts.alias("c"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("c.source")))
+    head, place = F.col(f"d.{head}"), F.col(f"d.{place}")
+    more = (F.col("c.part") > 0) & ((head < F.col("c.last")) | ((head == F.col("c.last")) & F.coalesce(place <= F.col("c.end"), F.lit(False))))
+    copies = (F.col("c.whole") + F.when(more, 1).otherwise(0)).cast("int")
+    return taken.select(*[f"d.`{c}`" for c in kept.columns], "d.size", "c.source_size", "c.target", copies.alias("copies"), (copies * F.col("d.size")).alias("taken"))

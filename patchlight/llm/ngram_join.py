@@ -121,9 +121,9 @@ def candidate_edges(firsts: DataFrame, percent: int) -> DataFrame:
     """
     firsts = saved(firsts, "first-shingles")
     several = firsts.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("token")
-    met = saved(firsts.join(several, "token", "left_semi").distinct(), "shared-firsts")
+    met = saved(firsts.join(several, "token", "left_semi").distinct(), "met-firsts")
     held = met.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min("class").alias("least"))
-    shared = met.join(held, "token")
+    shared = saved(met.join(held, "token"), "shared-firsts")
     hot = shared.filter(F.col("held") > HOT_CLASSES)
     ties = hot.select(F.col("class").alias("a"), F.col("least").alias("b")).filter("a <> b")
     small = shared.filter(F.col("held") <= HOT_CLASSES).select("token", "class", "n")
@@ -190,7 +190,7 @@ def _whole_sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, members: DataFrame, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """Of each class in a candidate group and each of its blocks: ``class``, ``to`` (the smallest class it reaches there) and ``links`` (documents of other classes that it links with there)."""
+    """Of each class in a candidate group and each of its blocks: ``class``, ``to`` (the smallest class it reaches there), ``links`` (documents of other classes that it links with there) and ``whole`` (whether its group has but that block)."""
     dealt = _whole_sets(docs, size, members).join(_blocks(members, percent), "class")
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -204,9 +204,11 @@ def linked_classes(docs: DataFrame, members: DataFrame, size: int, percent: int,
         for a, b in similar_pairs(sets, percent, groups=roots, indexed=None if whole else side == 1, asked=None if whole else side == 2, weigh=common):
             links += np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
             least.link(a, b)
-        return pa.table({"class": classes, "to": classes[least.of], "links": links.astype(np.int64)})
+        return pa.table({"class": classes, "to": classes[least.of], "links": links.astype(np.int64), "whole": pa.array([table["block"][0].as_py().startswith("bin")] * len(sets))})
 
-    return saved(dealt.groupBy("block").applyInArrow(join, "class bigint, to bigint, links bigint"), "linked")
+    linked = saved(dealt.groupBy("block").applyInArrow(join, "class bigint, to bigint, links bigint, whole boolean"), "linked")
+    sent.destroy()
+    return linked
 
 
 def ngram_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -225,7 +227,8 @@ def ngram_groups(docs: DataFrame, *, shingle_words: int = 5, percent: int = 80)
     candidates = components(candidate_edges(first_shingles(docs, shingle_words, percent, sketch), percent))
     members = saved(classes.join(candidates, F.col("class") == F.col("node")).select("class", "n", "copies", "root"), "members")
     linked = linked_classes(docs, members, shingle_words, percent, sketch)
-    roots = components(linked.select(F.col("class").alias("a"), F.col("to").alias("b")))
+    roots = components(linked.filter("NOT whole").select(F.col("class").alias("a"), F.col("to").alias("b")))
+    roots = roots.unionByName(linked.filter("whole").select(F.col("class").alias("node"), F.col("to").alias("root")))
     links = linked.groupBy("class").agg(F.sum("links").alias("links"))
     joined = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("group", F.coalesce("root", "class")).select("class", "copies", "least", "group")
     smallest = joined.groupBy("group").agg(F.min("least").alias("component_id"))

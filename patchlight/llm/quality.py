@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vectext as vt
+from .sample import drawn
 
 BITS = 18
 #: Words of more bytes also count by their first ones.
@@ -132,15 +133,8 @@ def fit(found: np.ndarray, where: np.ndarray, target: np.ndarray, grades: list[i
 
 
 def _sample(docs: DataFrame, ratings: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features and grades of a bounded number of documents of each grade, drawn by the hash of their ids.
-
-    The first of each of 64 parts of a grade are found before the first of the grade, so no task sorts a whole grade.
-    """
-    ids = ratings.select("doc_id", "grade", F.xxhash64("doc_id").alias("draw"), F.pmod(F.xxhash64("doc_id", "grade"), F.lit(64)).alias("part"))
-    for keys in (("grade", "part"), ("grade",)):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))
-        ids = ids.withColumn("k", place).filter(F.col("k") <= settings.docs_each).drop("k")
-    ids = ids.select("doc_id", "grade")
+    """Features and grades of a bounded number of documents of each grade, drawn by the hash of their ids."""
+    ids = drawn(ratings, "grade", settings.docs_each)
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,3 +34,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert mix(no_docs).count() == 0
     again = mix(mix(odd_docs))
     assert again.columns == mix(odd_docs).columns
+
+
+def test_a_cut_among_equal_places_divides_them(spark):
+    rows = [(None, "w " * 10, "a", "x")] * 300 + [(1, "w " * 10, "b", "x")] * 40 + [(k, "v " * 5, "c", "x") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, head string")
+    got = mix(docs).collect()
+    assert mix(docs).columns[:4] == docs.columns
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5

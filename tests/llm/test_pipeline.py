@@ -18,10 +18,34 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 def test_near_copies_leave_one_of_each_group(spark):
     text = " ".join(f"w{k}" for k in range(50))
-    rows = [(5, text), (2, text), (2, text), (9, text + " more"), (7, "other text of its own here"), (None, text), (3, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    own = " ".join(f"v{k}" for k in range(50))
+    rows = [(5, text), (2, text), (2, text), (9, text + " more"), (7, "other text of its own here"), (None, text), (3, None), (None, own), (None, own), (None, own + " x"), (7, text + " again"), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("en"))
     kept = corpus_pipeline.near_copy_stage(spark, docs, SF).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 2), (False, 3), (False, 7), (True, 0)]
+    ids = sorted((r["doc_id"] or 0) for r in kept)
+    assert ids == [0, 2, 3, 7, 8, 8] and [r["text"] for r in kept if r["doc_id"] == 7] == ["other text of its own here"]
+    assert [r["text"] in (own, own + " x") for r in kept if r["doc_id"] is None] == [True]
+
+
+def test_decontamination_judges_each_row_by_its_text(spark, tmp_path):
+    item = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "before " + item), (4, "clean text"), (4, item + " after"), (5, None), (None, "clean"), (6, item), (6, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
+    kept = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, "clean"), (4, "clean text"), (5, "")]
+
+
+def test_every_stage_takes_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd_docs, SF).collect()
+        assert len(out) <= odd_docs.count()
+        assert stage(spark, no_docs, SF).count() == 0, name
+        texts = [r["text"] for r in out]
+        if name == "language":
+            assert None not in texts and "" not in texts
+        if name == "decontamination":
+            assert len(out) == odd_docs.count()
 
 
 def shingled(text, size):
