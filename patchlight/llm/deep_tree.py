@@ -24,7 +24,10 @@ from .storage import saved
 DEPTH = 5
 BUCKETS = 1024
 #: Bytes of text in a chunk, at most, unless it is one longer text.
-CHUNK_BYTES = 1 << 24
+CHUNK_BYTES = 1 << 23
+#: Blocks of one bucket that are merged at once, and chunks that one copy of a bucket's nodes answers, about.
+MERGED = 256
+ASKING = 2048
 #: Cells of chunks that a bucket answers at once.
 _ANSWERED = 1 << 21
 _BYTE = np.uint64(255)
@@ -240,8 +243,25 @@ _GROWN = "bucket int, n bigint, cells binary, counts binary, id int, tables bina
 _ROWS = "depth int, id int, ones binary, counts binary, log_weighted binary, left3 binary, own3 binary"
 
 
+def merged_blocks(held: DataFrame, chunks: int) -> DataFrame:
+    """The blocks of ``chunks`` chunks, merged in rounds until a bucket has few, so that no task holds more than some hundred."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cells, n = _merged(*[table[c].to_pylist() for c in ("cells", "counts", "n")])
+        first = {c: table[c].slice(0, 1) for c in ("bucket", "part")}
+        return pa.table({**first, "n": pa.array([len(cells)]), "cells": pa.array([pack_cells(cells)]), "counts": pa.array([pack(n.astype(np.uint64))])})
+
+    parts = -(-chunks // MERGED)
+    now = held.select("bucket", F.pmod(F.xxhash64("chunk"), F.lit(max(parts, 1))).alias("part"), "n", "cells", "counts")
+    while parts > 1:
+        now = now.groupBy("bucket", "part").applyInArrow(run, "bucket int, part bigint, n bigint, cells binary, counts binary")
+        parts = -(-parts // MERGED)
+        now = now.withColumn("part", F.pmod("part", F.lit(parts)))
+    return now.drop("part")
+
+
 def grow(held: DataFrame) -> DataFrame:
-    """Blocks of all chunks as one row of counted cells per bucket, and one row per depth-3 context."""
+    """Blocks (``merged_blocks``) as one row of counted cells per bucket, and one row per depth-3 context."""
 
     def run(table: pa.Table) -> pa.Table:
         cells, n = _merged(*[table[c].to_pylist() for c in ("cells", "counts", "n")])
@@ -289,10 +309,13 @@ def shallow_rows(grown: DataFrame) -> DataFrame:
     return grown.filter("id IS NOT NULL").select("id", "tables", "logs").groupBy(F.shiftright("id", 2 * ct.CLASS_BITS)).applyInPandas(run, _ROWS)
 
 
-def answered(held: DataFrame) -> DataFrame:
-    """For each block its cells' log10 probabilities, from the counts of all blocks: ``chunk``, ``bucket``, ``said``."""
+def answered(held: DataFrame, chunks: int) -> DataFrame:
+    """For each block its cells' log10 probabilities, from the counts of the blocks of all ``chunks`` chunks: ``chunk``, ``bucket``, ``said``.
+
+    A bucket's nodes are copied for every two thousand chunks or so, so that no task answers more than their blocks.
+    """
     spark = held.sparkSession
-    grown = saved(grow(held), "lm-grown")
+    grown = saved(grow(merged_blocks(held, chunks)), "lm-grown")
     rows = saved(shallow_rows(grown), "lm-shallow")
     few = rows.filter("depth < 3").toArrow().sort_by([("depth", "ascending"), ("id", "ascending")])
     stack = lambda name, kind, width: np.frombuffer(b"".join(x.as_py() for x in few[name].drop_null()), kind).reshape(-1, width)
@@ -320,14 +343,18 @@ def answered(held: DataFrame) -> DataFrame:
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "said": pa.array(said, pa.binary())})
 
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
-    columns = ["bucket", "chunk", "n", "cells", "counts", "id", "ones", "left3", "own3"]
+    columns = ["bucket", "part", "chunk", "n", "cells", "counts", "id", "ones", "left3", "own3"]
+    parts = max(-(-chunks // ASKING), 1)
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part")
     made = grown.filter("id IS NULL").select("bucket", "n", "cells", "counts", *none("bigint", "chunk"), *none("int", "id"), *none("binary", "ones", "left3", "own3"))
     # Each depth-3 context was grown by its bucket, so that says where its row belongs.
     top = rows.filter("depth = 3").join(grown.filter("id IS NOT NULL").select("id", "bucket"), "id")
     top = top.select("bucket", "id", "ones", "left3", "own3", *none("bigint", "chunk", "n"), *none("binary", "cells", "counts"))
-    asked = held.select("bucket", "chunk", "n", "cells", *none("int", "id"), *none("binary", "counts", "ones", "left3", "own3"))
-    every = made.select(columns).unionByName(top.select(columns)).unionByName(asked.select(columns))
-    return every.groupBy("bucket").applyInArrow(run, "chunk bigint, bucket int, said binary")
+    part = F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part")
+    asked = held.select("bucket", part, "chunk", "n", "cells", *none("int", "id"), *none("binary", "counts", "ones", "left3", "own3"))
+    copied = [x.select("*", each).select(columns) for x in (made, top)]
+    every = copied[0].unionByName(copied[1]).unionByName(asked.select(columns))
+    return every.groupBy("bucket", "part").applyInArrow(run, "chunk bigint, bucket int, said binary")
 
 
 def scores(chunks: DataFrame, said: DataFrame) -> DataFrame:
@@ -340,7 +367,8 @@ def scores(chunks: DataFrame, said: DataFrame) -> DataFrame:
         data, parts = np.frombuffer(raw, np.uint8), []
         for i, j in vt.slices(offsets):
             cells, where = text_cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            parts.append((*np.unique(cells, return_inverse=True), where))
+            own, back = np.unique(cells, return_inverse=True)
+            parts.append((own, back.astype(np.int32), where))
         distinct = vt.counted(np.concatenate([p[0] for p in parts]))[0]
         said = said.sort_by("bucket")
         value = np.empty(len(distinct), np.float32)

@@ -16,8 +16,8 @@ from . import deep_tree as dt
 from . import vectext as vt
 from .storage import saved
 
-#: Words with at least this share of all training tokens are looked up in each task; there can be no more than 2**17 of them.
-HEAD_WORDS = 1 << 17
+#: Words with at least one in so many of all training tokens are looked up in each task; there can be no more than that, 16 MB.
+HEAD_WORDS = 1 << 20
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x5EEDE2D0F7E87A11)
 
@@ -120,7 +120,8 @@ def score(docs: DataFrame, held_out: Column, *, id_col: str = "doc_id", text_col
 
     every = saved(rows.select("doc_id", "text", "held_out").mapInArrow(run, schema), "lm-scored")
     scored = every.filter("chunk IS NULL").select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "n_bytes", "rest")
-    said = dt.answered(every.filter("bucket IS NOT NULL").select("chunk", "bucket", "n", "cells", "counts"))
+    chunks = every.filter("sizes IS NOT NULL").count()
+    said = dt.answered(every.filter("bucket IS NOT NULL").select("chunk", "bucket", "n", "cells", "counts"), chunks)
     of_tree = dt.scores(every.filter("text IS NOT NULL"), said)
     rare = scored.select("row", F.explode("rest").alias("key")).join(words.select("key", "n"), "key")
     rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))

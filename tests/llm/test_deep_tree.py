@@ -40,8 +40,9 @@ def test_scores_match_a_plain_deep_tree(spark, monkeypatch):
     rows = [(k, t, "en", "a", 1, "taught") for k, t in enumerate(taught)] + [(k, t, "en", "a", 1, "asked") for k, t in enumerate(asked)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     plain = PlainDeep(taught)
-    for size in (8, dt.CHUNK_BYTES):
-        monkeypatch.setattr(dt, "CHUNK_BYTES", size)
+    for size, merged, asking in ((8, 2, 3), (8, 256, 2048), (dt.CHUNK_BYTES, 256, 2048)):
+        for name, value in (("CHUNK_BYTES", size), ("MERGED", merged), ("ASKING", asking)):
+            monkeypatch.setattr(dt, name, value)
         got = lm_scoring.score(docs.withColumn("doc_id", F.concat("key", "doc_id")), F.col("key") == "asked").collect()
         assert len(got) == len(rows)
         for r in got:
