@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sample import unused
+from .storage import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Of the seeded 32-bit draw, the leading bits that name a bucket of a source's documents.
 BUCKET_BITS = 12
+#: Sources are broadcast if their rows take no more than this; more of them meet the documents in joins.
+FEW_BYTES = 1 << 24
 
 
 def n_words(text: Column) -> Column:
@@ -47,8 +50,8 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3,
     A source is repeated ``floor(target / source_size)`` times whole. For the fraction that remains, documents
     join in the order of a seeded draw until the words so far come nearest to the target, so a source's taken words
     miss it by at most half a document. Where a source's order is cut follows from sums by bucket of the draw and the rows of the one
-    bucket that the cut falls in, so that no source is sorted by a single task and no text moves: each
-    document is compared with its source's cut.
+    bucket that the cut falls in, so that no source is sorted by a single task. Each
+    document is compared with its source's cut; no text moves for that unless the sources are too many to broadcast (``FEW_BYTES``).
 
     Documents of one id are drawn alike and follow each other by size, text and, if they are equal, by their place in ``docs``, so
     a cut that falls among them divides them too. Null text has size 0; null sources form one source, the last; an empty table
@@ -71,12 +74,15 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3,
     beyond = F.min(F.when(F.col("upto") > F.col("part"), F.struct(F.col("__bucket"), (F.col("upto") - F.col("held")).alias("before"))))
     cuts = summed.groupBy("g.source", "source_size", "target", "whole", "part").agg(beyond.alias("cut"))
     cuts = cuts.select("source", "source_size", "target", "whole", "part", F.coalesce("cut.__bucket", F.lit(1 << BUCKET_BITS)).alias("last"), "cut.before")
-    met = narrow.alias("n").join(cuts.alias("c"), F.col("n.source").eqNullSafe(F.col("c.source")) & (F.col("n.__bucket") == F.col("c.last"))).select("c.source", "n.place", "n.size", "c.before", "c.part")
+    cuts = saved(cuts, "mix-sources")
+    held = cuts.agg(F.coalesce(F.sum(64 + F.coalesce(F.octet_length("source"), F.lit(0))), F.lit(0))).first()[0]
+    near = F.broadcast if held <= FEW_BYTES else lambda rows: rows
+    met = narrow.alias("n").join(near(cuts.alias("c")), F.col("n.source").eqNullSafe(F.col("c.source")) & (F.col("n.__bucket") == F.col("c.last"))).select("c.source", "n.place", "n.size", "c.before", "c.part")
     inside = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
     ends = met.withColumn("reached", reached).filter(F.col("reached") <= F.col("part")).groupBy("source").agg(F.max("place").alias("end"))
     cuts = cuts.alias("c").join(ends.alias("e"), F.col("c.source").eqNullSafe(F.col("e.source")), "left").select("c.*", "e.end")
-    taken = sized.alias("d").join(cuts.alias("c"), F.col(f"d.`{source_col}`").eqNullSafe(F.col("c.source")))
+    taken = sized.alias("d").join(near(cuts.alias("c")), F.col(f"d.`{source_col}`").eqNullSafe(F.col("c.source")))
     head, place = F.col(f"d.{head}"), F.col(f"d.{place}")
     more = (F.col("c.part") > 0) & ((head < F.col("c.last")) | ((head == F.col("c.last")) & F.coalesce(place <= F.col("c.end"), F.lit(False))))
     copies = (F.col("c.whole") + F.when(more, 1).otherwise(0)).cast("int")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from patchlight.llm import mixing
 from patchlight.llm.mixing import mix, targets
 
 
@@ -44,3 +45,9 @@ def test_a_cut_among_equal_places_divides_them(spark):
     for source in "abc":
         own = [r for r in got if r["source"] == source]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+
+
+def test_many_sources_mix_as_few_do(odd_docs, monkeypatch):
+    few = sorted(map(str, mix(odd_docs).collect()))
+    monkeypatch.setattr(mixing, "FEW_BYTES", -1)
+    assert sorted(map(str, mix(odd_docs).collect())) == few
