@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
-from ..functions.text import has_extension, increased, is_doc_path, is_document, is_security_flavoured, rx, rx_case, stripped
+from ..functions.guards import folded
+from ..functions.text import has_extension, increased, is_doc_path, is_document, rx, rx_case, rx_guarded, stripped
 
 SECURITY, NOT_SECURITY, ABSTAIN = 1, 0, -1
 
@@ -32,32 +33,35 @@ def _flag(name: str) -> Column:
 
 
 def message_facts(commits: DataFrame) -> DataFrame:
-    """Adds what several labeling functions ask of message, subject and files, each worked out once."""
+    """Adds what several labeling functions ask of message, subject and files, each worked out once.
+
+    A message's patterns run only where its lower-cased copy holds one of the words that they need.
+    """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     files = F.coalesce(F.col("files"), F.array().cast("array<string>"))
-    base = commits.withColumns({"fact_m": text("message"), "fact_s": text("subject"), "fact_f": files})
-    m, s, f = F.col("fact_m"), F.col("fact_s"), F.col("fact_f")
+    base = commits.withColumns({"fact_m": text("message"), "fact_low": folded(text("message")), "fact_s": text("subject"), "fact_f": files})
+    m, low, s, f = F.col("fact_m"), F.col("fact_low"), F.col("fact_s"), F.col("fact_f")
+    found = lambda pattern: rx_guarded(m, low, pattern)
     every = lambda test: (F.size(f) > 0) & F.forall(f, test)
     return base.withColumns(
         {
-            "fact_cve": rx(m, v.CVE),
-            "fact_ghsa": rx(m, v.GHSA),
-            "fact_cwe": rx(m, v.CWE),
-            "fact_class": rx(m, v.VULN_CLASS),
-            "fact_noun": rx(m, v.SECURITY_NOUN),
-            "fact_fix": rx(m, v.FIX_VERB),
-            "fact_advisory": rx(m, v.ADVISORY),
+            "fact_cve": found(v.CVE),
+            "fact_ghsa": found(v.GHSA),
+            "fact_cwe": found(v.CWE),
+            "fact_class": found(v.VULN_CLASS),
+            "fact_noun": found(v.SECURITY_NOUN),
+            "fact_fix": found(v.FIX_VERB),
+            "fact_advisory": found(v.ADVISORY),
             "fact_security_paths": F.size(F.filter(f, lambda x: rx(x, v.SECURITY_PATH))),
             "fact_note_dir": F.exists(f, lambda x: rx(x, v.SECURITY_NOTE_DIR)) & F.exists(f, lambda x: ~is_doc_path(x)),
-            "fact_parser": F.exists(f, lambda x: rx(x, v.PARSER_PATH)),
             "fact_docs": every(is_document),
             "fact_tests": every(lambda x: rx(x, v.TEST_PATH)),
             "fact_ci": every(lambda x: rx(x, v.CI_PATH)),
             "fact_bot": rx(text("author_email"), v.BOT) | rx(text("author_name"), v.BOT),
             "fact_merge": F.coalesce(F.col("is_merge"), F.lit(False)),
             "fact_backport": F.lower(m).contains("security") & F.lower(m).rlike(f"(?dU){v.BACKPORT}"),
-            "fact_bounds": rx(m, v.BOUNDS_CHECK),
-            "fact_crash": rx(m, v.CRASH) & rx(m, v.UNTRUSTED),
+            "fact_bounds": F.size(f).between(1, 4) & F.exists(f, lambda x: rx(x, v.PARSER_PATH)) & found(v.BOUNDS_CHECK),
+            "fact_crash": found(v.UNTRUSTED) & rx(m, v.CRASH),
             "fact_bump": rx(s, v.VERSION_BUMP),
             "fact_style": rx(s, v.STYLE),
             "fact_feature": rx(stripped(s), v.CONVENTIONAL_PREFIX),
@@ -88,7 +92,7 @@ POSITIVE = [
     _positive("lf_security_backport", lambda: _flag("backport")),
     _positive("lf_security_paths_and_fix", lambda: _flag("fix") & (_flag("security_paths") >= F.greatest(F.lit(1), F.floor(F.size(_flag("f")) / 2)))),
     _positive("lf_security_note_path", lambda: _flag("note_dir")),
-    _positive("lf_bounds_check_in_parser", lambda: F.size(_flag("f")).between(1, 4) & _flag("parser") & _flag("bounds")),
+    _positive("lf_bounds_check_in_parser", lambda: _flag("bounds")),
     _positive("lf_crash_on_untrusted_input", lambda: _flag("crash")),
 ]
 NEGATIVE = [
@@ -101,7 +105,7 @@ NEGATIVE = [
     _negative("lf_typo_or_style", lambda: _flag("style") & ~_flag("noun")),
     _negative("lf_feature_commit", lambda: _flag("feature") & ~_flag("noun") & ~_flag("class")),
     _negative("lf_huge_diff", _huge),
-    _negative("lf_empty_message", lambda: (F.length(stripped(_flag("m"))) < 8) & (F.size(_flag("f")) == 0)),
+    _negative("lf_empty_message", lambda: (F.size(_flag("f")) == 0) & (F.length(stripped(_flag("m"))) < 8)),
 ]
 DERIVED = [
     LabelingFunction("lf_release_of_security_fix", SECURITY, "derived", lambda: F.col("release_window_positive")),
@@ -144,10 +148,10 @@ def diff_facts(commits: DataFrame) -> DataFrame:
             "fact_concurrency": rx(comments, v.CONCURRENCY_COMMENT),
         }
     )
-    better = F.lit(False)
-    for family, *_ in FAMILIES:
-        better = better | _flag(f"{family}_better")
-    return facts.withColumn("fact_excused", better | is_security_flavoured(_flag("m")) | (_flag("security_paths") > 0))
+    excused = _flag("security_paths") > 0
+    for known in ("cve", "ghsa", "cwe", "class", "noun", "advisory", *[f"{family}_better" for family, *_ in FAMILIES]):
+        excused = excused | _flag(known)
+    return facts.withColumn("fact_excused", excused)
 
 
 def _family(family: str, surface: str, mitigation: str, both: str) -> list[LabelingFunction]:
