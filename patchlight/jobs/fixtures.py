@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.commits import derived
+from ..sources.tables import spread
 
 SUBJECTS = [
     "Update the reader",
@@ -119,6 +120,9 @@ def commit_columns(sql: bool) -> dict[str, str]:
     hours = f"CAST(floor({k} / 40) AS BIGINT)"
     gold = "coalesce(toxic, 0) = 1"
     cites = f"'diff --git a/CHANGELOG.md b/CHANGELOG.md' || chr(10) || '+++ b/CHANGELOG.md' || chr(10) || '+* fix ([' || substr({hex_id('c', f'({k} - {k} % 7 - 20)')}, 1, 7) || '](x)) and 1234567, CVE-2024-' || CAST(1000 + {k} % 9000 AS STRING)"
+    # A patch as long as the text, whose lines it adds and, halved, removes.
+    header = "'diff --git a/src/notes.c b/src/notes.c' || chr(10) || '--- a/src/notes.c' || chr(10) || '+++ b/src/notes.c' || chr(10)"
+    lines = f"{header} || '+' || replace(replace(text, '. ', '.' || chr(10)), chr(10), chr(10) || '+') || chr(10) || '-' || replace(replace(text, ', ', ',' || chr(10)), chr(10), chr(10) || '-')"
     return {
         "id": k,
         "sha": hex_id("c", k),
@@ -136,7 +140,7 @@ def commit_columns(sql: bool) -> dict[str, str]:
         "insertions": "CAST(n_chars AS INT)",
         "deletions": "CAST(floor(n_chars / 3) AS INT)",
         "is_gold": gold,
-        "diff_text": f"CASE WHEN {k} % 9 = 4 THEN {cites} ELSE {pick(k, [text(p) for p in PATCHES])} END",
+        "diff_text": f"CASE WHEN {k} % 9 = 4 THEN {cites} WHEN {k} % 11 = 6 THEN {lines} ELSE {pick(k, [text(p) for p in PATCHES])} END",
     }
 
 
@@ -145,7 +149,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return docs.select(*[F.expr(e).alias(c) for c, e in commit_columns(sql=False).items()])
 
 
@@ -206,18 +210,19 @@ URLS = [
     ("'https://github.com/org/repo' || k || '/releases/tag'"),
     ("'https://github.com/org'"),
     ("'not a link ' || k"),
+    ("'https://github.com/Org/Repo' || k || '/commit/' || h || ';x=1'"),
 ]
 
 
 def url_expression(key: str, of: str) -> str:
-    """A URL of one of sixteen shapes; ``of`` is the commit that it names."""
+    """A URL of one of seventeen shapes; ``of`` is the commit that it names."""
     k, h = f"CAST({of} % 20 AS STRING)", f"({hex_id('c', of)})"
     return pick(key, [u.replace("|| k", f"|| {k}").replace("(h,", f"({h},").replace("|| h", f"|| {h}") for u in URLS])
 
 
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed advisory pages: one item for each customer, its references from that customer's orders."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.expr(url_expression("o_orderkey", "(o_orderkey % 1000)")).alias("url"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.expr(url_expression("o_orderkey", "o_orderkey")).alias("url"))
     tags = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("Patch"), F.lit("Vendor"))).otherwise(F.array().cast("array<string>"))
     refs = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "url", tags.alias("tags")))).alias("r"), F.min("o_orderdate").alias("first"))
     joined = table(spark, sf_dir, "customer").join(refs, F.col("c_custkey") == F.col("o_custkey"))
@@ -238,7 +243,7 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cves_cte() -> str:
     """The oracle's twin of ``nvd_records(advisories)``: columns of ``cves``, and ``links_raw`` in order of the references."""
-    return f"""refs AS (SELECT o_custkey, o_orderkey, o_orderdate, {url_expression('o_orderkey', '(o_orderkey % 1000)')} AS url, o_orderkey % 3 = 0 AS patch FROM orders),
+    return f"""refs AS (SELECT o_custkey, o_orderkey, o_orderdate, {url_expression('o_orderkey', 'o_orderkey')} AS url, o_orderkey % 3 = 0 AS patch FROM orders),
 cves AS (
   SELECT 'CVE-2024-' || (10000 + c_custkey)::VARCHAR AS cve_id, strftime(min(o_orderdate), '%Y-%m-%d') || 'T10:00:00' AS published, strftime(min(o_orderdate), '%Y-%m-%d') || 'T12:00:00' AS last_modified,
     CASE WHEN c_custkey % 5 = 0 THEN '' ELSE any_value(c_name) END AS description,
@@ -254,13 +259,13 @@ def osv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed open advisories: one for each part, with fixes in commits, a third of them shortened."""
     return table(spark, sf_dir, "part").select(F.expr(f"""struct(
         'GHSA-' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS array<string>) ELSE array('CVE-2024-' || CAST(10000 + p_partkey AS STRING)) END AS aliases,
-        array(struct(array(struct(CASE WHEN p_partkey % 5 = 0 THEN 'SEMVER' ELSE 'GIT' END AS type, 'https://github.com/org/src' || CAST((p_partkey % 1000) % 20 AS STRING) AS repo,
-          array(struct('0' AS introduced, CAST(NULL AS STRING) AS fixed), struct(CAST(NULL AS STRING) AS introduced, CASE WHEN p_partkey % 3 = 0 THEN upper(substr({hex_id('c', '(p_partkey % 1000)')}, 1, 9)) ELSE {hex_id('c', '(p_partkey % 1000)')} END AS fixed)) AS events)) AS ranges)) AS affected,
-        array(struct('FIX' AS type, {url_expression('p_partkey', '(p_partkey % 1000)')} AS url), struct('WEB' AS type, 'https://github.com/org/x/commit/abcdef1' AS url)) AS references)""").alias("x")).select("x.*")
+        array(struct(array(struct(CASE WHEN p_partkey % 5 = 0 THEN 'SEMVER' ELSE 'GIT' END AS type, 'https://github.com/org/src' || CAST(p_partkey % 20 AS STRING) AS repo,
+          array(struct('0' AS introduced, CAST(NULL AS STRING) AS fixed), struct(CAST(NULL AS STRING) AS introduced, CASE WHEN p_partkey % 3 = 0 THEN upper(substr({hex_id('c', 'p_partkey')}, 1, 9)) ELSE {hex_id('c', 'p_partkey')} END AS fixed)) AS events)) AS ranges)) AS affected,
+        array(struct('FIX' AS type, {url_expression('p_partkey', 'p_partkey')} AS url), struct('WEB' AS type, 'https://github.com/org/x/commit/abcdef1' AS url)) AS references)""").alias("x")).select("x.*")
 
 
 def osv_cte() -> str:
-    h = hex_id("c", "(p_partkey % 1000)")
+    h = hex_id("c", "p_partkey")
     return f"""osv AS (
   SELECT 'GHSA-' || p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 4 <> 0 THEN 'CVE-2024-' || (10000 + p_partkey)::VARCHAR END AS alias, p_partkey % 5 <> 0 AS git,
-    'org/src' || ((p_partkey % 1000) % 20)::VARCHAR AS range_repo, lower(CASE WHEN p_partkey % 3 = 0 THEN substr({h}, 1, 9) ELSE {h} END) AS fixed, {url_expression('p_partkey', '(p_partkey % 1000)')} AS url FROM part)"""
+    'org/src' || (p_partkey % 20)::VARCHAR AS range_repo, lower(CASE WHEN p_partkey % 3 = 0 THEN substr({h}, 1, 9) ELSE {h} END) AS fixed, {url_expression('p_partkey', 'p_partkey')} AS url FROM part)"""

@@ -153,7 +153,7 @@ _RESERVED = ", ".join(f"'{o}'" for o in v.RESERVED_OWNERS)
 def links(source: str, keys: str) -> str:
     """CTE ``links`` with the parsed parts of ``source``'s url."""
     return rf"""l0 AS (SELECT {keys}, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host,
-  list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM {source}),
+  list_filter(string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/'), lambda x: x <> '') AS p FROM {source}),
 l1 AS (SELECT *, CASE WHEN host = 'api.github.com' THEN CASE WHEN len(p) >= 3 AND p[1] = 'repos' THEN p[2:] END WHEN host IN ({_HOSTS}) THEN p END AS q FROM l0),
 l2 AS (SELECT *, q[1] AS owner, regexp_replace(regexp_replace(trim(q[2]), '\.git$', ''), '[.,);\]''"]+$', '') AS name, q[3] AS section, q[4] AS val FROM l1),
 links AS (SELECT {keys}, url, owner, name, lower(owner || '/' || name) AS repo_key,
@@ -203,7 +203,30 @@ av AS (SELECT mv.*, dv.* EXCLUDE (sha), CASE WHEN w.release_window_positive THEN
   FROM mv JOIN dv USING (sha) JOIN fired w USING (sha) LEFT JOIN hits h USING (sha)),
 ac AS (SELECT *, {_sum(ALL_WITH_DIFF, 1)} AS y, {_sum(ALL_WITH_DIFF, 0)} AS n FROM av)"""
 
+_IS_CODE = f"NOT (len(z) > 0 AND len(list_filter(z, lambda x: {found('x', v.CODE_EXTENSION, '')} AND NOT {found('x', v.RELEASE_FILE)})) = 0)"
+_CODED = f"""coded AS (SELECT c.*, {_IS_CODE} AS is_code, (y - n)::DOUBLE / 10 + 0.5 AS prob_security, CASE WHEN y > n THEN 1 WHEN n > y THEN 0 ELSE -1 END::TINYINT AS mv_label,
+  CASE WHEN y + n = 0 THEN -1 WHEN (y - n)::DOUBLE / 10 + 0.5 >= 0.6::DOUBLE THEN 1 ELSE 0 END::TINYINT AS label
+  FROM (SELECT *, regexp_extract_all(diff_text, '(?m)^diff --git a/.* b/(.*)$', 1) AS z FROM counted) c)"""
+_FIRED_NAMES = lambda polarity, vote: ", ".join(f"CASE WHEN {lf.name} = {vote} THEN '{lf.name}' END" for lf in MESSAGE if lf.polarity == polarity)
+
 SQL = {
+    "vote_unions": f"{_MATRIX} "
+    + " UNION ALL ".join(
+        f"SELECT {p}::INT AS polarity, {sum(q == p for q in POLARITY.values())}::INT AS lfs, (count(*) FILTER (WHERE {x} > 0)) / count(*) AS covered, sum({x}) / count(*) AS summed, (count(*) FILTER (WHERE y > 0 AND n > 0)) / count(*) AS both FROM m"
+        for p, x in ((1, "y"), (0, "n"))
+    ),
+    "code_gold_hits": f"{_MESSAGE}, {_CODED} " + " UNION ALL ".join(f"SELECT '{lf.name}' AS lf, count(*) FILTER (WHERE {lf.name} = {lf.polarity} AND is_gold) AS gold_hits, count(*) FILTER (WHERE {lf.name} = {lf.polarity} AND is_gold AND is_code) AS code_gold_hits FROM coded" for lf in MESSAGE),
+    "code_vetoes": f"{_MESSAGE}, {_CODED}, f AS (SELECT y, is_code, label, unnest(list_filter([{_FIRED_NAMES(0, 0)}], lambda x: x IS NOT NULL)) AS lf FROM coded WHERE is_gold) SELECT lf, count(*) AS n, count(*) FILTER (WHERE y = 0) AS lone, count(*) FILTER (WHERE is_code) AS on_code, count(*) FILTER (WHERE label <> 1) AS on_missed FROM f GROUP BY 1",
+    "gold_rows": f"{_MESSAGE}, {_CODED} SELECT sha, array_to_string(list_filter([{_FIRED_NAMES(1, 1)}], lambda x: x IS NOT NULL), ',') AS positives, array_to_string(list_filter([{_FIRED_NAMES(0, 0)}], lambda x: x IS NOT NULL), ',') AS vetoes, mv_label, prob_security, label, is_code FROM coded WHERE is_gold",
+    "ranked_conjunctions": f"{_WITH}, {_STRATA}, {_SECTIONS}, {_LINES}, {_DIFF_FACTS}, c AS (SELECT stratum, {_DIFF_VOTES} FROM dg JOIN (SELECT sha, stratum FROM drawn) USING (sha)), k AS ("
+    + " UNION ALL ".join(f"SELECT '{b}' AS lf, count(*) FILTER (WHERE stratum = 'gold' AND {b} = 1) AS gold_hits, count(*) FILTER (WHERE stratum = 'control' AND {b} = 1) AS fired, count(*) FILTER (WHERE stratum = 'control') AS n FROM c" for *_, b in FAMILIES)
+    + """), r AS (SELECT *, CASE WHEN n > 0 THEN fired / n ELSE 0 END::DOUBLE AS rate FROM k)
+      SELECT row_number() OVER (ORDER BY rate, gold_hits, lf)::INT AS rank, lf, gold_hits, fired, rate, floor(rate * (SELECT count(*) FROM commits))::BIGINT AS expected,
+        CASE WHEN gold_hits = 0 THEN 'no gold evidence' WHEN rate <= 0.001 THEN 'high precision' WHEN rate <= 0.005 THEN 'usable' WHEN rate <= 0.015 THEN 'loose' ELSE 'too loose' END AS verdict FROM r""",
+    "fired_on": f"{_MATRIX} SELECT count(*) FILTER (WHERE lf_large <> -1) AS n, (count(*) FILTER (WHERE lf_large <> -1)) / count(*) AS share FROM m",
+    "fired_on_in_repo": f"{_MATRIX} SELECT count(*) FILTER (WHERE lf_large <> -1) AS n, (count(*) FILTER (WHERE lf_large <> -1)) / count(*) AS share FROM m WHERE repo = 'org/1'",
+    "attached_sample": f"{_WITH}, {_STRATA} SELECT sha, stratum, repo, n_files::INT AS n_files FROM drawn",
+    "cwe_of_missed": f"{_ALL}, {FACTS}, voted AS (SELECT sha, {_votes(MESSAGE)} FROM facts), w AS (SELECT sha FROM voted WHERE {_sum(MESSAGE, 1)} <= {_sum(MESSAGE, 0)}) SELECT cwe, count(*) AS n FROM (SELECT unnest(c.cwes) AS cwe FROM golden g JOIN cves c USING (cve_id) JOIN w USING (sha) WHERE is_cve_fix) GROUP BY 1",
     "all_lf_summary": f"{_WITH}, {_SEEDED}, {_WINDOW}, {_SECTIONS}, {_LINES}, {_DIFF_FACTS}, {_CITED}, {_EVERY} {_lf_rows({lf.name: lf.polarity for lf in ALL_WITH_DIFF}, 'ac', 'is_gold')}",
     "lf_summary": f"{_MESSAGE} {_lf_rows({lf.name: lf.polarity for lf in MESSAGE}, 'counted', 'is_gold')}",
     "lf_votes": f"{_MESSAGE} SELECT sha, {', '.join(lf.name for lf in MESSAGE)}, CASE WHEN y > n THEN 1 WHEN n > y THEN 0 ELSE -1 END::TINYINT AS mv_label FROM counted",

@@ -15,6 +15,7 @@ from ..operators import advisories as adv
 from ..operators import audit, combine, features, labeling, measure, sampling
 from ..operators import commits as cm
 from ..operators import diffs as df_ops
+from ..sources.staged import staged
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +56,14 @@ def changed_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf: str) -> DataFrame:
-    seeded = features.seed_votes(fx.commits(spark, sf))
-    return features.citation_features(seeded, seeded.select("sha", "seed"))
+    commits = fx.commits(spark, sf)
+    return features.citation_features(commits, staged(features.seed_votes(commits).select("sha", "seed"), "seeds"))
 
 
-def strata(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.stratified(features.seed_votes(fx.commits(spark, sf)), 200, gold="is_gold")
+def strata(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The stratified sample, with ``columns`` of the commits (all, if none is named); seeds are voted once and written with them."""
+    seeded = features.seed_votes(fx.commits(spark, sf))
+    return sampling.stratified(staged(seeded.select(*columns, "seed") if columns else seeded, "seeded"), 200, gold="is_gold")
 
 
 def control_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,6 +78,43 @@ def all_lfs(spark: SparkSession, sf: str) -> DataFrame:
     return measure.lf_table(voted, {lf.name: lf.polarity for lf in labeling.ALL_WITH_DIFF}, "is_gold")
 
 
+def coded(spark: SparkSession, sf: str) -> DataFrame:
+    """Message votes on commits, their majority, what the difference of votes makes of them, and whether a commit changes code."""
+    code = ~cm.is_release_only(df_ops.changed_paths(F.col("diff_text")))
+    voted = labeling.apply_lfs(fx.commits(spark, sf).withColumn("is_code", code), labeling.MESSAGE)
+    names = list(MESSAGE)
+    counted = voted.withColumns({"mv_label": combine.majority(names), "n_positive": combine.n_votes(names, 1), "n_negative": combine.n_votes(names, 0)})
+    difference = (F.col("n_positive") - F.col("n_negative")).cast("double") / 10 + 0.5
+    return counted.withColumn("prob_security", difference).withColumn("label", F.when(F.expr("n_positive + n_negative = 0"), -1).when(F.col("prob_security") >= 0.6, 1).otherwise(0).cast("tinyint"))
+
+
+def message_names(vote: int) -> list[str]:
+    return [c for c, p in MESSAGE.items() if p == vote]
+
+
+def gold_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return measure.gold_detail(coded(spark, sf), MESSAGE, "sha", others=["prob_security", "label", "is_code"])
+
+
+def code_gold_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return measure.lf_table(coded(spark, sf), MESSAGE, "is_gold", "is_code").select("lf", "gold_hits", "code_gold_hits")
+
+
+def ranked_conjunctions(spark: SparkSession, sf: str) -> DataFrame:
+    """Conjunctions on the sample, whose hunks are cut once and written."""
+    cut = staged(df_ops.with_hunks(strata(spark, sf)), "sample-hunks")
+    size = fx.commits(spark, sf).count()
+    return measure.ranked_conjunctions(labeling.apply_lfs(cut, labeling.DIFF), [b for *_, b in labeling.FAMILIES], F.lit(size))
+
+
+def cwe_of_missed(spark: SparkSession, sf: str) -> DataFrame:
+    """CWEs of the gold commits that the majority of message votes doesn't call security."""
+    cves_, links_, fixes_ = landed(spark, sf)
+    voted = staged(coded(spark, sf).select("sha", "mv_label"), "votes")
+    missed = gold_of(spark, sf, cves_, links_, fixes_).filter("is_cve_fix").join(voted, "sha").filter("mv_label <> 1")
+    return adv.cwe_counts(audit.gold_with_cve(missed, cves_))
+
+
 def majority_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return fx.vote_matrix(spark, sf).withColumns({"mv_label": combine.majority(VOTES), "n_positive": combine.n_votes(VOTES, 1), "n_negative": combine.n_votes(VOTES, 0)})
 
@@ -109,7 +149,7 @@ def top_confident(spark: SparkSession, sf: str) -> DataFrame:
 
 def ablations(spark: SparkSession, sf: str) -> DataFrame:
     """The model on subsets of functions: flagged rows and gold among them. All refits read the patterns of one pass."""
-    counted = fx.vote_matrix(spark, sf).groupBy(*VOTES, "is_gold").agg(F.count(F.lit(1)).alias("n"))
+    counted = staged(fx.vote_matrix(spark, sf).groupBy(*VOTES, "is_gold").agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
     subsets = {"all": VOTES, "positives and one": [*POSITIVE, NEGATIVE[0]], **{f"without {c}": [x for x in VOTES if x != c] for c in POSITIVE}}
     out = None
     for name, lfs in subsets.items():
@@ -127,8 +167,8 @@ def review_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted text classifier of labels, tested on held-out repositories: one row of accuracy on them."""
-    voted = labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE)
-    model = combine.fit_label_model(voted, list(MESSAGE), 0.3)
+    voted = staged(labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE).select("repo", "message", *MESSAGE), "votes")
+    model = combine.fit_label_model(combine.patterns(voted, list(MESSAGE)), list(MESSAGE), 0.3, weight="n")
     rows = combine.with_labels(voted, model).filter("label <> -1").select("repo", "message", F.col("label").cast("double").alias("y"), (F.abs(F.col("prob_security") - 0.5) * 2 + 0.01).alias("weight"))
     held = F.pmod(F.xxhash64("repo"), F.lit(4)) == 0
     stages = [
@@ -149,6 +189,12 @@ def cves(spark: SparkSession, sf: str) -> DataFrame:
     return adv.nvd_records(fx.advisories(spark, sf))
 
 
+def landed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Advisories, their links and their fixes, each written once: what follows reads them several times."""
+    records = staged(cves(spark, sf), "cves")
+    return records, staged(adv.cve_links(records), "cve-links"), staged(adv.fixes_of_cves(fx.osv(spark, sf), records), "cve-fixes")
+
+
 def links(spark: SparkSession, sf: str) -> DataFrame:
     return adv.cve_links(cves(spark, sf))
 
@@ -157,8 +203,8 @@ def fixes(spark: SparkSession, sf: str) -> DataFrame:
     return adv.fixes_of_cves(fx.osv(spark, sf), cves(spark, sf))
 
 
-def targets(spark: SparkSession, sf: str) -> DataFrame:
-    return adv.repo_targets(links(spark, sf), fixes(spark, sf), cves(spark, sf).select("cve_id", "published"))
+def targets(cves_: DataFrame, links_: DataFrame, fixes_: DataFrame) -> DataFrame:
+    return adv.repo_targets(links_, fixes_, cves_.select("cve_id", "published"))
 
 
 def nvd_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -166,13 +212,13 @@ def nvd_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cve_records(spark: SparkSession, sf: str) -> DataFrame:
-    r = adv.cve_records(cves(spark, sf), links(spark, sf), fixes(spark, sf))
+    r = adv.cve_records(*landed(spark, sf))
     n = lambda c: F.coalesce(F.size(F.col(c)), F.lit(0)).cast("long")
     return r.select("cve_id", F.array_join("github_repos", ",").alias("github_repos"), "primary_repo", n("patch_refs").alias("n_patch_refs"), n("osv_fixes").alias("n_fixes"))
 
 
 def repo_targets(spark: SparkSession, sf: str) -> DataFrame:
-    t = targets(spark, sf)
+    t = targets(*landed(spark, sf))
     pairs = F.transform(F.array_sort(F.map_entries("commit_to_cve")), lambda x: F.concat_ws("=", x["key"], x["value"]))
     return t.select("repo_key", *[F.array_join(c, ",").alias(c) for c in ("cve_ids", "fix_commits", "fix_prs")], F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("commit_to_cve"))
 
@@ -192,21 +238,35 @@ def git_log(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("repo", "sha", "author_email", "committer_date", "subject", "message", "is_merge", "n_parents", "n_files", F.array_join("files", ",").alias("files"), "insertions", "deletions")
 
 
-def resolved(spark: SparkSession, sf: str) -> DataFrame:
-    return cm.resolve_shas(audit.with_commit_reference(links(spark, sf), fixes(spark, sf)), fx.commits(spark, sf)).select("cve_id", "repo_key", "commit", "full_sha")
+def resolved(spark: SparkSession, sf: str, links_: DataFrame, fixes_: DataFrame) -> DataFrame:
+    return cm.resolve_shas(audit.with_commit_reference(links_, fixes_), fx.commits(spark, sf)).select("cve_id", "repo_key", "commit", "full_sha")
+
+
+def gold_of(spark: SparkSession, sf: str, cves_: DataFrame, links_: DataFrame, fixes_: DataFrame) -> DataFrame:
+    return cm.flag_gold(fx.commits(spark, sf), resolved(spark, sf, links_, fixes_), targets(cves_, links_, fixes_))
 
 
 def golden(spark: SparkSession, sf: str) -> DataFrame:
-    return cm.flag_gold(fx.commits(spark, sf), resolved(spark, sf), targets(spark, sf))
+    return gold_of(spark, sf, *landed(spark, sf))
 
 
-def gold_flags(spark: SparkSession, sf: str) -> DataFrame:
-    return golden(spark, sf).select("repo", "sha", "is_cve_fix", "cve_id", F.array_join("cve_ids", ",").alias("all_cves"), "repo_cve_ids")
+def gold_with_cve(spark: SparkSession, sf: str) -> DataFrame:
+    tables = landed(spark, sf)
+    return audit.gold_with_cve(gold_of(spark, sf, *tables), tables[0])
+
+
+def unattributed(spark: SparkSession, sf: str) -> DataFrame:
+    cves_, links_, fixes_ = landed(spark, sf)
+    return audit.unattributed(audit.with_commit_reference(links_, fixes_), gold_of(spark, sf, cves_, links_, fixes_))
+
 
+def window_summary(spark: SparkSession, sf: str) -> DataFrame:
+    cves_, links_, fixes_ = landed(spark, sf)
+    return adv.window_summary(cves_, links_, targets(cves_, links_, fixes_))
 
-def missed_gold(spark: SparkSession, sf: str) -> DataFrame:
-    missed = majority_matrix(spark, sf).filter("is_gold and mv_label <> 1")
-    return missed.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("mv_label = -1")).alias("abstained"), F.count_if(F.expr("n_negative > 0")).alias("vetoed"))
+
+def gold_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return golden(spark, sf).select("repo", "sha", "is_cve_fix", "cve_id", F.array_join("cve_ids", ",").alias("all_cves"), "repo_cve_ids")
 
 
 def control_trips(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,8 +284,8 @@ def family_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def fired_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty commits that one function fired on, drawn by hash."""
-    voted = labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE).filter(F.col("lf_vuln_class") != -1)
-    return sampling.sample(voted.select("sha", "repo", "subject"), 20, 5)
+    voted = labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE).select("sha", "repo", "subject", "lf_vuln_class")
+    return sampling.sample(staged(voted, "votes").filter("lf_vuln_class <> -1").drop("lf_vuln_class"), 20, 5)
 
 
 def kept_cves(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,8 +308,8 @@ QUERIES: dict[str, Query] = {
     "changed_paths": changed_paths,
     "diff_excerpt": lambda s, d: df_ops.excerpt(fx.commits(s, d)),
     "citations": citations,
-    "stratified_sample": lambda s, d: strata(s, d).select("sha", "stratum"),
-    "stratum_sizes": lambda s, d: sampling.stratum_sizes(strata(s, d)),
+    "stratified_sample": lambda s, d: strata(s, d, "sha", "is_gold").select("sha", "stratum"),
+    "stratum_sizes": lambda s, d: sampling.stratum_sizes(strata(s, d, "sha", "is_gold", "diff_text")),
     "seeded_sample": lambda s, d: sampling.sample(fx.commits(s, d).select("sha", "repo"), 100, 7),
     "control_rates": control_rates,
     "control_trips": control_trips,
@@ -271,7 +331,15 @@ QUERIES: dict[str, Query] = {
     "by_repo": lambda s, d: measure.by_repo(majority_matrix(s, d), VOTES),
     "gold_detail": lambda s, d: measure.gold_detail(majority_matrix(s, d), fx.POLARITY, "l_orderkey", "l_linenumber"),
     "conversion": lambda s, d: measure.conversion(majority_matrix(s, d), VOTES, "mv_label"),
-    "missed_gold": missed_gold,
+    "missed_gold": lambda s, d: measure.missed_gold(majority_matrix(s, d), NEGATIVE, "mv_label"),
+    "vote_unions": lambda s, d: measure.unions(fx.vote_matrix(s, d), fx.POLARITY),
+    "code_gold_hits": code_gold_hits,
+    "code_vetoes": lambda s, d: measure.vetoes(coded(s, d), message_names(0), code="is_code", label="label"),
+    "gold_rows": gold_rows,
+    "ranked_conjunctions": ranked_conjunctions,
+    "fired_on": lambda s, d: measure.fired_on(fx.vote_matrix(s, d), "lf_large"),
+    "fired_on_in_repo": lambda s, d: measure.fired_on(fx.vote_matrix(s, d), "lf_large", "org/1"),
+    "attached_sample": lambda s, d: sampling.attached(fx.commits(s, d).select("sha", "repo", "n_files"), strata(s, d, "sha", "is_gold").select("sha", "stratum")),
     "label_model": label_model,
     "lf_accuracies": lf_accuracies,
     "top_confident": top_confident,
@@ -286,19 +354,20 @@ QUERIES: dict[str, Query] = {
     "cve_fixes": fixes,
     "cve_records": cve_records,
     "repo_targets": repo_targets,
-    "ranked_targets": lambda s, d: adv.ranked_targets(targets(s, d), 2, 25),
-    "window_summary": lambda s, d: adv.window_summary(cves(s, d), links(s, d), targets(s, d)),
+    "ranked_targets": lambda s, d: adv.ranked_targets(targets(*landed(s, d)), 2, 25),
+    "window_summary": window_summary,
     "cwe_counts": lambda s, d: adv.cwe_counts(cves(s, d)),
     "reference_kinds": reference_kinds,
     "git_log": git_log,
     "history_window": lambda s, d: cm.history_window(fx.commits(s, d), since="2024-01-01T06:00:00", until="2025-01-01T00:00:00", newest=20).select("repo", "sha"),
-    "resolve_shas": resolved,
+    "resolve_shas": lambda s, d: resolved(s, d, *landed(s, d)[1:]),
     "gold_flags": gold_flags,
     "distinct_commits": lambda s, d: cm.distinct_commits(fx.commits(s, d).select("repo", "sha")),
     "repo_counts": lambda s, d: cm.repo_counts(golden(s, d)),
     "backports": lambda s, d: cm.collapse_backports(fx.commits(s, d)).withColumn("shas", F.array_join("shas", ",")),
-    "gold_audit": lambda s, d: audit.cve_index(audit.gold_with_cve(golden(s, d), cves(s, d))),
-    "unattributed_cves": lambda s, d: audit.unattributed(audit.with_commit_reference(links(s, d), fixes(s, d)), golden(s, d)),
+    "gold_audit": lambda s, d: audit.cve_index(gold_with_cve(s, d)),
+    "unattributed_cves": unattributed,
     "flat_gold": lambda s, d: audit.flat_gold(golden(s, d)),
-    "cwe_of_gold": lambda s, d: adv.cwe_counts(audit.gold_with_cve(golden(s, d), cves(s, d))),
+    "cwe_of_gold": lambda s, d: adv.cwe_counts(gold_with_cve(s, d)),
+    "cwe_of_missed": cwe_of_missed,
 }

@@ -54,12 +54,12 @@ def in_window(cves: DataFrame, end: str, months: int, least_score: float | None
 def parse_link(url: Column) -> Column:
     """Owner, name, repo_key, kind and id that a code host's URL names; null for other URLs. kind is null for a plain repository."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    # A trailing ;part belongs to the last segment's parameters, not to the path.
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r";[^/]*\z", "")
     parts = F.filter(F.split(path, "/", -1), lambda p: p != "")
     api = host == "api.github.com"
     usable = host.isin(v.GITHUB_HOSTS) & (~api | ((F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == "repos")))
     at = lambda k: F.get(parts, F.when(api, k + 1).otherwise(k))
-    # A trailing ;part belongs to the last segment's parameters, not to the path.
     name = F.regexp_replace(F.regexp_replace(F.trim(at(1)), r"\.git$", ""), r"""[.,);\]'"]+$""", "")
     owner, section, value = at(0), at(2), at(3)
     known = usable & name.isNotNull() & (name != "") & ~F.lower(owner).isin(v.RESERVED_OWNERS)

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
 from ..functions.text import advisory_ids, is_release_subject, rx, sha_references
+from ..sources.staged import staged
 from .diffs import section_path, sections
 from .labeling import POSITIVE, SECURITY, apply_lfs
 
 
 def seed_votes(commits: DataFrame, lfs=POSITIVE) -> DataFrame:
-    """Adds ``seed``: whether a positive content function fires. Derived functions never seed."""
+    """Adds ``seed``: whether a positive content function fires. Derived functions never seed.
+
+    Write it (``staged``) before filtering by it: a filter would go down to the texts and run every pattern once more for each of its uses.
+    """
     voted = apply_lfs(commits, lfs)
     return voted.select(*commits.columns, (F.greatest(*[F.col(lf.name) for lf in lfs]) == SECURITY).alias("seed"))
 
@@ -59,7 +63,7 @@ def citation_features(patches: DataFrame, seeded: DataFrame) -> DataFrame:
 
 def with_features(commits: DataFrame, patches: DataFrame | None = None) -> DataFrame:
     """All features on the whole corpus: adds ``release_window_positive``, ``patch_cites_advisory`` and ``patch_cites_fix_commit`` (false without patches)."""
-    seeded = seed_votes(commits)
+    seeded = staged(seed_votes(commits).select("repo", "sha", "author_date", "subject", "seed"), "seeds")
     out = commits.join(release_feature(seeded), ["repo", "sha"], "left")
     if patches is not None:
         out = out.join(citation_features(patches, seeded.select("sha", "seed")), "sha", "left")

@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .combine import n_votes
 
 
-def lf_table(votes: DataFrame, polarity: Mapping[str, int], gold: str | None = None) -> DataFrame:
+def lf_table(votes: DataFrame, polarity: Mapping[str, int], gold: str | None = None, code: str | None = None) -> DataFrame:
     """Per function ``lf``, ``polarity``, ``fired``, ``coverage``, ``overlaps``, ``conflicts`` and, with gold, ``gold_hits``, ``correct``, ``incorrect``, ``accuracy``.
 
     Counts of both votes per row say what overlaps and conflicts, so it is one pass with one row out. ``correct`` counts cast votes
-    that equal gold (null is false).
+    that equal gold (null is false). ``code`` flags rows that change code; with it ``code_gold_hits`` counts those of the hits.
     """
     names = list(polarity)
     rows = votes.withColumns({"__yes": n_votes(names, 1), "__no": n_votes(names, 0)})
     is_gold = F.coalesce(F.col(gold), F.lit(False)) if gold else F.lit(False)
+    is_code = F.coalesce(F.col(code), F.lit(False)) if code else F.lit(False)
     sums = [F.count(F.lit(1)).alias("rows")]
     for c in names:
         cast = F.col(c) != -1
@@ -27,15 +28,18 @@ def lf_table(votes: DataFrame, polarity: Mapping[str, int], gold: str | None = N
             F.count_if(cast & (F.col("__yes") + F.col("__no") > 1)).alias(f"{c}|overlaps"),
             F.count_if(((F.col(c) == 1) & (F.col("__no") > 0)) | ((F.col(c) == 0) & (F.col("__yes") > 0))).alias(f"{c}|conflicts"),
             F.count_if((F.col(c) == polarity[c]) & is_gold).alias(f"{c}|gold"),
+            F.count_if((F.col(c) == polarity[c]) & is_gold & is_code).alias(f"{c}|code"),
             F.count_if(cast & (F.col(c) == is_gold.cast("int"))).alias(f"{c}|correct"),
         ]
     one = rows.agg(*sums)
     each = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("lf"), F.lit(polarity[c]).alias("polarity"), *[F.col(f"`{c}|{k}`").alias(k) for k in ("fired", "overlaps", "conflicts", "gold", "correct")]) for c in names])
+        F.array(*[F.struct(F.lit(c).alias("lf"), F.lit(polarity[c]).alias("polarity"), *[F.col(f"`{c}|{k}`").alias(k) for k in ("fired", "overlaps", "conflicts", "gold", "code", "correct")]) for c in names])
     )
     flat = one.select("rows", each.alias("x")).select("rows", "x.*")
     share = lambda c: F.when(F.col("rows") > 0, F.col(c) / F.col("rows")).otherwise(0.0)
-    out = flat.select("lf", "polarity", "fired", share("fired").alias("coverage"), share("overlaps").alias("overlaps"), share("conflicts").alias("conflicts"), "gold", "correct")
+    out = flat.select("lf", "polarity", "fired", share("fired").alias("coverage"), share("overlaps").alias("overlaps"), share("conflicts").alias("conflicts"), "gold", F.col("code").alias("code_gold_hits"), "correct")
+    if not code:
+        out = out.drop("code_gold_hits")
     if not gold:
         return out.drop("gold", "correct")
     return out.withColumnRenamed("gold", "gold_hits").withColumns({"incorrect": F.col("fired") - F.col("correct"), "accuracy": F.when(F.col("fired") > 0, F.col("correct") / F.col("fired"))})
@@ -92,11 +96,54 @@ def cofire(patterns: DataFrame, positive: Sequence[str]) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def vetoes(votes: DataFrame, negative: Sequence[str], gold: str = "is_gold") -> DataFrame:
-    """Per negative function ``lf`` the gold rows it votes against, ``n``, and those of them that no function supports, ``lone``."""
+def vetoes(votes: DataFrame, negative: Sequence[str], gold: str = "is_gold", code: str | None = None, label: str | None = None) -> DataFrame:
+    """Per negative function ``lf`` the gold rows it votes against, ``n``, and those of them that no function supports, ``lone``.
+
+    With ``code`` also those that change code, ``on_code``; with ``label`` those that aren't labeled security, ``on_missed``.
+    """
     rows = votes.filter(F.coalesce(F.col(gold), F.lit(False)))
-    long = rows.select(F.explode(F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(c)) for c in negative]))).alias("lf"), (F.col("n_positive") == 0).alias("lone"))
-    return long.groupBy("lf").agg(F.count(F.lit(1)).alias("n"), F.count_if("lone").alias("lone"))
+    flags = {"lone": F.col("n_positive") == 0}
+    if code:
+        flags["on_code"] = F.coalesce(F.col(code), F.lit(False))
+    if label:
+        flags["on_missed"] = F.col(label) != 1
+    long = rows.select(F.explode(F.array_compact(F.array(*[F.when(F.col(c) == 0, F.lit(c)) for c in negative]))).alias("lf"), *[x.alias(k) for k, x in flags.items()])
+    return long.groupBy("lf").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(k).alias(k) for k in flags])
+
+
+def unions(votes: DataFrame, polarity: Mapping[str, int]) -> DataFrame:
+    """Per side (``polarity``) its functions, ``lfs``, the share of rows that any of them votes on, ``covered``, the sum of their single shares, ``summed``, and the share with votes of both sides, ``both``."""
+    sides = {p: [c for c, q in polarity.items() if q == p] for p in (1, 0)}
+    counts = votes.select(*[n_votes(sides[p], p).alias(f"n{p}") for p in sides])
+    one = counts.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.expr("n1 > 0 AND n0 > 0")).alias("both"), *[x for p in sides for x in (F.count_if(F.col(f"n{p}") > 0).alias(f"any{p}"), F.sum(f"n{p}").alias(f"sum{p}"))])
+    rows = F.array(*[F.struct(F.lit(p).alias("polarity"), F.lit(len(own)).alias("lfs"), *[(F.col(x) / F.col("rows")).alias(k) for x, k in ((f"any{p}", "covered"), (f"sum{p}", "summed"), ("both", "both"))]) for p, own in sides.items()])
+    return one.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def fired_on(votes: DataFrame, lf: str, repo: str | None = None) -> DataFrame:
+    """One row: on how many commits, of one repository or all, a function votes, ``n``, and what ``share`` of them that is."""
+    rows = votes if repo is None else votes.filter(F.col("repo") == repo)
+    out = rows.agg(F.count_if(F.col(lf) != -1).alias("n"), F.count(F.lit(1)).alias("rows"))
+    return out.select("n", F.coalesce(F.col("n") / F.when(F.col("rows") > 0, F.col("rows")), F.lit(0.0)).alias("share"))
+
+
+def missed_gold(votes: DataFrame, negative: Sequence[str], label: str = "label", gold: str = "is_gold") -> DataFrame:
+    """Per repository the gold rows that aren't labeled security, ``n``, those without a label, ``abstained``, and those that a function votes against, ``vetoed``."""
+    missed = votes.filter(F.coalesce(F.col(gold), F.lit(False)) & (F.col(label) != 1)).select("repo", F.col(label).alias("l"), n_votes(negative, 0).alias("against"))
+    return missed.groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("l = -1")).alias("abstained"), F.count_if(F.expr("against > 0")).alias("vetoed"))
+
+
+def ranked_conjunctions(sample: DataFrame, conjunctions: Sequence[str], corpus_rows: Column, stratum: str = "stratum") -> DataFrame:
+    """Conjunctions by their rate on the control stratum, the rarest first: ``rank``, ``lf``, ``gold_hits``, ``fired``, ``rate``, ``expected`` (firings in so many rows) and a verdict."""
+    control, gold = F.col(stratum) == "control", F.col(stratum) == "gold"
+    one = sample.agg(F.count_if(control).alias("n"), *[x for c in conjunctions for x in (F.count_if(control & (F.col(c) == 1)).alias(f"{c}|c"), F.count_if(gold & (F.col(c) == 1)).alias(f"{c}|g"))])
+    rows = F.array(*[F.struct(F.lit(c).alias("lf"), F.col(f"`{c}|g`").alias("gold_hits"), F.col(f"`{c}|c`").alias("fired")) for c in conjunctions])
+    rate = F.coalesce(F.col("fired") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0))
+    flat = one.select("n", F.explode(rows).alias("x")).select("x.*", "n").withColumn("rate", rate)
+    verdict = F.when(F.col("gold_hits") == 0, "no gold evidence").when(F.col("rate") <= 0.001, "high precision").when(F.col("rate") <= 0.005, "usable").when(F.col("rate") <= 0.015, "loose").otherwise("too loose")
+    # One row per function, so one task may rank them.
+    rank = F.row_number().over(Window.orderBy("rate", "gold_hits", "lf"))
+    return flat.select(rank.alias("rank"), "lf", "gold_hits", "fired", "rate", F.floor(F.col("rate") * corpus_rows).cast("long").alias("expected"), verdict.alias("verdict"))
 
 
 def by_repo(votes: DataFrame, names: Sequence[str], gold: str = "is_gold", mv: str = "mv_label") -> DataFrame:
@@ -107,10 +154,10 @@ def by_repo(votes: DataFrame, names: Sequence[str], gold: str = "is_gold", mv: s
     return out.withColumn("flagged_percent", F.round(F.col("flagged") * 100 / F.col("commits"), 2))
 
 
-def gold_detail(votes: DataFrame, polarity: Mapping[str, int], *ids: str, gold: str = "is_gold", mv: str = "mv_label") -> DataFrame:
-    """Per gold row the functions for it, ``positives``, and against it, ``vetoes`` (names joined by commas), and its majority."""
+def gold_detail(votes: DataFrame, polarity: Mapping[str, int], *ids: str, gold: str = "is_gold", mv: str = "mv_label", others: Sequence[str] = ()) -> DataFrame:
+    """Per gold row the functions for it, ``positives``, and against it, ``vetoes`` (names joined by commas), its majority, and ``others`` (as its probability, label and whether it changes code)."""
     joined = lambda vote: F.array_join(F.array_compact(F.array(*[F.when(F.col(c) == vote, F.lit(c)) for c in polarity])), ",")
-    return votes.filter(F.coalesce(F.col(gold), F.lit(False))).select(*ids, joined(1).alias("positives"), joined(0).alias("vetoes"), mv)
+    return votes.filter(F.coalesce(F.col(gold), F.lit(False))).select(*ids, joined(1).alias("positives"), joined(0).alias("vetoes"), mv, *others)
 
 
 def conversion(votes: DataFrame, names: Sequence[str], label: str = "label") -> DataFrame:

@@ -23,6 +23,14 @@ def stratified(commits: DataFrame, control: int, *, gold: str = "is_cve_fix", po
     return kinds.filter("stratum <> 'control'").unionByName(rest)
 
 
+def attached(rows: DataFrame, sample: DataFrame, key: str = "sha") -> DataFrame:
+    """``rows`` of a sample with the sample's columns; a sampled row that ``rows`` lacks fails the job, so that nothing is lost unseen."""
+    there = "__there"
+    joined = sample.join(rows.withColumn(there, F.lit(True)), key, "left")
+    kept = F.when(F.col(there), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("sampled row is not in the table: "), F.col(key))))
+    return joined.withColumn(key, kept).drop(there)
+
+
 def stratum_sizes(drawn: DataFrame, patch: str = "diff_text") -> DataFrame:
     """Per stratum its rows, characters of patches, and empty patches."""
     text = F.coalesce(F.col(patch), F.lit(""))

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from . import schemas
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in at least as many partitions as there are cores; only a table so small that its scan would leave cores idle is moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def read_commits(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """The commit table, from Parquet or JSON lines."""
     reader = spark.read.schema(schemas.COMMITS)
@@ -52,6 +58,11 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"([0-9a-f]{7,40})", 1).alias("sha"), F.col("value").alias("diff_text"))
 
 
+def read_patch_sample(spark: SparkSession, path: str) -> DataFrame:
+    """A written sample of patches: ``sha``, ``repo``, ``stratum``, ``diff_text``."""
+    return spark.read.schema(schemas.PATCHES).parquet(path).withColumnRenamed("diff", "diff_text")
+
+
 def read_citations(spark: SparkSession, path: str | None, commits: DataFrame) -> DataFrame:
     """Commits with their citation columns; without the table both are false."""
     names = ["patch_cites_advisory", "patch_cites_fix_commit"]

@@ -1,8 +1,11 @@
+import json
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from patchlight.operators import advisories as adv
-from patchlight.operators import combine, measure
+from patchlight.operators import combine, measure, sampling
 from patchlight.operators import commits as cm
 from patchlight.sources import tables
 
@@ -24,6 +27,8 @@ URLS = [
     ("https://github.com/ADVISORIES/x", None),
     ("https://github.com/o", None),
     ("https://gitlab.com/o/r", None),
+    ("https://github.com/o/r/commit/abcdef1;x=1;y", ("o/r", "commit", "abcdef1")),
+    ("https://github.com/o;a/r/pull/7;z", ("o;a/r", "pull", "7")),
     ("nothing", None),
     (None, None),
 ]
@@ -134,6 +139,62 @@ def test_round_trips(spark, tmp_path):
     assert (next((tmp_path / "review").glob("*.csv"))).read_text().startswith("sha,verdict")
 
 
+def test_patch_samples_and_citations_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", "o/r", "gold", "diff --git a/x b/x\n+y")], "sha string, repo string, stratum string, diff string")
+    tables.write_rows(rows, str(tmp_path / "sample"))
+    assert tables.read_patch_sample(spark, str(tmp_path / "sample")).first()["diff_text"] == "diff --git a/x b/x\n+y"
+    cited = spark.createDataFrame([("s1", True, False)], "sha string, patch_cites_advisory boolean, patch_cites_fix_commit boolean")
+    tables.write_rows(cited, str(tmp_path / "cited"))
+    got = {r["sha"]: (r["patch_cites_advisory"], r["patch_cites_fix_commit"]) for r in tables.read_citations(spark, str(tmp_path / "cited"), spark.createDataFrame([("s1",), ("s2",)], "sha string")).collect()}
+    assert got == {"s1": (True, False), "s2": (False, False)}
+
+
+def test_a_sampled_row_that_is_missing_fails(spark):
+    rows = spark.createDataFrame([("s1", 1), ("s2", 2)], "sha string, n int")
+    drawn = spark.createDataFrame([("s2", "gold")], "sha string, stratum string")
+    assert [tuple(r) for r in sampling.attached(rows, drawn).collect()] == [("s2", "gold", 2)]
+    with pytest.raises(Exception, match="not in the table: s3"):
+        sampling.attached(rows, drawn.unionByName(spark.createDataFrame([("s3", "gold")], drawn.schema))).collect()
+
+
+def test_landed_advisories_are_read(spark, tmp_path):
+    page = {
+        "totalResults": 1,
+        "vulnerabilities": [
+            {
+                "cve": {
+                    "id": "CVE-2024-1111",
+                    "published": "2024-01-02T00:00:00.000",
+                    "lastModified": "2024-01-03T00:00:00.000",
+                    "descriptions": [{"lang": "es", "value": "hola"}, {"lang": "en", "value": "hello"}],
+                    "metrics": {"cvssMetricV31": [{"type": "Secondary", "cvssData": {"baseScore": 1.0, "baseSeverity": "LOW"}}, {"type": "Primary", "cvssData": {"baseScore": 9.8, "baseSeverity": "CRITICAL"}}], "cvssMetricV2": [{"type": "Primary", "baseSeverity": "LOW", "cvssData": {"baseScore": 2.0}}]},
+                    "weaknesses": [{"description": [{"lang": "en", "value": "CWE-79"}, {"lang": "en", "value": "NVD-CWE-Other"}]}, {"description": [{"lang": "en", "value": "CWE-22"}]}],
+                    "references": [{"url": "https://github.com/O/R/commit/abcdef1", "tags": ["Patch"]}, {"url": "https://x.example/a"}],
+                }
+            }
+        ],
+    }
+    (tmp_path / "nvd.json").write_text(json.dumps(page))
+    (r,) = adv.nvd_records(tables.read_nvd_pages(spark, str(tmp_path / "nvd.json"))).collect()
+    assert (r["cve_id"], r["description"], r["cvss_score"], r["cvss_severity"], r["cwes"]) == ("CVE-2024-1111", "hello", 9.8, "CRITICAL", ["CWE-22", "CWE-79"])
+    assert len(r["reference_urls"]) == 2 and r["patch_urls"] == ["https://github.com/O/R/commit/abcdef1"]
+    advisory = {
+        "id": "GHSA-1",
+        "aliases": ["CVE-2024-1111"],
+        "affected": [{"ranges": [{"type": "GIT", "repo": "https://github.com/o/r", "events": [{"introduced": "0"}, {"fixed": "ABCDEF12"}]}, {"type": "SEMVER", "events": [{"fixed": "1.2"}]}]}],
+        "references": [{"type": "FIX", "url": "https://github.com/o/r/commit/1234567"}, {"type": "WEB", "url": "https://github.com/o/r/commit/7654321"}],
+    }
+    (tmp_path / "osv.json").write_text(json.dumps(advisory))
+    got = {tuple(x) for x in adv.osv_fixes(tables.read_osv(spark, str(tmp_path / "osv.json"))).collect()}
+    assert got == {("GHSA-1", "o/r", "abcdef12", "range"), ("GHSA-1", "o/r", "1234567", "reference")}
+
+
+def test_conjunctions_are_ranked_by_their_control_rate(spark):
+    rows = [("control", -1, 1)] * 99 + [("control", 1, -1)] + [("gold", 1, 1), ("gold", 1, -1)]
+    got = measure.ranked_conjunctions(spark.createDataFrame(rows, "stratum string, a int, b int"), ["a", "b"], F.lit(1000)).collect()
+    assert [tuple(r) for r in got] == [(1, "a", 2, 1, 0.01, 10, "loose"), (2, "b", 1, 99, 0.99, 990, "too loose")]
+
+
 def test_registry():
     import __spark_entry__ as entry
 
