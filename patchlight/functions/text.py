@@ -14,7 +14,7 @@ def rx(text: Column, pattern: str) -> Column:
     return text.rlike(f"(?idU){pattern}")
 
 
-def rx_guarded(text: Column, low: Column, pattern: str) -> Column:
+def rx_guarded(text: Column, low: Column | str, pattern: str) -> Column:
     """As ``rx``, for a long text with its ``folded`` copy: the pattern runs only where the text holds a word that it needs."""
     return may_hold(low, pattern) & rx(text, pattern)
 

@@ -40,8 +40,8 @@ def message_facts(commits: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     files = F.coalesce(F.col("files"), F.array().cast("array<string>"))
     base = commits.withColumns({"fact_m": text("message"), "fact_low": folded(text("message")), "fact_s": text("subject"), "fact_f": files})
-    m, low, s, f = F.col("fact_m"), F.col("fact_low"), F.col("fact_s"), F.col("fact_f")
-    found = lambda pattern: rx_guarded(m, low, pattern)
+    m, s, f = F.col("fact_m"), F.col("fact_s"), F.col("fact_f")
+    found = lambda pattern: rx_guarded(m, "fact_low", pattern)
     every = lambda test: (F.size(f) > 0) & F.forall(f, test)
     return base.withColumns(
         {
