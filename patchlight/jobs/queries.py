@@ -37,9 +37,14 @@ def lf_summary(spark: SparkSession, sf: str) -> DataFrame:
     return measure.lf_table(labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE), MESSAGE, "is_gold")
 
 
+def release_window(spark: SparkSession, sf: str) -> DataFrame:
+    seeded = features.seed_votes(fx.commits(spark, sf)).select("repo", "sha", "author_date", "subject", "seed")
+    return features.release_feature(staged(seeded, "seeds"))
+
+
 def release_log(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.table(spark, sf, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("is_release"), (F.col("event_type") == "error").alias("seed"))
-    return features.release_windows(e, "user_id", ["ts", "event_id"]).select("event_id", "fires")
+    return features.release_windows(e, "user_id", ["ts", "event_id"], F.to_date("ts")).select("event_id", "fires")
 
 
 def hunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,7 +304,7 @@ QUERIES: dict[str, Query] = {
     "lf_votes": lf_votes,
     "all_lf_summary": all_lfs,
     "seed_votes": lambda s, d: features.seed_votes(fx.commits(s, d)).select("sha", "seed"),
-    "release_window": lambda s, d: features.release_feature(features.seed_votes(fx.commits(s, d))),
+    "release_window": release_window,
     "release_log": release_log,
     "diff_hunks": lambda s, d: hunks(s, d).select("sha", "diff_added", "diff_removed"),
     "diff_votes": diff_votes,

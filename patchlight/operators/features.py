@@ -21,22 +21,31 @@ def seed_votes(commits: DataFrame, lfs=POSITIVE) -> DataFrame:
     return voted.select(*commits.columns, (F.greatest(*[F.col(lf.name) for lf in lfs]) == SECURITY).alias("seed"))
 
 
-def release_windows(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+def release_windows(rows: DataFrame, group: str, order: list[str], period: Column) -> DataFrame:
     """Adds ``fires``: a release (``is_release``) with a seed strictly between it and its group's previous release.
 
-    Only the columns that it needs should be passed; each group is sorted once, and both windows share that order. Equal places
-    in the order must not occur, so ``order`` ends with an id.
+    So what comes last before a firing release, of the group's releases and seeds, is a seed. Other rows decide nothing and don't
+    move. ``period`` cuts the order in parts (a day of its time, say): each is sorted by itself, and the last of every part is handed
+    to the next one, so no group is one task's. ``rows`` are read three times, so they should be a written table or a cheap scan of one.
+    Equal places in the order must not occur, so ``order`` ends with an id. Nulls count as false.
     """
-    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    cut = rows.withColumn("segment", F.coalesce(F.sum(F.col("is_release").cast("int")).over(before), F.lit(0)))
-    held = F.max(F.col("seed") & ~F.col("is_release")).over(Window.partitionBy(group, "segment"))
-    return cut.withColumn("fires", F.col("is_release") & F.coalesce(held, F.lit(False))).drop("segment")
+    release = F.coalesce(F.col("is_release"), F.lit(False))
+    seed = F.coalesce(F.col("seed") & ~F.col("is_release"), F.lit(False))
+    events = rows.filter(release | seed).withColumns({"__part": period, "__seed": seed})
+    place = F.struct(*[F.col(c) for c in order])
+    last = events.groupBy(F.col(group).alias("__group"), "__part").agg(F.max_by("__seed", place).alias("__last"))
+    carried = last.select("__group", F.col("__part").alias("__at"), F.lag("__last").over(Window.partitionBy("__group").orderBy("__part")).alias("__carried"))
+    nearest = F.lag("__seed").over(Window.partitionBy(group, "__part").orderBy(*order))
+    met = events.withColumn("__nearest", nearest).join(carried, F.col(group).eqNullSafe(F.col("__group")) & F.col("__part").eqNullSafe(F.col("__at")))
+    told = met.withColumn("fires", release & F.coalesce("__nearest", "__carried", F.lit(False))).select(*rows.columns, "fires")
+    return rows.filter(~(release | seed)).withColumn("fires", F.lit(False)).unionByName(told)
 
 
 def release_feature(seeded: DataFrame) -> DataFrame:
-    """``repo``, ``sha``, ``release_window_positive`` of each commit of ``seeded`` (see ``seed_votes``)."""
+    """``repo``, ``sha``, ``release_window_positive`` of each commit of ``seeded`` (see ``seed_votes``; written before, as it is read three times)."""
     narrow = seeded.select("repo", "sha", "author_date", "seed", is_release_subject(F.col("subject")).alias("is_release"))
-    return release_windows(narrow, "repo", ["author_date", "sha"]).select("repo", "sha", F.col("fires").alias("release_window_positive"))
+    day = F.substring("author_date", 1, 10)
+    return release_windows(narrow, "repo", ["author_date", "sha"], day).select("repo", "sha", F.col("fires").alias("release_window_positive"))
 
 
 def changelog_additions(patch: Column) -> Column:
@@ -64,7 +73,8 @@ def citation_features(patches: DataFrame, seeded: DataFrame) -> DataFrame:
 def with_features(commits: DataFrame, patches: DataFrame | None = None) -> DataFrame:
     """All features on the whole corpus: adds ``release_window_positive``, ``patch_cites_advisory`` and ``patch_cites_fix_commit`` (false without patches)."""
     seeded = staged(seed_votes(commits).select("repo", "sha", "author_date", "subject", "seed"), "seeds")
-    out = commits.join(release_feature(seeded), ["repo", "sha"], "left")
+    fired = release_feature(seeded).filter("release_window_positive").distinct()
+    out = commits.join(fired, ["repo", "sha"], "left")
     if patches is not None:
         out = out.join(citation_features(patches, seeded.select("sha", "seed")), "sha", "left")
     absent = [c for c in ("patch_cites_advisory", "patch_cites_fix_commit") if c not in out.columns]

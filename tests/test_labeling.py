@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,8 +143,23 @@ def test_prefilter_drops_before_it_cuts(spark):
 def test_release_windows_exclude_the_release_itself(spark):
     #        seed, release: the second release has no seed between; the third's own seed doesn't count
     rows = [(1, 1, True, False), (1, 2, False, True), (1, 3, False, False), (1, 4, True, True), (1, 5, True, False), (1, 6, False, True), (2, 1, False, True)]
-    got = {(r["g"], r["t"]): r["fires"] for r in release_windows(spark.createDataFrame(rows, "g int, t int, seed boolean, is_release boolean"), "g", ["t"]).collect()}
-    assert [k for k, fires in got.items() if fires] == [(1, 2), (1, 6)] or {k for k, fires in got.items() if fires} == {(1, 2), (1, 6)}
+    made = spark.createDataFrame(rows, "g int, t int, seed boolean, is_release boolean")
+    for period in (F.lit(0), F.col("t"), F.floor(F.col("t") / 3)):
+        assert sorted((r["g"], r["t"]) for r in release_windows(made, "g", ["t"], period).filter("fires").collect()) == [(1, 2), (1, 6)]
+
+
+def test_release_windows_match_a_plain_loop(spark):
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(0, 0, 0, 1, None), t, pick(True, False, False, None), pick(True, False, False, None)) for t in range(600)]
+    want, seen = {}, {}
+    for g, t, seed, release in rows:
+        want[t] = bool(release) and seen.get(g, False)
+        seen[g] = False if release else bool(seen.get(g) or (seed and release is False))
+    made = spark.createDataFrame(rows, "g int, t int, seed boolean, is_release boolean")
+    got = {r["t"]: r["fires"] for r in release_windows(made, "g", ["t"], F.floor(F.col("t") / 7)).collect()}
+    assert got == want and 0 < sum(want.values()) < 600
+    assert release_windows(made.limit(0), "g", ["t"], F.col("t")).count() == 0
 
 
 def test_citations_need_another_positive_commit(spark):
