@@ -60,9 +60,9 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def _layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _layout(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of all words, where each word begins among them, each byte's place in its word, and each text's first word."""
-    full = ~_SPACE[data]
+    full = ~space[data]
     first = full.copy()
     first[1:] &= ~full[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
@@ -81,12 +81,12 @@ def _terms(held: np.ndarray, place: np.ndarray) -> np.ndarray:
     return _PLACE[place % _PLACES] * (np.uint64(2) * (place // _PLACES).astype(np.uint64) + np.uint64(1)) * _LOWER[held]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word in order, and for each text the index of its first word.
 
-    The second array has one more entry than there are texts.
+    The second array has one more entry than there are texts. ``space`` says of each byte whether it parts words.
     """
-    held, at, place, of = _layout(data, offsets)
+    held, at, place, of = _layout(data, offsets, space)
     return (mix64(np.add.reduceat(_terms(held, place), at)) if len(at) else np.zeros(0, np.uint64)), of
 
 
