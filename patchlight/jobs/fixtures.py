@@ -118,6 +118,8 @@ def commit_columns(sql: bool) -> dict[str, str]:
     """Expressions over ``documents`` left-joined to ``labels``."""
     k = "doc_id"
     hours = f"CAST(floor({k} / 40) AS BIGINT)"
+    # Sources go by the id too; so that each has all subjects, theirs are shifted.
+    turn = f"({k} + CAST(floor({k} / 20) AS BIGINT))"
     gold = "coalesce(toxic, 0) = 1"
     cites = f"'diff --git a/CHANGELOG.md b/CHANGELOG.md' || chr(10) || '+++ b/CHANGELOG.md' || chr(10) || '+* fix ([' || substr({hex_id('c', f'({k} - {k} % 7 - 20)')}, 1, 7) || '](x)) and 1234567, CVE-2024-' || CAST(1000 + {k} % 9000 AS STRING)"
     # A patch as long as the text, whose lines it adds and, halved, removes.
@@ -134,8 +136,8 @@ def commit_columns(sql: bool) -> dict[str, str]:
         "committer_name": "'Dev'",
         "committer_email": "'dev@org.example'",
         "committer_date": hour_stamp(f"({hours} + {k} % 3)"),
-        "subject": f"CASE WHEN {gold} OR {k} % 13 = 5 THEN {pick(k, [text(s) for s in SECURITY_SUBJECTS])} ELSE {pick(k, [text(s) for s in SUBJECTS])} END",
-        "body": f"CASE WHEN {k} % 20 = 17 THEN '' ELSE text END",
+        "subject": f"CASE WHEN {gold} OR {k} % 13 = 5 THEN {pick(turn, [text(s) for s in SECURITY_SUBJECTS])} ELSE {pick(turn, [text(s) for s in SUBJECTS])} END",
+        "body": "coalesce(text, '')",
         "files": f"CASE WHEN {k} % 20 = 17 THEN {_array([], sql)} ELSE {pick(k, [_array(f, sql) for f in FILES])} END",
         "insertions": "CAST(n_chars AS INT)",
         "deletions": "CAST(floor(n_chars / 3) AS INT)",

@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import advisories as adv
-from ..operators import audit, combine, features, labeling, measure, sampling
+from ..operators import audit, combine, features, labeling, measure, sampling, text_model
 from ..operators import commits as cm
 from ..operators import diffs as df_ops
 from ..sources.staged import staged
@@ -170,24 +166,21 @@ def review_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.review_sample(votes, 50).select("sha", "repo", "prob_security", "verdict")
 
 
-def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted text classifier of labels, tested on held-out repositories: one row of accuracy on them."""
-    voted = staged(labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE).select("repo", "message", *MESSAGE), "votes")
+def labelled_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages with the label that the model gives their votes (``y``; abstentions go), how sure it is (``weight``), and whether the repository is held out."""
+    voted = staged(labeling.apply_lfs(fx.commits(spark, sf), labeling.MESSAGE).select("repo", "sha", "message", *MESSAGE), "votes")
     model = combine.fit_label_model(combine.patterns(voted, list(MESSAGE)), list(MESSAGE), 0.3, weight="n")
-    rows = combine.with_labels(voted, model).filter("label <> -1").select("repo", "message", F.col("label").cast("double").alias("y"), (F.abs(F.col("prob_security") - 0.5) * 2 + 0.01).alias("weight"))
-    held = F.pmod(F.xxhash64("repo"), F.lit(4)) == 0
-    stages = [
-        RegexTokenizer(inputCol="message", outputCol="w1", pattern=r"\W+"),
-        NGram(n=2, inputCol="w1", outputCol="w2"),
-        SQLTransformer(statement="SELECT *, concat(w1, w2) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=50_000, minDF=2),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        VectorAssembler(inputCols=["tfidf"], outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", maxIter=10, regParam=0.01),
-    ]
-    fitted = Pipeline(stages=stages).fit(rows.filter(~held))
-    tested = fitted.transform(rows.filter(held)).withColumn("p", vector_to_array("probability")[1])
-    return tested.agg(F.count(F.lit(1)).alias("tested"), F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"))
+    kept = combine.with_labels(voted, model).filter("label <> -1")
+    return kept.select("repo", "sha", "message", F.col("label").cast("double").alias("y"), (F.abs(F.col("prob_security") - 0.5) * 2).alias("weight"), (F.pmod(F.xxhash64("repo"), F.lit(4)) == 0).alias("held_out"))
+
+
+def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted text classifier of labels, learned from some repositories and tested on the others: accuracy there, beside the larger label's share."""
+    rows = labelled_messages(spark, sf)
+    model = text_model.fit(rows.filter(~F.col("held_out")), "message", "y", "weight")
+    tested = model.probability(rows.filter("held_out"), "message", "p")
+    right = F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double"))
+    return tested.agg(F.count(F.lit(1)).alias("tested"), right.alias("accuracy"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("majority"))
 
 
 def cves(spark: SparkSession, sf: str) -> DataFrame:
