@@ -161,10 +161,10 @@ def kth_best(scores: DataFrame, k: int) -> DataFrame:
 
 
 class _Round:
-    """The queries of one round: for each its terms' numbers, weights and highest possible parts, its bound and its threshold."""
+    """The queries of one round: for each its terms' numbers and weights, its bound and its threshold."""
 
     def __init__(self, wanted: pa.Table, bounds: pa.Table):
-        query, term, weight, most = (wanted[c].to_numpy() for c in ("query", "term", "weight", "most"))
+        query, term, weight = (wanted[c].to_numpy() for c in ("query", "term", "weight"))
         self.terms, number = np.unique(term, return_inverse=True)
         order = np.argsort(query, kind="stable")
         self.queries, at = np.unique(query[order], return_index=True)
@@ -174,7 +174,6 @@ class _Round:
         self.bound = np.array([found.get(q, 0) for q in self.queries.tolist()], np.int64)
         self.least = np.maximum(1, -(-self.bound // np.diff(self.at)))  # with no bound, whatever adds to a score
         least = np.repeat(self.least, np.diff(self.at))
-        self.unread = np.minimum(least - 1, self.weight * most[order])
         # The lowest impact at which some query reads a term's list.
         self.lowest = np.full(len(self.terms), np.iinfo(np.int64).max)
         np.minimum.at(self.lowest, self.number, -(-least // self.weight))
@@ -185,7 +184,10 @@ class _Round:
 
 
 def read_lists(lists: DataFrame, sent, n_docs: int, n_terms: int) -> DataFrame:
-    """The entries that some query of the round reads: by term and segment ``docs`` and ``impacts``, from the highest down."""
+    """The entries that some query of the round reads: by term and segment ``docs`` and ``impacts``, from the highest down.
+
+    ``beyond`` is the highest impact that none reads (0 if there is none), so that a segment knows what it may lack.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
@@ -196,48 +198,72 @@ def read_lists(lists: DataFrame, sent, n_docs: int, n_terms: int) -> DataFrame:
                     continue
                 x = _impacts(tf, size, n_docs, n_terms)
                 top = np.argsort(-x, kind="stable")[: int((x >= asked.lowest[i]).sum())]
-                if len(top):
-                    out.append((segment, i, np.frombuffer(docs, np.int32)[top].tobytes(), x[top].astype(np.int32).tobytes()))
+                beyond = int(x[x < asked.lowest[i]].max(initial=0))
+                out.append((segment, i, np.frombuffer(docs, np.int32)[top].tobytes(), x[top].astype(np.int32).tobytes(), beyond))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["segment", "number", "docs", "impacts"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["segment", "number", "docs", "impacts", "beyond"])
 
-    return lists.select("term", "segment", "docs", "tf", "size").mapInArrow(run, "segment bigint, number bigint, docs binary, impacts binary")
+    return lists.select("term", "segment", "docs", "tf", "size").mapInArrow(run, "segment bigint, number bigint, docs binary, impacts binary, beyond bigint")
 
 
 def possible(read: DataFrame, sent, k: int) -> DataFrame:
-    """From what was read, the documents that may be among a query's best: ``query``, ``segment``, ``doc``, ``score`` so far, ``upper``.
+    """From what was read, the documents that may be among a query's best, for each query and segment in one row.
+
+    ``docs``, ``scores`` so far and ``uppers``, the most they can be, are 64-bit integers; ``best`` has the segment's ``k`` highest scores.
 
-    A segment's documents are held against every query of the round; those that another ``k`` of the segment surely beat are left out, and
-    those that can't reach the query's bound.
+    A segment's documents are held against every query of the round. What a document may have beyond its score so far is, for each list in which
+    it wasn't met, the segment's highest entry that the query hasn't read. Documents that another ``k`` of the segment surely beat are
+    left out, and those that can't reach the query's bound.
     """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         asked, held = sent.value, {}
-        for number, docs, impacts in zip(*(table[c].to_pylist() for c in ("number", "docs", "impacts")), strict=True):
-            held[number] = np.frombuffer(docs, np.int32), np.frombuffer(impacts, np.int32).astype(np.int64)
-        n = 1 + max(int(d.max()) for d, _ in held.values())
+        for number, docs, impacts, beyond in zip(*(table[c].to_pylist() for c in ("number", "docs", "impacts", "beyond")), strict=True):
+            held[number] = np.frombuffer(docs, np.int32), np.frombuffer(impacts, np.int32).astype(np.int64), beyond
+        n = 1 + max(int(d.max(initial=0)) for d, _, _ in held.values())
         out = []
         for q, query in enumerate(asked.queries.tolist()):
-            score, open_ = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            score, met_of, lacking = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
             span = slice(asked.at[q], asked.at[q + 1])
-            for number, weight, unread in zip(asked.number[span].tolist(), asked.weight[span].tolist(), asked.unread[span].tolist(), strict=True):
+            for number, weight in zip(asked.number[span].tolist(), asked.weight[span].tolist(), strict=True):
                 if number in held:
-                    docs, x = held[number]
+                    docs, x, beyond = held[number]
                     upto = int(np.searchsorted(-x, -(-(-int(asked.least[q]) // weight)), "right"))
+                    unread = weight * (int(x[upto]) if upto < len(x) else beyond)
                     score[docs[:upto]] += weight * x[:upto]
-                    open_[docs[:upto]] += unread
+                    met_of[docs[:upto]] += unread
+                    lacking += unread
             met = np.flatnonzero(score)
             if not len(met):
                 continue
-            score, upper = score[met], score[met] + int(asked.unread[span].sum()) - open_[met]
+            score, upper = score[met], score[met] + lacking - met_of[met]
             bound = int(asked.bound[q]) if len(met) < k else max(int(asked.bound[q]), int(np.partition(score, len(met) - k)[len(met) - k]))
             may = upper >= bound
-            out.append((np.full(int(may.sum()), query), met[may], score[may], upper[may]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-        segment = np.full(len(columns[0]), key[0].as_py(), np.int64)
-        return pa.table({"query": columns[0], "segment": segment, "doc": columns[1].astype(np.int64), "score": columns[2], "upper": columns[3]})
+            if may.any():
+                best = np.partition(score, len(score) - k)[len(score) - k :] if len(score) > k else score
+                out.append((query, key[0].as_py(), met[may].tobytes(), score[may].tobytes(), upper[may].tobytes(), best))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        columns = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query", "segment", "docs", "scores", "uppers", "best"])
+
+    return read.groupBy("segment").applyInArrow(run, "query bigint, segment bigint, docs binary, scores binary, uppers binary, best array<bigint>")
+
+
+def candidates_of(some: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Of what ``possible`` gives, the documents that reach their query's bound: ``query``, ``segment``, ``doc``, ``score``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for query, segment, docs, scores, uppers, bound in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                may = np.frombuffer(uppers, np.int64) >= (bound or 0)
+                found.append((np.full(int(may.sum()), query), np.full(int(may.sum()), segment), np.frombuffer(docs, np.int64)[may], np.frombuffer(scores, np.int64)[may]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query", "segment", "doc", "score"])
 
-    return read.groupBy("segment").applyInArrow(run, "query bigint, segment bigint, doc bigint, score bigint, upper bigint")
+    met = some.join(bounds, "query", "left").select("query", "segment", "docs", "scores", "uppers", "bound")
+    return met.mapInArrow(run, "query bigint, segment bigint, doc bigint, score bigint")
 
 
 def looked_up(candidates: DataFrame, wanted: DataFrame, least: DataFrame, lists: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
@@ -275,18 +301,18 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "d
     total = entries.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), F.coalesce(F.sum("total"), F.lit(0)).alias("terms")).first()
     n_docs, n_terms = int(total["docs"]), max(int(total["terms"]), 1)
     heads = saved(list_heads(postings, n_docs, n_terms, k), "search-heads")
-    held = postings.groupBy("term").agg(F.sum("n").alias("df")).join(heads.groupBy("term").agg(F.max("impact").alias("most")), "term")
+    held = postings.groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * n_docs + 2) / (2 * F.col("df") + 1).cast("double"))).cast("long")
-    wanted = saved(asked.join(held, "term").select("query", "id", "term", weight.alias("weight"), "most").filter("weight > 0 AND most > 0"), "search-terms")
+    wanted = saved(asked.join(held, "term").select("query", "id", "term", weight.alias("weight")).filter("weight > 0"), "search-terms")
     rounds = -(-wanted.count() // ROUND_TERMS)
     found = []
     for number in range(rounds):
         own = wanted.filter(F.pmod(F.xxhash64("query"), F.lit(rounds)) == number)
         firsts = own.join(heads, "term").groupBy("query", "segment", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
-        now = _Round(own.select("query", "term", "weight", "most").toArrow(), kth_best(firsts, k).toArrow())
+        now = _Round(own.select("query", "term", "weight").toArrow(), kth_best(firsts, k).toArrow())
         sent = spark.sparkContext.broadcast(now)
         some = saved(possible(read_lists(postings, sent, n_docs, n_terms), sent, k), "search-possible")
-        some = some.join(kth_best(some, k), "query", "left").filter("bound IS NULL OR upper >= bound").drop("bound")
+        some = candidates_of(some, kth_best(some.select("query", F.explode("best").alias("score")), k))
         least = spark.createDataFrame(pa.table({"query": now.queries, "least": now.least}))
         found.append(saved(looked_up(some, own, least, postings, n_docs, n_terms), "search-scores"))
         sent.destroy()
