@@ -23,22 +23,20 @@ def places(keys: np.ndarray, which: int) -> np.ndarray:
 
 
 class Filter:
-    """Whether keys may be in a set."""
+    """Whether keys may be in a set: two tables of bits, which stay packed, as each task's process holds those of all filters that are in use."""
 
     def __init__(self, tables: list[np.ndarray]):
         self.packed = tables
-        self._open: list[np.ndarray] | None = None
 
-    def __getstate__(self) -> dict:
-        return {"packed": self.packed, "_open": None}
+    def _set(self, which: int, keys: np.ndarray) -> np.ndarray:
+        at = places(keys, which)
+        return (self.packed[which][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     def passes(self, keys: np.ndarray) -> np.ndarray:
         """Boolean for each key; the second table is asked only about those that pass the first."""
-        if self._open is None:
-            self._open = [np.unpackbits(x, bitorder="little").view(bool) for x in self.packed]
-        out = self._open[0][places(keys, 0)]
+        out = self._set(0, keys)
         at = np.flatnonzero(out)
-        out[at] = self._open[1][places(keys[at], 1)]
+        out[at] = self._set(1, keys[at])
         return out
 
 

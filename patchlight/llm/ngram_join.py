@@ -26,6 +26,8 @@ from .trie import Least, similar_pairs
 
 SKETCH_BITS = 21
 _PARTS = 64
+#: Tasks' sketches that are summed at once, on average; the sums again, until few are left.
+MERGED = 64
 #: Weight of one chunk of a group: its shingles and SET_WEIGHT for each set. Two chunks meet in a block; small groups share one.
 CHUNK = 1 << 17
 SET_WEIGHT = 32
@@ -84,7 +86,13 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(blob, np.uint32)
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
-    parts = every.filter(F.col("part").isNotNull()).groupBy("part").applyInPandas(add, "part int, counts binary").toArrow().sort_by("part")
+    parts = every.filter(F.col("part").isNotNull()).select("part", "counts")
+    tasks = parts.filter("part = 0").count()
+    while tasks > MERGED:  # so that no group grows with the number of tasks
+        tasks = -(-tasks // MERGED)
+        parts = saved(parts.groupBy("part", F.pmod(F.xxhash64("counts"), F.lit(tasks)).alias("salt")).applyInPandas(add, "part int, counts binary"), "sketches")
+        tasks = parts.filter("part = 0").count()
+    parts = parts.groupBy("part").applyInPandas(add, "part int, counts binary").toArrow().sort_by("part")
     sketch = np.frombuffer(b"".join(parts["counts"].to_pylist()), np.uint32) if len(parts) else np.zeros(1 << SKETCH_BITS, np.uint32)
     return every.filter(F.col("part").isNull()).select("doc_id", "n_shingles", "class"), sketch
 
