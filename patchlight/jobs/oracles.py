@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions import vocabulary as v
 from ..operators.labeling import ALL_WITH_DIFF, FAMILIES, MESSAGE, POSITIVE
 from .fixtures import POLARITY, VOTES, commits_cte, cves_cte, osv_cte, votes_cte
+from .queries import CUTS, GIVEN_PRIOR, GIVEN_VOTES
 
 #: The class pattern without its lookahead, and the alternative that has it, by counts.
 _LOOKAHEAD = r"stack overflow(?!\s+question)|"
@@ -101,7 +102,7 @@ _MESSAGE = f"{_WITH}, voted AS (SELECT *, {_votes(MESSAGE)} FROM facts), counted
 
 def _lf_rows(names: dict[str, int], source: str, gold: str) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS lf, {p}::INT AS polarity, count(*) FILTER (WHERE {c} <> -1) AS fired, (count(*) FILTER (WHERE {c} <> -1)) / count(*) AS coverage,
+        f"""SELECT '{c}' AS lf, {p}::INT AS polarity, concat_ws(',', CASE WHEN bool_or({c} = 0) THEN '0' END, CASE WHEN bool_or({c} = 1) THEN '1' END) AS observed, count(*) FILTER (WHERE {c} <> -1) AS fired, (count(*) FILTER (WHERE {c} <> -1)) / count(*) AS coverage,
         (count(*) FILTER (WHERE {c} <> -1 AND y + n > 1)) / count(*) AS overlaps, (count(*) FILTER (WHERE ({c} = 1 AND n > 0) OR ({c} = 0 AND y > 0))) / count(*) AS conflicts,
         count(*) FILTER (WHERE {c} = {p} AND {gold}) AS gold_hits, count(*) FILTER (WHERE {c} <> -1 AND {c} = ({gold})::INT) AS correct,
         count(*) FILTER (WHERE {c} <> -1 AND {c} <> ({gold})::INT) AS incorrect,
@@ -209,6 +210,10 @@ _CODED = f"""coded AS (SELECT c.*, {_IS_CODE} AS is_code, (y - n)::DOUBLE / 10 +
   FROM (SELECT *, regexp_extract_all(diff_text, '(?m)^diff --git a/.* b/(.*)$', 1) AS z FROM counted) c)"""
 _FIRED_NAMES = lambda polarity, vote: ", ".join(f"CASE WHEN {lf.name} = {vote} THEN '{lf.name}' END" for lf in MESSAGE if lf.polarity == polarity)
 
+_ODDS = " + ".join(f"CASE WHEN {c} = {POLARITY[c]} THEN ln({a}::DOUBLE) - ln({b}::DOUBLE) ELSE 0 END" for c, (a, b) in GIVEN_VOTES.items())
+_GIVEN = f"""given AS (SELECT *, CASE WHEN y + n = 0 THEN -1 WHEN p >= 0.5::DOUBLE THEN 1 ELSE 0 END::TINYINT AS label
+  FROM (SELECT *, 1 / (1 + exp(-(ln({GIVEN_PRIOR}::DOUBLE / {1 - GIVEN_PRIOR}::DOUBLE) + {_ODDS}))) AS p FROM m))"""
+
 SQL = {
     "vote_unions": f"{_MATRIX} "
     + " UNION ALL ".join(
@@ -273,7 +278,10 @@ SQL = {
       count(*) FILTER (WHERE is_gold) AS gold, count(*) FILTER (WHERE is_gold AND mv_label = 1) AS gold_by_model, count(*) FILTER (WHERE is_gold AND mv_label = 1) AS gold_by_majority,
       count(*) FILTER (WHERE is_gold AND y > 0) AS gold_with_positive, count(*) FILTER (WHERE is_gold AND n > 0) AS gold_vetoed, count(*) FILTER (WHERE y > 0) AS any_positive,
       count(*) FILTER (WHERE n > 0) AS any_negative, count(*) FILTER (WHERE y > 0 AND n > 0) AS both_sides FROM m""",
-    "threshold_sweep": f"{_MATRIX}, s AS (SELECT *, {_PRED} AS p FROM m) " + " UNION ALL ".join(f"SELECT {c}::DOUBLE AS threshold, count(*) FILTER (WHERE p >= {c}::DOUBLE) AS flagged, count(*) FILTER (WHERE p >= {c}::DOUBLE AND is_gold) AS gold_recovered FROM s" for c in (0.9, 0.8, 0.7, 0.6, 0.5, 0.27, 0.1)),
+    "threshold_sweep": f"{_MATRIX}, {_GIVEN} " + " UNION ALL ".join(f"SELECT {c}::DOUBLE AS threshold, count(*) FILTER (WHERE p >= {c}::DOUBLE) AS flagged, (count(*) FILTER (WHERE p >= {c}::DOUBLE)) / count(*) AS share, count(*) FILTER (WHERE p >= {c}::DOUBLE AND is_gold) AS gold_recovered FROM given" for c in CUTS),
+    "posterior": f"{_MATRIX}, {_GIVEN} SELECT l_orderkey, l_linenumber, round(p, 9) AS prob_security, label FROM given",
+    "most_likely": f"{_MATRIX}, {_GIVEN} SELECT DISTINCT l_orderkey, l_linenumber, round(p, 9) AS prob_security FROM given WHERE label = 1 ORDER BY prob_security DESC, l_orderkey, l_linenumber LIMIT 15",
+    "label_extremes": f"{_MATRIX}, {_GIVEN} SELECT label, count(*) AS n, min(round(p, 9)) AS least, max(round(p, 9)) AS most FROM given GROUP BY 1",
     "label_distribution": f"{_MATRIX} SELECT mv_label AS label, count(*) AS n, count(*) / (SELECT count(*) FROM m) AS share FROM m GROUP BY 1",
     "gold_recall": f"{_MATRIX} SELECT count(*) FILTER (WHERE is_gold) AS gold, count(*) FILTER (WHERE is_gold AND mv_label = 1) AS recovered, (count(*) FILTER (WHERE is_gold AND mv_label = 1)) / (count(*) FILTER (WHERE is_gold)) AS recall, count(*) FILTER (WHERE NOT is_gold AND mv_label = 1) AS extra FROM m WHERE mv_label <> -1",
     "cofire": f"{_MATRIX}, r AS (SELECT *, row_number() OVER () AS k FROM vm), f AS (SELECT k, unnest(list_filter([{_YES}], lambda x: x IS NOT NULL)) AS lf FROM r) SELECT a.lf AS a, b.lf AS b, count(*) AS n FROM f a JOIN f b USING (k) WHERE a.lf <= b.lf GROUP BY 1, 2",
@@ -300,9 +308,17 @@ SQL = {
     "gold_flags": f"{_ALL} SELECT repo, sha, is_cve_fix, cve_id, all_cves, repo_cve_ids FROM golden",
     "distinct_commits": f"WITH {commits_cte()} SELECT DISTINCT repo, sha FROM commits",
     "repo_counts": f"{_ALL} SELECT repo, count(*) AS commits, count(*) FILTER (WHERE is_cve_fix) AS gold FROM golden GROUP BY 1",
-    "backports": f"WITH {commits_cte()} SELECT repo, subject, count(*) AS n, min(author_date) AS first_date, string_agg(DISTINCT sha, ',' ORDER BY sha) AS shas FROM commits GROUP BY 1, 2",
+    "backports": f"WITH {commits_cte()} SELECT repo, subject, count(*) AS n, min(author_date) AS first_date, arg_min(sha, author_date || sha) AS representative FROM commits GROUP BY 1, 2",
+    "backport_members": f"WITH {commits_cte()} SELECT sha, repo, first_value(sha) OVER (PARTITION BY repo, subject ORDER BY author_date, sha) AS representative FROM commits",
+    "python_votes": f"{_MESSAGE} SELECT sha, {', '.join(f'{a} AS {b}, {a}' for a, b in (('lf_cve_id', 'py_cve_id'), ('lf_merge_commit', 'py_merge_commit'), ('lf_huge_diff', 'py_huge_diff'), ('lf_typo_or_style', 'py_style')))} FROM counted",
+    "repo_view": f"WITH {commits_cte()} SELECT repo, sha, subject, n_files::INT AS n_files, is_gold FROM commits, (VALUES (1), (2)) AS twice(k) WHERE repo = 'org/src1'",
+    "hot_repo_view": f"WITH {commits_cte()} SELECT repo, sha, subject, n_files::INT AS n_files, is_gold FROM commits, (VALUES (1), (2)) AS twice(k) WHERE repo = 'org/src0'",
+    "stored_distinct": f"WITH {commits_cte()} SELECT DISTINCT repo, sha FROM commits",
+    "stored_counts": f"WITH {commits_cte()} SELECT repo, 2 * count(*) AS commits, 2 * count(*) FILTER (WHERE is_gold) AS gold FROM commits GROUP BY 1",
+    "dump_round_trip": f"WITH {commits_cte()} SELECT repo, sha, parents, author_email, author_date, subject, md5(body) AS body, array_to_string(files, ',') AS files, CASE WHEN n_files = 0 THEN 0 ELSE insertions END AS insertions, CASE WHEN n_files = 0 THEN 0 ELSE deletions END AS deletions, md5(diff_text) AS patch FROM commits",
     "gold_audit": f"{_ALL} SELECT g.repo, g.cve_id, any_value(c.cvss_severity) AS cvss_severity, array_to_string(any_value(c.cwes), ',') AS cwes, count(*) AS n_commits FROM golden g JOIN cves c USING (cve_id) WHERE is_cve_fix GROUP BY 1, 2",
     "unattributed_cves": f"{_ALL}, mined AS (SELECT * FROM every7 WHERE repo_key IN (SELECT lower(repo) FROM commits) AND cve_id NOT IN (SELECT cve_id FROM golden WHERE is_cve_fix)) SELECT cve_id, CASE WHEN max((c.sha IS NOT NULL)::INT) = 1 THEN 'masked' ELSE 'unreachable' END AS state FROM mined m LEFT JOIN commits c ON lower(c.repo) = m.repo_key AND starts_with(c.sha, m.commit) GROUP BY 1",
     "flat_gold": f"{_ALL} SELECT repo, author_date, sha, cve_id, subject FROM golden WHERE is_cve_fix",
     "cwe_of_gold": f"{_ALL} SELECT cwe, count(*) AS n FROM (SELECT unnest(c.cwes) AS cwe FROM golden g JOIN cves c USING (cve_id) WHERE is_cve_fix) GROUP BY 1",
 }
+SQL["target_parts"] = SQL["repo_targets"]

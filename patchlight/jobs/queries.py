@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as v
 from ..operators import advisories as adv
 from ..operators import audit, combine, features, labeling, measure, sampling, text_model
 from ..operators import commits as cm
 from ..operators import diffs as df_ops
-from ..sources.staged import staged
+from ..sources import dumps
+from ..sources.commit_store import CommitStore
+from ..sources.staged import new_path, staged
+from ..sources.tables import read_targets, write_targets
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +27,10 @@ POSITIVE = [c for c, p in fx.POLARITY.items() if p == 1]
 NEGATIVE = [c for c, p in fx.POLARITY.items() if p == 0]
 #: Class prior of the vote matrix, and so the probability above which votes speak for a row.
 PRIOR = 0.4
-CUTS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.27, 0.1)
+CUTS = (0.9, 0.75, 0.5, 0.3, 0.27, 0.2, 0.1)
+#: A label model with given parameters, so that what follows from them can be compared with SQL: P(vote | class), and the prior.
+GIVEN_VOTES = {"lf_returned": (0.30, 0.20), "lf_large": (0.35, 0.15), "lf_discounted": (0.40, 0.22), "lf_open": (0.30, 0.55), "lf_taxed": (0.25, 0.35), "lf_first_line": (0.20, 0.28)}
+GIVEN_PRIOR = 0.3
 
 
 def lf_votes(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,7 +49,7 @@ def release_window(spark: SparkSession, sf: str) -> DataFrame:
 
 def release_log(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.table(spark, sf, "events").select("event_id", "user_id", "ts", (F.col("event_type") == "purchase").alias("is_release"), (F.col("event_type") == "error").alias("seed"))
-    return features.release_windows(e, "user_id", ["ts", "event_id"], F.to_date("ts")).select("event_id", "fires")
+    return features.release_windows(e, "user_id", ["ts", "event_id"]).select("event_id", "fires")
 
 
 def hunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,16 +158,29 @@ def top_confident(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ablations(spark: SparkSession, sf: str) -> DataFrame:
-    """The model on subsets of functions: flagged rows and gold among them. All refits read the patterns of one pass."""
-    counted = staged(fx.vote_matrix(spark, sf).groupBy(*VOTES, "is_gold").agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
+    """The model on subsets of functions: flagged rows and gold among them."""
     subsets = {"all": VOTES, "positives and one": [*POSITIVE, NEGATIVE[0]], **{f"without {c}": [x for x in VOTES if x != c] for c in POSITIVE}}
-    out = None
-    for name, lfs in subsets.items():
-        part = counted.groupBy(*lfs, "is_gold").agg(F.sum("n").alias("n"))
-        scored = combine.with_labels(part, combine.fit_label_model(part, lfs, PRIOR, weight="n"), PRIOR)
-        row = scored.agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("flagged"), F.sum(F.when((F.col("label") == 1) & F.col("is_gold"), F.col("n")).otherwise(0)).alias("gold")).select(F.lit(name).alias("subset"), "flagged", "gold")
-        out = row if out is None else out.unionByName(row)
-    return out
+    return combine.ablated(fx.vote_matrix(spark, sf), VOTES, subsets, PRIOR, "is_gold")
+
+
+def given_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The vote matrix with what the given model says of each row."""
+    mu = np.zeros((2 * len(VOTES), 2))
+    for j, c in enumerate(VOTES):
+        own = GIVEN_VOTES[c]  # of security and of other rows, those that it votes on
+        mu[2 * j + fx.POLARITY[c]] = own[1], own[0]
+    model = combine.LabelModel(VOTES, np.where(mu > 0, mu, 1.0), np.array([1 - GIVEN_PRIOR, GIVEN_PRIOR]))
+    return combine.with_labels(fx.vote_matrix(spark, sf), model)
+
+
+def posterior(spark: SparkSession, sf: str) -> DataFrame:
+    return given_labels(spark, sf).select("l_orderkey", "l_linenumber", F.round("prob_security", 9).alias("prob_security"), "label")
+
+
+def most_likely(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifteen rows that the given model is surest of."""
+    found = given_labels(spark, sf).withColumn("prob_security", F.round("prob_security", 9)).filter("label = 1")
+    return found.select("l_orderkey", "l_linenumber", "prob_security").distinct().orderBy(F.desc("prob_security"), "l_orderkey", "l_linenumber").limit(15)
 
 
 def review_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -292,6 +314,55 @@ def kept_cves(spark: SparkSession, sf: str) -> DataFrame:
     return cves(spark, sf).select("cve_id", "published").join(found, "cve_id").orderBy("published", "cve_id").limit(100)
 
 
+#: Functions in Python whose twins in columns are known.
+PYTHON = [
+    labeling.row_function("py_cve_id", 1, ["message"], lambda m: 1 if m and re.search(v.CVE, m, re.IGNORECASE) else None),
+    labeling.BatchFunction("py_merge_commit", 0, ("message", "is_merge"), lambda x: np.where(x["is_merge"].fillna(False) & ~x["message"].fillna("").str.contains(v.CVE, case=False), 0, -1)),
+    labeling.row_function("py_huge_diff", 0, ["n_files", "insertions", "deletions", "message"], lambda n, i, d, m: 0 if ((n or 0) > 50 or (i or 0) + (d or 0) > 5000) and not re.search(v.CVE, m or "", re.IGNORECASE) else -1),
+    labeling.row_function("py_style", 0, ["subject", "message"], lambda s, m: 0 if re.search(v.STYLE, s or "", re.IGNORECASE) and not re.search(v.SECURITY_NOUN, m or "", re.IGNORECASE) else None),
+]
+
+
+def python_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Labeling functions in Python beside the columns that say the same."""
+    own = [lf for lf in labeling.MESSAGE if lf.name in ("lf_cve_id", "lf_merge_commit", "lf_huge_diff", "lf_typo_or_style")]
+    voted = labeling.apply_lfs(fx.commits(spark, sf), [*PYTHON, *own])
+    return voted.select("sha", *[lf.name for lf in (*PYTHON, *own)])
+
+
+def stored(spark: SparkSession, sf: str) -> CommitStore:
+    """The commits in a store by repository, each written twice, as when mined twice."""
+    rows = fx.commits(spark, sf).select("repo", "sha", "subject", "message", "n_files", "is_gold", "author_date")
+    return CommitStore.write(rows.unionByName(rows), buckets=16)
+
+
+def dump_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Commits written as packed dumps of metadata, files and patches, read back and joined again."""
+    commits = staged(fx.raw_commits(spark, sf), "commits")
+    log, stats, patches = (new_path(spark, f"dump-{k}") for k in ("log", "stats", "patches"))
+    dumps.write_log_dump(commits, log)
+    dumps.write_stats_dump(commits, stats)
+    dumps.write_patch_dump(commits, patches)
+    parsed = cm.derived(cm.with_stats(dumps.read_log_dump(spark, log), cm.parse_stats(dumps.read_stats_dump(spark, stats))))
+    whole = parsed.join(dumps.read_patch_dump(spark, patches), ["repo", "sha"])
+    return whole.select("repo", "sha", "parents", "author_email", "author_date", "subject", F.md5("body").alias("body"), F.array_join("files", ",").alias("files"), "insertions", "deletions", F.md5("diff_text").alias("patch"))
+
+
+def target_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of repositories, written as nested documents of a few repositories each and read back."""
+    path = new_path(spark, "targets")
+    write_targets(targets(*landed(spark, sf)), path, 7)
+    back = read_targets(spark, path)
+    pairs = F.transform(F.array_sort(F.map_entries("commit_to_cve")), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    return back.select("repo_key", *[F.array_join(c, ",").alias(c) for c in ("cve_ids", "fix_commits", "fix_prs")], F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("commit_to_cve"))
+
+
+def label_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label of the given model: rows, and the least and greatest probability."""
+    p = F.round("prob_security", 9)
+    return given_labels(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(p).alias("least"), F.max(p).alias("most"))
+
+
 QUERIES: dict[str, Query] = {
     "lf_summary": lf_summary,
     "lf_votes": lf_votes,
@@ -314,14 +385,16 @@ QUERIES: dict[str, Query] = {
     "family_table": family_table,
     "fired_sample": fired_sample,
     "kept_cves": kept_cves,
-    "weak_functions": lambda s, d: measure.weak_functions(lf_summary(s, d)),
+    "weak_functions": lambda s, d: measure.weak_functions(staged(lf_summary(s, d), "lf-table")),
     "majority_vote": lambda s, d: majority_matrix(s, d).select("l_orderkey", "l_linenumber", "mv_label"),
     "vote_patterns": lambda s, d: combine.patterns(fx.vote_matrix(s, d), VOTES),
     "votes_long": votes_long,
     "votes_wide": votes_wide,
     "vote_table": lambda s, d: measure.lf_table(fx.vote_matrix(s, d), fx.POLARITY, "is_gold"),
     "vote_headline": lambda s, d: measure.headline(majority_matrix(s, d), fx.POLARITY, label="mv_label"),
-    "threshold_sweep": lambda s, d: measure.threshold_sweep(majority_matrix(s, d).withColumn("p", (F.col("n_positive") - F.col("n_negative")).cast("double") / 10 + 0.5), CUTS, prob="p"),
+    "threshold_sweep": lambda s, d: measure.threshold_sweep(given_labels(s, d), CUTS),
+    "posterior": posterior,
+    "most_likely": most_likely,
     "label_distribution": lambda s, d: measure.label_distribution(majority_matrix(s, d), "mv_label"),
     "gold_recall": lambda s, d: measure.gold_recall(majority_matrix(s, d), "mv_label"),
     "cofire": lambda s, d: measure.cofire(combine.patterns(fx.vote_matrix(s, d), VOTES), POSITIVE),
@@ -362,7 +435,16 @@ QUERIES: dict[str, Query] = {
     "gold_flags": gold_flags,
     "distinct_commits": lambda s, d: cm.distinct_commits(fx.commits(s, d).select("repo", "sha")),
     "repo_counts": lambda s, d: cm.repo_counts(golden(s, d)),
-    "backports": lambda s, d: cm.collapse_backports(fx.commits(s, d)).withColumn("shas", F.array_join("shas", ",")),
+    "backports": lambda s, d: cm.collapse_backports(fx.commits(s, d)),
+    "backport_members": lambda s, d: cm.backport_members(fx.commits(s, d).select("repo", "sha", "subject", "author_date")),
+    "python_votes": python_votes,
+    "repo_view": lambda s, d: stored(s, d).view("org/src1").select("repo", "sha", "subject", "n_files", "is_gold"),
+    "hot_repo_view": lambda s, d: stored(s, d).view("org/src0").select("repo", "sha", "subject", "n_files", "is_gold"),
+    "stored_distinct": lambda s, d: stored(s, d).distinct().select("repo", "sha"),
+    "stored_counts": lambda s, d: stored(s, d).counts("is_gold"),
+    "dump_round_trip": dump_round_trip,
+    "target_parts": target_parts,
+    "label_extremes": label_extremes,
     "gold_audit": lambda s, d: audit.cve_index(gold_with_cve(s, d)),
     "unattributed_cves": unattributed,
     "flat_gold": lambda s, d: audit.flat_gold(golden(s, d)),

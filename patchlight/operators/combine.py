@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staged import staged
+
 #: No probability of a vote leaves this far from 0 and 1.
 CLIP = 1e-6
 
@@ -98,15 +100,40 @@ class LabelModel:
             score = score + F.when(F.col(c) == 0, float(odds[2 * j])).when(F.col(c) == 1, float(odds[2 * j + 1])).otherwise(0.0)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-score))
 
+    def label(self, probability: Column, threshold: float) -> Column:
+        """1 from the threshold on, else 0; -1 where no function votes."""
+        cast = n_votes(self.lfs, 0) + n_votes(self.lfs, 1)
+        return F.when(cast == 0, -1).when(probability >= threshold, 1).otherwise(0).cast("tinyint")
+
+
+def sliced(observed: np.ndarray, all_lfs: Sequence[str], lfs: Sequence[str]) -> np.ndarray:
+    """The moments of some functions, out of those of all."""
+    at = [2 * all_lfs.index(c) + y for c in lfs for y in (0, 1)]
+    return observed[np.ix_(at, at)]
+
 
 def fit_label_model(votes: DataFrame, lfs: Sequence[str], prior: float | None = None, *, weight: str | None = None, **settings) -> LabelModel:
     observed, _ = moments(votes, lfs, weight)
     return LabelModel.fit(observed, lfs, prior, **settings)
 
 
+def ablated(votes: DataFrame, lfs: Sequence[str], subsets: Mapping[str, Sequence[str]], prior: float, gold: str) -> DataFrame:
+    """The model fitted to each subset of the functions: rows ``flagged`` by it and those of them that are ``gold``, by ``subset``.
+
+    The moments of a subset are a part of those of all functions, so they are summed once, and one pass over the patterns scores all refits.
+    """
+    counted = staged(votes.groupBy(*lfs, F.coalesce(F.col(gold), F.lit(False)).alias("gold")).agg(F.count(F.lit(1)).alias("n")), "vote-patterns")
+    observed, _ = moments(counted, lfs, "n")
+    sums = []
+    for k, own in enumerate(subsets.values()):
+        model = LabelModel.fit(sliced(observed, lfs, own), own, prior)
+        flagged = model.label(model.posterior(), prior) == 1
+        sums += [F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).alias(f"{c}{k}") for c, x in (("f", flagged), ("g", flagged & F.col("gold")))]
+    rows = [F.struct(F.lit(name).alias("subset"), F.col(f"f{k}").alias("flagged"), F.col(f"g{k}").alias("gold")) for k, name in enumerate(subsets)]
+    return counted.agg(*sums).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def with_labels(votes: DataFrame, model: LabelModel, threshold: float = 0.5) -> DataFrame:
     """Adds ``prob_security``, ``label`` (-1 where nothing votes) and ``mv_label``."""
-    cast = n_votes(model.lfs, 0) + n_votes(model.lfs, 1)
     scored = votes.withColumn("prob_security", model.posterior())
-    label = F.when(cast == 0, -1).when(F.col("prob_security") >= threshold, 1).otherwise(0).cast("tinyint")
-    return scored.withColumns({"label": label, "mv_label": majority(model.lfs)})
+    return scored.withColumns({"label": model.label(F.col("prob_security"), threshold), "mv_label": majority(model.lfs)})

@@ -54,10 +54,34 @@ def history_window(commits: DataFrame, *, since: str | None = None, until: str |
         out = out.filter(at >= F.to_timestamp(F.lit(since)))
     if until:
         out = out.filter(at < F.to_timestamp(F.lit(until)))
-    if newest:
-        rank = F.row_number().over(Window.partitionBy("repo").orderBy(at.desc(), "sha"))
-        out = out.withColumn("__rank", rank).filter(F.col("__rank") <= newest).drop("__rank")
-    return out
+    return newest_of(out, "repo", at, "sha", newest) if newest else out
+
+
+def newest_of(rows: DataFrame, group: str, at: Column, id_col: str, n: int) -> DataFrame:
+    """The newest ``n`` rows of each group by the time ``at``, null last, equal times by id.
+
+    Counts by day say in which day a group's row ``n`` is, counts by moment within that day in which moment; later ones stay whole, and
+    only the rows of that one moment are ranked, each task's first ``n`` of them. So no group is sorted, however large.
+    """
+    moment = F.coalesce(at, F.lit("0001-01-01").cast("timestamp"))
+    keyed = rows.withColumns({"__moment": moment, "__day": F.date_trunc("day", moment)})
+
+    def cut(counted: DataFrame, level: str, wanted: Column) -> DataFrame:
+        """The value of ``level`` in which a group's row ``wanted`` is, and how many rows are still wanted of it; none where there are fewer."""
+        later = Window.partitionBy("__group").orderBy(F.desc(level)).rowsBetween(Window.unboundedPreceding, -1)
+        summed = counted.withColumn("__before", F.coalesce(F.sum("__n").over(later), F.lit(0)))
+        return summed.filter((F.col("__before") < wanted) & (wanted <= F.col("__before") + F.col("__n"))).select("__group", level, (wanted - F.col("__before")).alias("__rest"))
+
+    days = keyed.groupBy(F.col(group).alias("__group"), "__day").agg(F.count(F.lit(1)).alias("__n"))
+    of_day = cut(days, "__day", F.lit(n)).withColumnsRenamed({"__day": "__last_day", "__rest": "__wanted"})
+    own = keyed.select(F.col(group).alias("__g"), "__day", "__moment").join(of_day, F.col("__g").eqNullSafe(F.col("__group")) & (F.col("__day") == F.col("__last_day")))
+    moments = own.groupBy("__group", "__wanted", "__moment").agg(F.count(F.lit(1)).alias("__n"))
+    ends = cut(moments, "__moment", F.col("__wanted")).withColumnRenamed("__moment", "__last")
+    met = keyed.join(ends, F.col(group).eqNullSafe(F.col("__group")), "left")
+    clear = met.filter(F.col("__last").isNull() | (F.col("__moment") > F.col("__last")))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(id_col))
+    tied = met.filter(F.col("__moment") == F.col("__last")).withColumn("__rank", rank).filter((F.col("__rank") <= n) & (F.col("__rank") <= F.col("__rest")))
+    return clear.select(*rows.columns).unionByName(tied.select(*rows.columns))
 
 
 def resolve_shas(refs: DataFrame, commits: DataFrame) -> DataFrame:
@@ -94,8 +118,15 @@ def repo_counts(commits: DataFrame) -> DataFrame:
 
 
 def collapse_backports(commits: DataFrame) -> DataFrame:
-    """One row per repository and subject: how many commits carry it, the first date, and their shas."""
-    return commits.groupBy("repo", "subject").agg(F.count(F.lit(1)).alias("n"), F.min("author_date").alias("first_date"), F.array_sort(F.collect_set("sha")).alias("shas"))
+    """One row per repository and subject: how many commits carry it, the first date, and the sha of the first of them (the least of equal dates)."""
+    first = F.min_by("sha", F.struct("author_date", "sha"))
+    return commits.groupBy("repo", "subject").agg(F.count(F.lit(1)).alias("n"), F.min("author_date").alias("first_date"), first.alias("representative"))
+
+
+def backport_members(commits: DataFrame) -> DataFrame:
+    """``sha``, ``repo``, ``representative`` of every commit: rows instead of lists, so that a subject of very many commits is no one row's."""
+    groups = collapse_backports(commits).select(F.col("repo").alias("r"), F.col("subject").alias("s"), "representative")
+    return commits.join(groups, F.col("repo").eqNullSafe(F.col("r")) & F.col("subject").eqNullSafe(F.col("s"))).select("sha", "repo", "representative")
 
 
 def is_release_only(paths: Column) -> Column:

@@ -21,31 +21,33 @@ def seed_votes(commits: DataFrame, lfs=POSITIVE) -> DataFrame:
     return voted.select(*commits.columns, (F.greatest(*[F.col(lf.name) for lf in lfs]) == SECURITY).alias("seed"))
 
 
-def release_windows(rows: DataFrame, group: str, order: list[str], period: Column) -> DataFrame:
+def release_windows(rows: DataFrame, group: str, order: list[str], parts: int | None = None) -> DataFrame:
     """Adds ``fires``: a release (``is_release``) with a seed strictly between it and its group's previous release.
 
     So what comes last before a firing release, of the group's releases and seeds, is a seed. Other rows decide nothing and don't
-    move. ``period`` cuts the order in parts (a day of its time, say): each is sorted by itself, and the last of every part is handed
-    to the next one, so no group is one task's. ``rows`` are read three times, so they should be a written table or a cheap scan of one.
-    Equal places in the order must not occur, so ``order`` ends with an id. Nulls count as false.
+    move. The rest are dealt out by ranges of group and order (``parts`` of them, by default as many as a shuffle has), so a group of any size,
+    all within one day or not, is many tasks'; what is last in a range is handed to the next range that holds the group. Equal places in the
+    order must not occur, so ``order`` ends with an id. Nulls count as false.
     """
+    spark = rows.sparkSession
     release = F.coalesce(F.col("is_release"), F.lit(False))
-    seed = F.coalesce(F.col("seed") & ~F.col("is_release"), F.lit(False))
-    events = rows.filter(release | seed).withColumns({"__part": period, "__seed": seed})
+    seed = F.coalesce(F.col("seed"), F.lit(False)) & ~release
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.filter(release | seed).withColumn("__seed", seed).repartitionByRange(parts, F.col(group), *[F.col(c) for c in order])
+    events = staged(dealt.withColumn("__part", F.spark_partition_id()), "release-events")
     place = F.struct(*[F.col(c) for c in order])
-    last = events.groupBy(F.col(group).alias("__group"), "__part").agg(F.max_by("__seed", place).alias("__last"))
-    carried = last.select("__group", F.col("__part").alias("__at"), F.lag("__last").over(Window.partitionBy("__group").orderBy("__part")).alias("__carried"))
+    last = events.groupBy(F.col(group).alias("__group"), F.col("__part").alias("__at")).agg(F.max_by("__seed", place).alias("__last"))
+    carried = last.select("__group", "__at", F.lag("__last").over(Window.partitionBy("__group").orderBy("__at")).alias("__carried"))
     nearest = F.lag("__seed").over(Window.partitionBy(group, "__part").orderBy(*order))
-    met = events.withColumn("__nearest", nearest).join(carried, F.col(group).eqNullSafe(F.col("__group")) & F.col("__part").eqNullSafe(F.col("__at")))
+    met = events.withColumn("__nearest", nearest).join(carried, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__at")))
     told = met.withColumn("fires", release & F.coalesce("__nearest", "__carried", F.lit(False))).select(*rows.columns, "fires")
     return rows.filter(~(release | seed)).withColumn("fires", F.lit(False)).unionByName(told)
 
 
 def release_feature(seeded: DataFrame) -> DataFrame:
-    """``repo``, ``sha``, ``release_window_positive`` of each commit of ``seeded`` (see ``seed_votes``; written before, as it is read three times)."""
+    """``repo``, ``sha``, ``release_window_positive`` of each commit of ``seeded`` (see ``seed_votes``; written before, as it is read twice)."""
     narrow = seeded.select("repo", "sha", "author_date", "seed", is_release_subject(F.col("subject")).alias("is_release"))
-    day = F.substring("author_date", 1, 10)
-    return release_windows(narrow, "repo", ["author_date", "sha"], day).select("repo", "sha", F.col("fires").alias("release_window_positive"))
+    return release_windows(narrow, "repo", ["author_date", "sha"]).select("repo", "sha", F.col("fires").alias("release_window_positive"))
 
 
 def changelog_additions(patch: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,49 @@ class LabelingFunction:
         return F.when(F.coalesce(self.fires(), F.lit(False)), self.polarity).otherwise(ABSTAIN).cast("tinyint").alias(self.name)
 
 
+@dataclass(frozen=True)
+class BatchFunction:
+    """A labeling function in Python, for what columns can't say: ``vote`` gets a frame of the named ``columns`` of a batch of commits, and
+    gives a vote for each row. Null is an abstention; anything but 1, 0 and -1, or another number of votes, fails.
+    """
+
+    name: str
+    polarity: int
+    columns: tuple[str, ...]
+    vote: Callable[[pd.DataFrame], Sequence]
+    role: str = "python"
+
+    def cast(self, frame: pd.DataFrame) -> pd.Series:
+        """Votes as integers. An exception says which function it came from."""
+        try:
+            votes = pd.Series(list(self.vote(frame[list(self.columns)])), dtype="object")
+            if len(votes) != len(frame):
+                raise ValueError(f"{len(votes)} votes on {len(frame)} commits")
+            votes = votes.where(votes.notna(), ABSTAIN)
+            if not votes.isin((SECURITY, NOT_SECURITY, ABSTAIN)).all():
+                raise ValueError(f"votes other than 1, 0 and -1: {sorted(set(map(str, votes)))[:5]}")
+            return votes.astype("int8")
+        except Exception as e:
+            raise RuntimeError(f"labeling function {self.name}: {e}") from e
+
+
+def row_function(name: str, polarity: int, columns: Sequence[str], vote: Callable[..., int | None]) -> BatchFunction:
+    """A function of one commit's values, called for each row of a batch."""
+    return BatchFunction(name, polarity, tuple(columns), lambda frame: [vote(*row) for row in frame.itertuples(index=False, name=None)])
+
+
+def _python_votes(functions: Sequence[BatchFunction]) -> Column:
+    """All Python functions' votes as one struct: their columns reach Python once, in Arrow batches."""
+    columns = list(dict.fromkeys(c for f in functions for c in f.columns))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.DataFrame({f.name: f.cast(frame).to_numpy() for f in functions})
+
+    voted = F.pandas_udf(run, ", ".join(f"`{f.name}` tinyint" for f in functions))
+    return voted(F.struct(*[F.col(c) for c in columns]))
+
+
 def _flag(name: str) -> Column:
     return F.col(f"fact_{name}")
 
@@ -168,19 +212,23 @@ ALL = MESSAGE + DERIVED
 ALL_WITH_DIFF = ALL + DIFF
 
 
-def apply_lfs(commits: DataFrame, lfs: Sequence[LabelingFunction]) -> DataFrame:
-    """``commits`` with one vote column per labeling function.
+def apply_lfs(commits: DataFrame, lfs: Sequence[LabelingFunction | BatchFunction]) -> DataFrame:
+    """``commits`` with one vote column per labeling function, in the order given.
 
-    Facts come in one projection and votes in the next, so no pattern runs twice. Diff functions need ``diff_added`` and
-    ``diff_removed``; the derived ones abstain where their column is absent, as do user-made ones that return null.
+    Facts come in one projection and votes in the next, so no pattern runs twice; Python functions share one pass over Arrow batches of the
+    columns that they name. Diff functions need ``diff_added`` and ``diff_removed``; the derived ones abstain where their column is
+    absent, as do user-made ones that return null.
     """
-    ready = message_facts(commits)
+    in_python = [lf for lf in lfs if isinstance(lf, BatchFunction)]
+    ready = commits.withColumn("__python", _python_votes(in_python)) if in_python else commits
+    if len(in_python) < len(lfs):
+        ready = message_facts(ready)
     if any(lf.role in ("surface", "mitigation", "conjunction", "standalone") for lf in lfs):
         ready = diff_facts(ready)
     for column in ("release_window_positive", "patch_cites_fix_commit"):
         if column not in ready.columns:
             ready = ready.withColumn(column, F.lit(False))
-    return ready.select(*commits.columns, *[lf.vote() for lf in lfs])
+    return ready.select(*commits.columns, *[F.col("__python")[lf.name].alias(lf.name) if isinstance(lf, BatchFunction) else lf.vote() for lf in lfs])
 
 
 def long_votes(votes: DataFrame, names: Sequence[str], *ids: str) -> DataFrame:

@@ -11,7 +11,7 @@ from .combine import n_votes
 
 
 def lf_table(votes: DataFrame, polarity: Mapping[str, int], gold: str | None = None, code: str | None = None) -> DataFrame:
-    """Per function ``lf``, ``polarity``, ``fired``, ``coverage``, ``overlaps``, ``conflicts`` and, with gold, ``gold_hits``, ``correct``, ``incorrect``, ``accuracy``.
+    """Per function ``lf``, ``polarity``, ``observed`` (the votes that it cast, joined by commas), ``fired``, ``coverage``, ``overlaps``, ``conflicts`` and, with gold, ``gold_hits``, ``correct``, ``incorrect``, ``accuracy``.
 
     Counts of both votes per row say what overlaps and conflicts, so it is one pass with one row out. ``correct`` counts cast votes
     that equal gold (null is false). ``code`` flags rows that change code; with it ``code_gold_hits`` counts those of the hits.
@@ -25,6 +25,8 @@ def lf_table(votes: DataFrame, polarity: Mapping[str, int], gold: str | None = N
         cast = F.col(c) != -1
         sums += [
             F.count_if(cast).alias(f"{c}|fired"),
+            F.count_if(F.col(c) == 0).alias(f"{c}|no"),
+            F.count_if(F.col(c) == 1).alias(f"{c}|yes"),
             F.count_if(cast & (F.col("__yes") + F.col("__no") > 1)).alias(f"{c}|overlaps"),
             F.count_if(((F.col(c) == 1) & (F.col("__no") > 0)) | ((F.col(c) == 0) & (F.col("__yes") > 0))).alias(f"{c}|conflicts"),
             F.count_if((F.col(c) == polarity[c]) & is_gold).alias(f"{c}|gold"),
@@ -33,11 +35,12 @@ def lf_table(votes: DataFrame, polarity: Mapping[str, int], gold: str | None = N
         ]
     one = rows.agg(*sums)
     each = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("lf"), F.lit(polarity[c]).alias("polarity"), *[F.col(f"`{c}|{k}`").alias(k) for k in ("fired", "overlaps", "conflicts", "gold", "code", "correct")]) for c in names])
+        F.array(*[F.struct(F.lit(c).alias("lf"), F.lit(polarity[c]).alias("polarity"), *[F.col(f"`{c}|{k}`").alias(k) for k in ("fired", "no", "yes", "overlaps", "conflicts", "gold", "code", "correct")]) for c in names])
     )
     flat = one.select("rows", each.alias("x")).select("rows", "x.*")
     share = lambda c: F.when(F.col("rows") > 0, F.col(c) / F.col("rows")).otherwise(0.0)
-    out = flat.select("lf", "polarity", "fired", share("fired").alias("coverage"), share("overlaps").alias("overlaps"), share("conflicts").alias("conflicts"), "gold", F.col("code").alias("code_gold_hits"), "correct")
+    observed = F.concat_ws(",", F.when(F.col("no") > 0, "0"), F.when(F.col("yes") > 0, "1")).alias("observed")
+    out = flat.select("lf", "polarity", observed, "fired", share("fired").alias("coverage"), share("overlaps").alias("overlaps"), share("conflicts").alias("conflicts"), "gold", F.col("code").alias("code_gold_hits"), "correct")
     if not code:
         out = out.drop("code_gold_hits")
     if not gold:
@@ -67,11 +70,13 @@ def headline(votes: DataFrame, polarity: Mapping[str, int], *, label: str = "lab
 
 
 def threshold_sweep(scored: DataFrame, cuts: Sequence[float], *, prob: str = "prob_security", gold: str = "is_gold", voted: Column | None = None) -> DataFrame:
-    """Per cut-off ``threshold``: ``flagged`` and ``gold_recovered``, in one pass."""
+    """Per cut-off ``threshold``: rows ``flagged``, their ``share`` of all, and ``gold_recovered``, in one pass. ``voted`` says which rows may be flagged."""
     counts = voted if voted is not None else F.lit(True)
-    one = scored.agg(*[F.count_if(counts & (F.col(prob) >= c)).alias(f"f{k}") for k, c in enumerate(cuts)], *[F.count_if(counts & (F.col(prob) >= c) & F.coalesce(F.col(gold), F.lit(False))).alias(f"g{k}") for k, c in enumerate(cuts)])
+    flagged = {k: counts & (F.col(prob) >= c) for k, c in enumerate(cuts)}
+    one = scored.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(x).alias(f"f{k}") for k, x in flagged.items()], *[F.count_if(x & F.coalesce(F.col(gold), F.lit(False))).alias(f"g{k}") for k, x in flagged.items()])
     rows = F.array(*[F.struct(F.lit(float(c)).alias("threshold"), F.col(f"f{k}").alias("flagged"), F.col(f"g{k}").alias("gold_recovered")) for k, c in enumerate(cuts)])
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    share = F.when(F.col("rows") > 0, F.col("x.flagged") / F.col("rows")).otherwise(0.0)
+    return one.select("rows", F.explode(rows).alias("x")).select("x.threshold", "x.flagged", share.alias("share"), "x.gold_recovered")
 
 
 def label_distribution(labelled: DataFrame, label: str = "label") -> DataFrame:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from . import schemas
 
 
+#: A table whose scan has more partitions than this, each of a file split's size, isn't moved for the sake of idle cores.
+FEW_PARTITIONS = 16
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` in at least as many partitions as there are cores; only a table so small that its scan would leave cores idle is moved."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """``rows`` in at least as many partitions as there are cores, if they are few: a small table's scan would leave cores idle, a large one isn't moved."""
+    cores, parts = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return rows.repartition(cores) if parts < cores and parts <= FEW_PARTITIONS else rows
 
 
 def read_commits(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -39,13 +43,16 @@ def read_osv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.OSV).json(path)
 
 
-def write_targets(targets: DataFrame, path: str) -> None:
-    """The index of repositories as one nested document. It has one row per repository with a fix, so one row holds it."""
-    targets.agg(F.collect_list(F.struct(*targets.columns)).alias("targets")).write.json(path)
+def write_targets(targets: DataFrame, path: str, each: int = 1000) -> None:
+    """The index of repositories as nested documents of about ``each`` repositories, a document a line: no row holds them all."""
+    parts = -(-max(targets.count(), 1) // each)
+    part = F.pmod(F.xxhash64("repo_key"), F.lit(parts))
+    targets.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*targets.columns)).alias("targets")).select("targets").write.json(path)
 
 
-def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.TARGETS).option("multiLine", True).json(path).select(F.explode("targets").alias("x")).select("x.*")
+def read_targets(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """The repositories of all documents under ``path``: one a line, or (``whole``) one a file, over as many lines as it likes."""
+    return spark.read.schema(schemas.TARGETS).option("multiLine", whole).json(path).select(F.explode("targets").alias("x")).select("x.*")
 
 
 def read_log_records(spark: SparkSession, path: str) -> DataFrame:

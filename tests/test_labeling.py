@@ -1,11 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from patchlight.operators.diffs import changed_paths, prefiltered, with_hunks
 from patchlight.operators.features import citation_features, release_windows, with_features
-from patchlight.operators.labeling import ALL_WITH_DIFF, DIFF, MESSAGE, LabelingFunction, apply_lfs
+from patchlight.operators.labeling import ALL, ALL_WITH_DIFF, DIFF, MESSAGE, BatchFunction, LabelingFunction, apply_lfs, row_function
 
 COLUMNS = "sha string, message string, subject string, files array<string>, n_files int, insertions int, deletions int, is_merge boolean, author_name string, author_email string"
 
@@ -144,8 +145,8 @@ def test_release_windows_exclude_the_release_itself(spark):
     #        seed, release: the second release has no seed between; the third's own seed doesn't count
     rows = [(1, 1, True, False), (1, 2, False, True), (1, 3, False, False), (1, 4, True, True), (1, 5, True, False), (1, 6, False, True), (2, 1, False, True)]
     made = spark.createDataFrame(rows, "g int, t int, seed boolean, is_release boolean")
-    for period in (F.lit(0), F.col("t"), F.floor(F.col("t") / 3)):
-        assert sorted((r["g"], r["t"]) for r in release_windows(made, "g", ["t"], period).filter("fires").collect()) == [(1, 2), (1, 6)]
+    for parts in (1, 3, 20):
+        assert sorted((r["g"], r["t"]) for r in release_windows(made, "g", ["t"], parts).filter("fires").collect()) == [(1, 2), (1, 6)]
 
 
 def test_release_windows_match_a_plain_loop(spark):
@@ -155,11 +156,60 @@ def test_release_windows_match_a_plain_loop(spark):
     want, seen = {}, {}
     for g, t, seed, release in rows:
         want[t] = bool(release) and seen.get(g, False)
-        seen[g] = False if release else bool(seen.get(g) or (seed and release is False))
+        seen[g] = False if release else bool(seen.get(g) or (seed and not release))
     made = spark.createDataFrame(rows, "g int, t int, seed boolean, is_release boolean")
-    got = {r["t"]: r["fires"] for r in release_windows(made, "g", ["t"], F.floor(F.col("t") / 7)).collect()}
-    assert got == want and 0 < sum(want.values()) < 600
-    assert release_windows(made.limit(0), "g", ["t"], F.col("t")).count() == 0
+    for parts in (None, 1, 37):
+        got = {r["t"]: r["fires"] for r in release_windows(made, "g", ["t"], parts).collect()}
+        assert got == want and 0 < sum(want.values()) < 600
+    assert release_windows(made.limit(0), "g", ["t"]).count() == 0
+
+
+def test_one_repository_and_day_is_many_tasks(spark):
+    """10^6 commits of one day: each of 16 ranges holds about its share, and windows that span ranges are found."""
+    day = spark.range(1_000_000).selectExpr("'o/r' AS repo", "'2024-01-01' AS author_date", "sha1(cast(id as string)) AS sha", "id % 5 = 0 AS seed", "id % 7 = 3 AS is_release")
+    shares = day.repartitionByRange(16, "repo", "author_date", "sha").groupBy(F.spark_partition_id().alias("p")).count()
+    sizes = [r["count"] for r in shares.collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 1_000_000 / 16
+    few = day.filter("id % 1000 < 10")
+    want, seen = 0, False
+    for r in sorted(few.collect(), key=lambda r: r["sha"]):
+        want += r["is_release"] and seen
+        seen = False if r["is_release"] else seen or r["seed"]
+    assert release_windows(few, "repo", ["author_date", "sha"], 16).filter("fires").count() == want
+
+
+def test_prefilter_cuts_at_its_limit(spark):
+    sections = [patch(f"src/{k}.c", *["+" + chr(97 + k) * 999] * 190) for k in range(4)]
+    text = "\n".join([patch("docs/a.md", "+gone"), *sections])
+    whole = "\n".join(sections)
+    assert all(len(s) <= 200_000 for s in sections) and len(whole) > 512_000
+    got = spark.createDataFrame([(text,)], "t string").select(prefiltered(F.col("t")).alias("p")).first()["p"]
+    assert got == whole[:512_000]
+
+
+PY_COLUMNS = "sha string, message string, n_files int, lf_mine int"
+
+
+def test_python_functions_vote_as_their_columns_do(spark):
+    rows = [(f"s{k}", m, n, k) for k, (m, n) in enumerate([("fix CVE-2024-1234", 1), (None, 60), ("x", None), ("", 51), ("cve-2024-99999 too", 2)] * 40)]
+    commits = spark.createDataFrame(rows, PY_COLUMNS).repartition(3)
+    mine = row_function("py_cve", 1, ["message"], lambda m: 1 if m and re.search(r"\bCVE-\d{4}-\d{4,7}\b", m, re.IGNORECASE) else None)
+    many = BatchFunction("py_many", 0, ("n_files",), lambda x: (x["n_files"] > 50).map({True: 0, False: None}))
+    twin = LabelingFunction("twin_many", 0, "user", lambda: F.col("n_files") > 50)
+    for lfs in ([mine, twin, many, next(lf for lf in ALL if lf.name == "lf_cve_id")], [many, mine]):
+        commits_ = commits.withColumns({c: F.lit(v) for c, v in (("subject", ""), ("author_name", ""), ("author_email", ""))}).withColumns({"files": F.array(F.lit("a")), "is_merge": F.lit(False), "insertions": F.lit(0), "deletions": F.lit(0)})
+        out = apply_lfs(commits_, lfs)
+        assert out.columns[-len(lfs) :] == [lf.name for lf in lfs]
+        for r in out.collect():
+            assert r["py_many"] == (0 if (r["n_files"] or 0) > 50 else -1)
+            assert "twin_many" not in out.columns or (r["py_many"], r["py_cve"]) == (r["twin_many"], r["lf_cve_id"])
+
+
+@pytest.mark.parametrize(("vote", "said"), [(lambda x: 1 / 0, "division by zero"), (lambda x: [1], "1 votes on"), (lambda x: [2] * len(x), "votes other than"), (lambda x: x["absent"], "absent")])
+def test_a_failing_function_is_named(spark, vote, said):
+    commits = spark.createDataFrame([("s1", "m", 1, 0), ("s2", "m", 1, 0)], PY_COLUMNS).coalesce(1)
+    with pytest.raises(Exception, match="(?s)labeling function py_bad: .*" + said):
+        apply_lfs(commits, [BatchFunction("py_bad", 1, ("message",), vote)]).collect()
 
 
 def test_citations_need_another_positive_commit(spark):
