@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .storage import saved
 
+#: Buckets of conversations with one opening, for about so many conversations in all; and the mean size of a group that lends answers.
+OPENING_BUCKETS, CONVERSATIONS = 64, 1 << 20
+LENDERS = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -67,11 +70,16 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     return parts.select(*kept, text(F.col("p")).alias("prompt"), text(F.col("c")).alias("chosen"), text(F.col("r")).alias("rejected"), loss_spans(F.col("c")).alias("chosen_mask"), loss_spans(F.col("r")).alias("rejected_mask"))
 
 
+def _bucket(conv_id: Column, buckets: int) -> Column:
+    """A bucket by the hash of an id's text, so that ids may be sparse, or no numbers."""
+    return F.conv(F.substring(F.md5(conv_id.cast("string")), 1, 8), 16, 10).cast("long") % buckets
+
+
 def neighbours(whole: DataFrame) -> DataFrame:
     """Pairs (``chosen_id``, ``rejected_id``) of ``conversations`` that open with the same turn; one that is left over has no rejected_id.
 
     Those with one opening stand in the order of their ids, dealt out in groups of two: the longer (the lower id if equal)
-    is chosen. The order is met within buckets of the id first, and only the odd
+    is chosen. The order is met within buckets by the id's hash first, and only the odd
     one of each bucket goes on, so a very common opening is not sorted by one task.
     """
     first = F.get("turns", F.lit(0))
@@ -86,15 +94,20 @@ def neighbours(whole: DataFrame) -> DataFrame:
         full = made.filter("size = 2").select(F.col("a.conv_id").alias("chosen_id"), F.col("b.conv_id").alias("rejected_id"))
         return full, made.filter("size = 1").select("opening", F.col("a.conv_id").alias("conv_id"), (-F.col("a.m")).alias("n"))
 
-    near, odd = dealt(opening.withColumn("bucket", F.col("conv_id") % 64), "opening", "bucket")
+    buckets = OPENING_BUCKETS * -(-max(whole.count(), 1) // CONVERSATIONS)
+    near, odd = dealt(opening.withColumn("bucket", _bucket(F.col("conv_id"), buckets)), "opening", "bucket")
     far, left = dealt(odd, "opening")
-    return near.unionByName(far).unionByName(left.select(F.col("conv_id").alias("chosen_id"), F.lit(None).cast("long").alias("rejected_id")))
+    return near.unionByName(far).unionByName(left.select(F.col("conv_id").alias("chosen_id"), F.lit(None).cast(whole.schema["conv_id"].dataType).alias("rejected_id")))
 
 
 def answer_givers(whole: DataFrame) -> DataFrame:
-    """For ``conversations`` that have an answer: ``chosen_id`` and ``answer_id``, the next of the same 64 consecutive ids that has one too, the first after the last."""
-    answering = whole.filter(last_answer(F.col("turns")) > 0).select("conv_id", F.floor(F.col("conv_id") / 64).alias("group"))
-    by = Window.partitionBy("group").orderBy("conv_id")
+    """For ``conversations`` that have an answer: ``chosen_id`` and ``answer_id``, the next one of its group that has one too, the first after the last.
+
+    Groups are by the id's hash, of LENDERS on average, so only one that is alone in its group, as it is where there is no other, has none.
+    """
+    answering = saved(whole.filter(last_answer(F.col("turns")) > 0).select("conv_id"), "answering")
+    groups = -(-max(answering.count(), 1) // LENDERS)
+    by = Window.partitionBy(_bucket(F.col("conv_id"), groups)).orderBy("conv_id")
     next_id = F.coalesce(F.lead("conv_id").over(by), F.first("conv_id").over(by))
     return answering.select(F.col("conv_id").alias("chosen_id"), next_id.alias("answer_id")).filter("answer_id <> chosen_id")
 
@@ -110,7 +123,7 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     chosen = whole.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("chosen_turns"))
     other = lambda c: whole.select(F.col("conv_id").alias(c), F.col("turns").alias("rejected_turns"))
     columns = ["chosen_id", "rejected_id", "answer_id", "chosen_turns", "rejected_turns"]
-    null_id = F.lit(None).cast("long")
+    null_id = F.lit(None).cast(whole.schema["conv_id"].dataType)
     natural = pairs.filter(F.col("rejected_id").isNotNull()).join(chosen, "chosen_id").join(other("rejected_id"), "rejected_id").withColumn("answer_id", null_id)
     alone = saved(pairs.filter(F.col("rejected_id").isNull()).select("chosen_id").join(chosen, "chosen_id"), "conversations-alone")
     givers = saved(answer_givers(alone.select(F.col("chosen_id").alias("conv_id"), F.col("chosen_turns").alias("turns"))), "answer-givers")

@@ -21,8 +21,12 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 o AS (
   SELECT conv_id, count(*) AS n, max({'r': role, 't': text}) FILTER (WHERE k = 1) AS opening, coalesce(max(k) FILTER (WHERE role = 'assistant'), 0) AS answer FROM t GROUP BY conv_id),
+drawn AS (
+  SELECT *, ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT AS h FROM o),
+bucketed AS (
+  SELECT *, h % (64 * ceil((SELECT greatest(count(*), 1) FROM o) / 1048576))::BIGINT AS b FROM drawn),
 near AS (
-  SELECT *, conv_id % 64 AS b, (row_number() OVER (PARTITION BY opening, conv_id % 64 ORDER BY conv_id) - 1) // 2 AS pair FROM o),
+  SELECT *, (row_number() OVER (PARTITION BY opening, b ORDER BY conv_id) - 1) // 2 AS pair FROM bucketed),
 near2 AS (
   SELECT *, count(*) OVER (PARTITION BY opening, b, pair) AS size FROM near),
 far AS (
@@ -35,10 +39,10 @@ natural_pairs AS (
          CASE WHEN count(*) = 2 THEN last(conv_id ORDER BY n DESC, conv_id) END AS rejected_id
   FROM grouped GROUP BY opening, b, pair),
 alone AS (
-  SELECT chosen_id, answer FROM natural_pairs JOIN o ON conv_id = chosen_id WHERE rejected_id IS NULL),
+  SELECT chosen_id, answer, h FROM natural_pairs JOIN drawn ON conv_id = chosen_id WHERE rejected_id IS NULL AND answer > 0),
 givers AS (
-  SELECT chosen_id, coalesce(lead(chosen_id) OVER w, first(chosen_id) OVER w) AS answer_id FROM alone WHERE answer > 0
-  WINDOW w AS (PARTITION BY floor(chosen_id / 64) ORDER BY chosen_id)),
+  SELECT chosen_id, coalesce(lead(chosen_id) OVER w, first(chosen_id) OVER w) AS answer_id FROM alone
+  WINDOW w AS (PARTITION BY h % ceil((SELECT count(*) FROM alone) / 64)::BIGINT ORDER BY chosen_id)),
 pairs AS (
   SELECT p.chosen_id, p.rejected_id, g.answer_id FROM natural_pairs p LEFT JOIN givers g ON g.chosen_id = p.chosen_id AND p.rejected_id IS NULL AND g.answer_id <> g.chosen_id),
 other AS (

@@ -28,12 +28,13 @@ def test_one_without_a_partner_is_rejected_with_anothers_answer(spark):
     b = [("system", "b0"), ("assistant", "b1"), ("assistant", "b2")]
     rows = [(3, k, *t) for k, t in enumerate(a)] + [(9, k, *t) for k, t in enumerate(b)] + [(70, 0, "user", "far"), (70, 1, "assistant", "off"), (11, 0, "user", "no answer")]
     got = made(spark, rows)
-    assert (got[3]["answer_id"], got[3]["n_common"], got[9]["answer_id"], got[9]["n_common"]) == (9, 3, 3, 2)
+    assert (got[3]["answer_id"], got[3]["n_common"], got[9]["answer_id"], got[9]["n_common"]) == (9, 3, 70, 2)
     assert got[3]["prompt"] == "".join(rendered(*t) for t in a[:3]) and got[3]["chosen"] == rendered(*a[3]) + rendered(*a[4])
-    assert got[3]["rejected"] == rendered(*b[2]) and got[9]["rejected"] == rendered(*a[3])
-    assert [got[9]["rejected"][x:y] for x, y in got[9]["rejected_mask"]] == ["a4<|im_end|>"]
-    # 70 is alone among its 64 ids, 11 has no answer.
-    assert got[70]["answer_id"] is None and got[70]["n_common"] == 1 and got[11]["n_common"] == 0 and got[11]["rejected"] == ""
+    assert got[3]["rejected"] == rendered(*b[2]) and got[9]["rejected"] == rendered("assistant", "off")
+    assert [got[9]["rejected"][x:y] for x, y in got[9]["rejected_mask"]] == ["off<|im_end|>"]
+    # The last one is lent the first one's answer, however far apart their ids are; 11 has no answer.
+    assert got[70]["answer_id"] == 3 and got[70]["n_common"] == 1 and got[70]["rejected"] == rendered(*a[3])
+    assert got[11]["n_common"] == 0 and got[11]["answer_id"] is None and got[11]["rejected"] == ""
 
 
 @pytest.mark.parametrize("shared", [0, 1, 7, 300])
@@ -71,3 +72,14 @@ def test_one_opening_shared_by_many_makes_a_linear_number_of_pairs(spark):
 
 def test_empty(spark):
     assert format_pairs(preference_pairs(spark.createDataFrame([], TURNS))).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["sparse", "text"])
+def test_sparse_and_text_ids_find_partners(spark, kind):
+    name = (lambda c: c * 10**15 + 7) if kind == "sparse" else (lambda c: f"talk-{c}")
+    rows = [(name(c), t, "user" if t % 2 == 0 else "assistant", f"{c} {t}", "x") for c in range(150) for t in range(2)]
+    turns = spark.createDataFrame(rows, TURNS if kind == "sparse" else TURNS.replace("conv_id long", "conv_id string"))
+    got = preference_pairs(turns).collect()
+    assert len(got) == 150 and all(r["answer_id"] not in (None, r["chosen_id"]) for r in got)
+    lent = sorted(r["answer_id"] for r in got)
+    assert lent == sorted(name(c) for c in range(150))
