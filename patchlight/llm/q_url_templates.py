@@ -14,7 +14,7 @@ def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     number = F.try_to_number(F.nullif(F.regexp_extract(url_path(F.col("url")), r"([0-9]{1,18})", 1), F.lit("")), F.lit("9" * 18)).cast("long")
     of_page = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "bad")
-    return filter_urls(pages, of_page, RULES).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages, of_page, RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"), "method")
 
 
 #: The oracle spells out so many levels; no path of the given tables is deeper.
@@ -62,7 +62,8 @@ rules AS (
                  WHEN net AND starts_with(path, '/es/') THEN 'net/es/' WHEN net AND starts_with(path, '/fr/') THEN 'net/fr/'
                  WHEN com AND starts_with(path, '/') THEN 'com/' END AS rule FROM ruled)
 SELECT r.page_id, r.host, r.path, r.rule,
-       CASE WHEN r.rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block' WHEN j.purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict
+       CASE WHEN r.rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block' WHEN j.purity < 0.5 THEN 'block' ELSE 'allow' END AS verdict,
+       j.template, round(j.purity, 9) AS purity, CASE WHEN j.purity < 0.5 THEN 'block' ELSE 'allow' END AS method
 FROM rules r JOIN tree t ON t.host = r.host AND t.shape = r.shape
 JOIN judged j ON j.host = t.host AND j.template = t.template AND j.depth = t.depth
 """

@@ -47,25 +47,30 @@ def path_shape(path: Column) -> Column:
 def template_tree(shapes: DataFrame) -> DataFrame:
     """Path shapes (``host``, ``shape``, counts) with their ``t``, the segments of the template that each falls under.
 
-    Level by level from the host down, the children of a node with more than FANOUT distinct ones become a wildcard. A node with no more
-    shapes than that can't have more children anywhere below it, so its shapes are finished: the levels go as deep as there is something to
-    generalise, however long paths are. Each level is written, so that the plan of the next does not hold the plans of all before it.
+    From the host down, the children of a node with more than FANOUT distinct ones become a wildcard, which lets nodes further down meet. All
+    nodes of all paths are counted at once; each shape then takes the wildcard that is nearest to its host, and those that took one
+    are counted again below it. So rounds are as many as wildcards stand above each other, however long paths are. Each round is
+    written, so that the plan of the next does not hold the plans of all before it.
     """
-    now = saved(shapes.withColumn("t", F.filter(F.split("shape", "/", -1), lambda s: s != "")), "url-shapes")
-    done, k = None, 0
+    now = saved(shapes.withColumns({"t": F.filter(F.split("shape", "/", -1), lambda s: s != ""), "after": F.lit(0)}), "url-shapes")
+    done = None
     while True:
-        at = now.withColumn("node", F.array_join(F.slice("t", 1, k), "/"))
-        nodes = at.filter(F.size("t") > k).groupBy("host", "node").agg(F.count_distinct(F.get("t", F.lit(k))).alias("children"), F.count(F.lit(1)).alias("shapes")).filter(F.col("shapes") > FANOUT)
-        met = at.join(nodes, ["host", "node"], "left").withColumn("going", F.col("shapes").isNotNull() & (F.size("t") > k))
-        wild = F.concat(F.slice("t", 1, k), F.array(F.lit("*")), F.slice("t", k + 2, F.greatest(F.size("t") - (k + 1), F.lit(0))))
+        places = F.when(F.col("after") < F.size("t"), F.sequence("after", F.size("t") - 1)).otherwise(F.array().cast("array<int>"))
+        node = lambda k: F.xxhash64(F.array_join(F.slice("t", 1, k), "/"))
+        cells = now.select("host", "shape", F.explode(F.transform(places, lambda k: F.struct(k.alias("k"), node(k).alias("node"), F.get("t", k).alias("child")))).alias("c")).select("host", "shape", "c.*")
+        cells = saved(cells, "url-nodes")
+        wide = cells.groupBy("host", "k", "node").agg(F.count_distinct("child").alias("children")).filter(F.col("children") > FANOUT).drop("children")
+        first = cells.join(wide, ["host", "k", "node"]).groupBy("host", "shape").agg(F.min("k").alias("k"))
+        wild = F.concat(F.slice("t", 1, F.col("k")), F.array(F.lit("*")), F.slice("t", F.col("k") + 2, F.greatest(F.size("t") - (F.col("k") + 1), F.lit(0))))
+        going = F.col("k").isNotNull()
         seen = Observation()
-        level = met.select(*now.columns, "going", F.when(F.col("going") & (F.col("children") > FANOUT), wild).otherwise(F.col("t")).alias("new_t"))
-        level = saved(level.drop("t").withColumnRenamed("new_t", "t").observe(seen, F.count_if("going").alias("n")), "url-tree")
-        ended = level.filter(~F.col("going")).drop("going")
+        met = now.join(first, ["host", "shape"], "left").withColumns({"going": going, "t": F.when(going, wild).otherwise(F.col("t")), "after": F.when(going, F.col("k") + 1).otherwise(F.col("after"))})
+        level = saved(met.select(*now.columns, "going").observe(seen, F.count_if("going").alias("n")), "url-tree")
+        ended = level.filter(~F.col("going")).drop("going", "after")
         done = ended if done is None else done.unionByName(ended)
         if not seen.get["n"]:
             return done
-        now, k = level.filter("going").drop("going"), k + 1
+        now = level.filter("going").drop("going")
 
 
 def template_verdicts(pages: DataFrame) -> DataFrame:
@@ -91,7 +96,7 @@ def template_verdicts(pages: DataFrame) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Judge each page: ``id``, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``purity``.
+    """Judge each page: ``id``, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``purity`` and ``method``, the template's verdict, which a rule may overrule.
 
     ``labels`` (``page_id``, ``bad``) covers any part of the pages; if a page has several labels, one bad one decides.
     The longest fitting rule decides; where none fits, the page's template does. Templates: segments with a digit, and all
@@ -109,4 +114,4 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     judged = cut.join(shapes, ["host", "shape"], "left")
     host, path = F.col("host"), F.col("path")
     verdict = F.coalesce(rule_of(host, path, rules, "action"), F.col("method"))
-    return judged.select("page_id", "host", "path", rule_of(host, path, rules, "text").alias("rule"), verdict.alias("verdict"), "template", "purity")
+    return judged.select("page_id", "host", "path", rule_of(host, path, rules, "text").alias("rule"), verdict.alias("verdict"), "template", "purity", "method")

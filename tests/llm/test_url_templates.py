@@ -1,3 +1,5 @@
+from patchlight.llm import url_templates
+from patchlight.llm.storage import saved
 from patchlight.llm.url_templates import filter_urls
 
 PAGES = "page_id long, url string, host string"
@@ -50,3 +52,19 @@ def test_paths_of_any_depth(spark):
 def test_equal_shares_of_good_and_bad_pass(spark):
     got = judged(spark, [(k, f"http://h.org/x/{k}") for k in range(4)], [(0, True), (1, False), (2, True), (3, False)])
     assert all(r["purity"] == 0.5 and r["verdict"] == "allow" for r in got.values())
+
+
+def test_deep_traps_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(url_templates, "saved", lambda df, name: written.append(name) or saved(df, name))
+    rows = [(k, "http://h.org/" + "/".join(["a"] * k)) for k in range(1, 400)]
+    rows += [(1000 + k, "http://h.org/" + "b/" * 300 + "abcdefghijkl"[k % 12] + "/c/" + "mnopqrstuvwx"[k // 12]) for k in range(144)]
+    got = judged(spark, rows)
+    assert got[399]["template"] == "/".join(["a"] * 399) and got[1000]["template"] == "b/" * 300 + "*/c/*"
+    assert written.count("url-tree") == 3
+
+
+def test_the_method_blocks_where_no_rule_says_otherwise(spark):
+    rows = [(k, f"http://h.org/spam/{k}") for k in range(40)] + [(100 + k, f"http://h.com/spam/{k}") for k in range(40)]
+    got = judged(spark, rows, [(k, True) for k in range(40)] + [(100 + k, True) for k in range(40)])
+    assert {(r["method"], r["verdict"], r["rule"]) for r in got.values()} == {("block", "block", None), ("block", "allow", "com/")}
