@@ -14,6 +14,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bits import parted
 from .storage import new_path, saved
 
 #: Shorter payloads are never revisits.
@@ -61,8 +62,9 @@ def write_archive(pages: DataFrame, path: str, *, date: str = "1970-01-01T00:00:
 
     Of records with equal payloads of at least 1000 bytes, that with the largest page_id is the response and the
     others revisit it. A null html is an empty payload. Rows that repeat the largest page_id are responses too; where
-    all page_ids of a payload are null, so is the response's. Only digests and ids are grouped; a payload
-    moves once, compressed and spread by page_id, and only where it is the one that is stored.
+    all page_ids of a payload are null, so is the response's. Only digests and ids are grouped. Which payloads are stored is told by a
+    filter of fixed size, so that others are neither compressed nor moved (but for the few that it lets pass, which a join then drops); a
+    stored one moves once, compressed and spread by page_id.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"))
@@ -75,8 +77,10 @@ def write_archive(pages: DataFrame, path: str, *, date: str = "1970-01-01T00:00:
     header = header_block(F.col("page_id"), F.col("url"), F.col("kind"), F.when(revisits, F.col("response")), F.col("sha1"), F.col("size"), date)
     records.select(header.alias("header"), "address").write.parquet(f"{path}/records")
     at = F.coalesce(F.col("page_id"), F.lit(-1))
-    stored = _packed(rows.select(at.alias("at"), "address", "payload"), "payload")
-    stored = stored.join(chosen.select(F.coalesce("response", F.lit(-1)).alias("at"), "address"), ["at", "address"])
+    kept = chosen.select(F.coalesce("response", F.lit(-1)).alias("at"), "address")
+    key = F.xxhash64("at", "address").alias("key")
+    _, likely = parted(rows.select(at.alias("at"), "address", "payload").select("*", key), kept.select(key), "key")
+    stored = _packed(likely.drop("key"), "payload").join(kept, ["at", "address"])
     stored.dropDuplicates(["at", "address"]).select("address", "payload").write.parquet(f"{path}/payloads")
 
 
