@@ -258,12 +258,19 @@ def git_log(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("repo", "sha", "author_email", "committer_date", "subject", "message", "is_merge", "n_parents", "n_files", F.array_join("files", ",").alias("files"), "insertions", "deletions")
 
 
-def resolved(spark: SparkSession, sf: str, links_: DataFrame, fixes_: DataFrame) -> DataFrame:
-    return cm.resolve_shas(audit.with_commit_reference(links_, fixes_), fx.commits(spark, sf)).select("cve_id", "repo_key", "commit", "full_sha")
+def named_commits(spark: SparkSession, sf: str) -> DataFrame:
+    """What advisories are held against: commits without their texts, written once as several steps read them."""
+    return staged(fx.commits(spark, sf).select("repo", "sha", "author_date", "subject"), "named-commits")
+
+
+def resolved(commits: DataFrame, links_: DataFrame, fixes_: DataFrame) -> DataFrame:
+    return cm.resolve_shas(audit.with_commit_reference(links_, fixes_), commits).select("cve_id", "repo_key", "commit", "full_sha")
 
 
 def gold_of(spark: SparkSession, sf: str, cves_: DataFrame, links_: DataFrame, fixes_: DataFrame) -> DataFrame:
-    return cm.flag_gold(fx.commits(spark, sf), resolved(spark, sf, links_, fixes_), targets(cves_, links_, fixes_))
+    """Commits with their gold flags. References are resolved once and written, as the flags and their counts both read them."""
+    commits = named_commits(spark, sf)
+    return cm.flag_gold(commits, staged(resolved(commits, links_, fixes_), "resolved"), staged(targets(cves_, links_, fixes_), "targets"))
 
 
 def golden(spark: SparkSession, sf: str) -> DataFrame:
@@ -277,7 +284,7 @@ def gold_with_cve(spark: SparkSession, sf: str) -> DataFrame:
 
 def unattributed(spark: SparkSession, sf: str) -> DataFrame:
     cves_, links_, fixes_ = landed(spark, sf)
-    return audit.unattributed(audit.with_commit_reference(links_, fixes_), gold_of(spark, sf, cves_, links_, fixes_))
+    return audit.unattributed(audit.with_commit_reference(links_, fixes_), staged(gold_of(spark, sf, cves_, links_, fixes_), "golden"))
 
 
 def window_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -431,7 +438,7 @@ QUERIES: dict[str, Query] = {
     "reference_kinds": reference_kinds,
     "git_log": git_log,
     "history_window": lambda s, d: cm.history_window(fx.commits(s, d), since="2024-01-01T06:00:00", until="2025-01-01T00:00:00", newest=20).select("repo", "sha"),
-    "resolve_shas": lambda s, d: resolved(s, d, *landed(s, d)[1:]),
+    "resolve_shas": lambda s, d: resolved(named_commits(s, d), *landed(s, d)[1:]),
     "gold_flags": gold_flags,
     "distinct_commits": lambda s, d: cm.distinct_commits(fx.commits(s, d).select("repo", "sha")),
     "repo_counts": lambda s, d: cm.repo_counts(golden(s, d)),

@@ -18,9 +18,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..sources.staged import staged
 
 
+#: Each step's tasks have about so many rows each, unless that makes too many tasks.
+TASK_ROWS = 2000
+
+
 @dataclass(frozen=True)
 class Settings:
-    """``places`` of terms; ``rows_each``: at most so many rows of each label are learned from; ``tasks`` hold their features.
+    """``places`` of terms; ``rows_each``: at most so many rows of each label are learned from; at most so many ``tasks`` read their features.
 
     A place that fewer than ``least_df`` of them have says nothing. ``strength`` weighs the rows' loss against half the squared length of the
     coefficients; ``steps`` bounds the fit.
@@ -130,9 +134,10 @@ def sampled(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
 
 def fit(rows: DataFrame, text: str, label: str, weight: str, settings: Settings = Settings()) -> TextModel:
     """Learns from ``rows``: their ``label`` (0.0 or 1.0) and non-negative ``weight``, null as 0. Without rows all is as likely as not."""
-    own = sampled(rows.select(text, label, weight), label, text, settings.rows_each).repartition(settings.tasks)
+    own = sampled(rows.select(text, label, weight), label, text, settings.rows_each)
     features = staged(own.select(terms(F.col(text), settings.places).alias("terms"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w")), "text-features")
     n = features.count()
+    features = features.coalesce(max(1, min(settings.tasks, -(-n // TASK_ROWS))))
     df = features.select(F.explode(F.array_distinct("terms")).alias("place")).groupBy("place").count().toArrow()
     counts = np.zeros(settings.places)
     counts[df["place"].to_numpy()] = df["count"].to_numpy()
