@@ -322,3 +322,8 @@ SQL = {
     "cwe_of_gold": f"{_ALL} SELECT cwe, count(*) AS n FROM (SELECT unnest(c.cwes) AS cwe FROM golden g JOIN cves c USING (cve_id) WHERE is_cve_fix) GROUP BY 1",
 }
 SQL["target_parts"] = SQL["repo_targets"]
+SQL |= {"landed_nvd": SQL["nvd_records"], "cve_lines": SQL["nvd_records"], "landed_osv": SQL["osv_fixes"]}
+SQL["commits_parquet"] = SQL["commits_json"] = f"""{_ALL} SELECT repo, sha, author_date, subject, n_files::INT AS n_files, is_merge, md5(message) AS message, array_to_string(files, ',') AS files, is_cve_fix, cve_id, repo_cve_ids FROM golden"""
+SQL["reread_sample"] = f"{_WITH}, {_STRATA} SELECT sha, repo, stratum, md5(diff_text) AS patch FROM drawn"
+SQL["reread_citations"] = f"""SELECT c.sha, coalesce(x.patch_cites_advisory, false) AS patch_cites_advisory, coalesce(x.patch_cites_fix_commit, false) AS patch_cites_fix_commit
+  FROM (WITH {commits_cte()} SELECT sha FROM commits) c LEFT JOIN ({SQL["citations"]}) x ON x.sha = c.sha"""

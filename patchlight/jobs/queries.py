@@ -14,10 +14,9 @@ from ..operators import advisories as adv
 from ..operators import audit, combine, features, labeling, measure, sampling, text_model
 from ..operators import commits as cm
 from ..operators import diffs as df_ops
-from ..sources import dumps
+from ..sources import dumps, schemas, tables
 from ..sources.commit_store import CommitStore
 from ..sources.staged import new_path, staged
-from ..sources.tables import read_targets, write_targets
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,8 +226,13 @@ def targets(cves_: DataFrame, links_: DataFrame, fixes_: DataFrame) -> DataFrame
     return adv.repo_targets(links_, fixes_, cves_.select("cve_id", "published"))
 
 
+def shown(records: DataFrame) -> DataFrame:
+    """Records with their lists joined."""
+    return records.withColumns({"cwes": F.array_join("cwes", ","), "reference_urls": F.array_join("reference_urls", " "), "patch_urls": F.array_join("patch_urls", " ")})
+
+
 def nvd_records(spark: SparkSession, sf: str) -> DataFrame:
-    return cves(spark, sf).withColumns({"cwes": F.array_join("cwes", ","), "reference_urls": F.array_join("reference_urls", " "), "patch_urls": F.array_join("patch_urls", " ")})
+    return shown(cves(spark, sf))
 
 
 def cve_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,8 +282,8 @@ def golden(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold_with_cve(spark: SparkSession, sf: str) -> DataFrame:
-    tables = landed(spark, sf)
-    return audit.gold_with_cve(gold_of(spark, sf, *tables), tables[0])
+    found = landed(spark, sf)
+    return audit.gold_with_cve(gold_of(spark, sf, *found), found[0])
 
 
 def unattributed(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,12 +362,56 @@ def dump_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def target_parts(spark: SparkSession, sf: str) -> DataFrame:
     """The index of repositories, written as nested documents of a few repositories each and read back."""
     path = new_path(spark, "targets")
-    write_targets(targets(*landed(spark, sf)), path, 7)
-    back = read_targets(spark, path)
+    tables.write_targets(targets(*landed(spark, sf)), path, 7)
+    back = tables.read_targets(spark, path)
     pairs = F.transform(F.array_sort(F.map_entries("commit_to_cve")), lambda x: F.concat_ws("=", x["key"], x["value"]))
     return back.select("repo_key", *[F.array_join(c, ",").alias(c) for c in ("cve_ids", "fix_commits", "fix_prs")], F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("commit_to_cve"))
 
 
+def landed_nvd(spark: SparkSession, sf: str) -> DataFrame:
+    """Advisory pages, landed as JSON lines and read with their schema."""
+    path = new_path(spark, "nvd")
+    fx.advisories(spark, sf).write.json(path)
+    return shown(adv.nvd_records(tables.read_nvd_pages(spark, path)))
+
+
+def landed_osv(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "osv")
+    fx.osv(spark, sf).write.json(path)
+    return adv.osv_fixes(tables.read_osv(spark, path))
+
+
+def cve_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of which each was written twice, as it was and as it is: the last published stays."""
+    path, now = new_path(spark, "cves"), cves(spark, sf)
+    before = now.withColumns({"last_modified": F.lit("1990-01-01T00:00:00"), "description": F.lit("as it was"), "cwes": F.array().cast("array<string>")})
+    tables.write_rows(now.unionByName(before), path, "json")
+    return shown(tables.read_cves(spark, path).drop("github_repos", "primary_repo"))
+
+
+def reread_commits(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """The commit table with its gold flags, written and read with its schema."""
+    path, rows = new_path(spark, "commit-table"), fx.commits(spark, sf)
+    named = named_commits(spark, sf)
+    cves_, links_, fixes_ = landed(spark, sf)
+    whole = cm.flag_gold(rows, resolved(named, links_, fixes_), targets(cves_, links_, fixes_))
+    tables.write_rows(whole.select(*[c.split(" ")[0] for c in schemas.COMMITS.split(", ")]), path, kind)
+    back = tables.read_commits(spark, path, kind)
+    return back.select("repo", "sha", "author_date", "subject", "n_files", "is_merge", F.md5("message").alias("message"), F.array_join("files", ",").alias("files"), "is_cve_fix", "cve_id", "repo_cve_ids")
+
+
+def reread_sample(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "patch-sample")
+    strata(spark, sf, "sha", "repo", "is_gold", "diff_text").select("sha", "repo", "stratum", F.col("diff_text").alias("diff")).write.parquet(path)
+    return tables.read_patch_sample(spark, path).select("sha", "repo", "stratum", F.md5("diff_text").alias("patch"))
+
+
+def reread_citations(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "citation-table")
+    citations(spark, sf).write.parquet(path)
+    return tables.read_citations(spark, path, fx.commits(spark, sf).select("sha"))
+
+
 def label_extremes(spark: SparkSession, sf: str) -> DataFrame:
     """Per label of the given model: rows, and the least and greatest probability."""
     p = F.round("prob_security", 9)
@@ -452,6 +500,13 @@ QUERIES: dict[str, Query] = {
     "dump_round_trip": dump_round_trip,
     "target_parts": target_parts,
     "label_extremes": label_extremes,
+    "landed_nvd": landed_nvd,
+    "landed_osv": landed_osv,
+    "cve_lines": cve_lines,
+    "commits_parquet": lambda s, d: reread_commits(s, d, "parquet"),
+    "commits_json": lambda s, d: reread_commits(s, d, "json"),
+    "reread_sample": reread_sample,
+    "reread_citations": reread_citations,
     "gold_audit": lambda s, d: audit.cve_index(gold_with_cve(s, d)),
     "unattributed_cves": unattributed,
     "flat_gold": lambda s, d: audit.flat_gold(golden(s, d)),
