@@ -13,6 +13,8 @@ from .storage import saved
 WORD = r"[^\x20\x09-\x0D]+"
 #: Of the seeded 32-bit draw, the leading bits that name a bucket of a source's documents.
 BUCKET_BITS = 12
+#: Sources of one range of an order of all of them, on average.
+RANGE_ROWS = 1 << 16
 #: Sources are broadcast if their rows take no more than this; more of them meet the documents in joins.
 FEW_BYTES = 1 << 24
 
@@ -21,27 +23,42 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _before(rows: DataFrame, parts: int, order: list[Column], values: Sequence[str]) -> DataFrame:
+    """Adds to each row the sums of ``values`` over all rows before it in ``order``, as ``before_<value>``.
+
+    Rows are dealt out by ranges of the order, so a task sums its own range; only a row per range meets in one task.
+    """
+    dealt = saved(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "mix-ranges")
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__part").agg(*[F.sum(v).alias(v) for v in values])
+    starts = sums.select(F.col("__part").alias("__of"), *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__{v}") for v in values])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = dealt.join(starts, F.col("__part") == F.col("__of"))
+    return met.select(*rows.columns, *[(F.col(f"__{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(f"before_{v}") for v in values])
+
+
 def targets(sizes: DataFrame, weights: Sequence[int], epochs: int) -> DataFrame:
-    """Water-filling over one row per source (``source``, ``source_size``): adds ``target``.
+    """Water-filling over one row per source (``source``, ``source_size``; a written table, as it is read several times): adds ``target``.
 
     Sources in code point order, null last, take the weights in turn. A target is ``level * weight``,
     or the cap of ``epochs`` times the size where that is less; the level is the one at which the targets
     sum to the whole. It follows from the sources sorted by cap over weight: those below the level are
-    clamped, and what they leave is shared by weight among the rest.
+    clamped, and what they leave is shared by weight among the rest. Both orders are met by ranges, RANGE_ROWS sources each.
     """
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    whole = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("source_size"), F.lit(0)).alias("size")).first()
+    parts = max(1, -(-int(whole["n"]) // RANGE_ROWS))
+    ranked = _before(sizes.withColumn("one", F.lit(1).cast("long")), parts, [F.col("source").asc_nulls_last()], ["one"]).withColumnRenamed("before_one", "rank").drop("one")
     cases = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     weighed = ranked.withColumn("weight", cases.cast("long")).withColumn("cap", F.col("source_size") * epochs)
-    by_ratio = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("rank").asc())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy(F.lit(1))
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("weight").over(onward)
+    weighed = _before(weighed.withColumn("ratio", F.col("cap") / F.col("weight")), parts, [F.col("ratio").asc(), F.col("rank").asc()], ["cap", "weight"])
+    weighed = saved(weighed, "mix-weights")
+    all_weights = weighed.agg(F.sum("weight")).first()[0] or 0
+    level = (F.lit(int(whole["size"])) - F.col("before_cap")) / (F.lit(int(all_weights)) - F.col("before_weight"))
     # The first source that its level leaves unclamped sets the level of all that follow it.
-    levelled = weighed.withColumn("level", level).withColumn("free", F.col("cap") >= F.col("level") * F.col("weight"))
-    first_free = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), "rank", "level"))).over(whole)
-    reached = levelled.withColumn("at", first_free["level"])
-    return reached.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("at") * F.col("weight")).alias("target"))
+    free = weighed.withColumn("level", level).filter(F.col("cap") >= F.col("level") * F.col("weight"))
+    first = free.agg(F.min(F.struct("ratio", "rank", "level")).alias("x")).first()["x"]
+    reached = F.lit(first["level"] if first else None).cast("double")
+    return weighed.select("source", "source_size", F.least(F.col("cap").cast("double"), reached * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -64,8 +81,8 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (5, 2, 1), epochs: int = 3,
     order = F.struct(draw.alias("draw"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("size"), F.xxhash64(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
     sized = kept.withColumn("size", n_words(F.col(text_col))).withColumns({head: F.shiftright(draw, 32 - BUCKET_BITS), place: order})
     narrow = sized.select(F.col(source_col).alias("source"), F.col(head).alias("__bucket"), "size", F.col(place).alias("place"))
-    buckets = narrow.groupBy("source", "__bucket").agg(F.sum("size").alias("held"))
-    goals = targets(buckets.groupBy("source").agg(F.sum("held").cast("long").alias("source_size")), weights, epochs)
+    buckets = saved(narrow.groupBy("source", "__bucket").agg(F.sum("size").alias("held")), "mix-buckets")
+    goals = targets(saved(buckets.groupBy("source").agg(F.sum("held").cast("long").alias("source_size")), "mix-sizes"), weights, epochs)
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goals = goals.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     upto = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +53,16 @@ def test_many_sources_mix_as_few_do(odd_docs, monkeypatch):
     few = sorted(map(str, mix(odd_docs).collect()))
     monkeypatch.setattr(mixing, "FEW_BYTES", -1)
     assert sorted(map(str, mix(odd_docs).collect())) == few
+
+
+def test_ranges_of_sources_make_no_difference(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"s{k:04}" if k else None, rng.choice([0, 1, 5, 5, 40, 1000]) * rng.randrange(1, 4)) for k in range(400)]
+    sizes = spark.createDataFrame(rows, "source string, source_size long")
+    got = []
+    for each in (1 << 16, 17):
+        monkeypatch.setattr(mixing, "RANGE_ROWS", each)
+        got.append({r["source"]: r["target"] for r in mixing.targets(sizes, (5, 2, 1), 3).collect()})
+    assert got[0] == got[1] and len(got[0]) == 400
+    total = sum(n for _, n in rows)
+    assert abs(sum(got[0].values()) - total) < 1e-6 * total and all(got[0][s] <= 3 * n for s, n in rows)
