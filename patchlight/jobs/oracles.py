@@ -210,6 +210,8 @@ _CODED = f"""coded AS (SELECT c.*, {_IS_CODE} AS is_code, (y - n)::DOUBLE / 10 +
   FROM (SELECT *, regexp_extract_all(diff_text, '(?m)^diff --git a/.* b/(.*)$', 1) AS z FROM counted) c)"""
 _FIRED_NAMES = lambda polarity, vote: ", ".join(f"CASE WHEN {lf.name} = {vote} THEN '{lf.name}' END" for lf in MESSAGE if lf.polarity == polarity)
 
+_STORED = f"""WITH {commits_cte()}, stored AS (
+  SELECT CASE WHEN id % 3 = 0 THEN 'org/src0' ELSE repo END AS repo, sha, subject, n_files::INT AS n_files, is_gold FROM commits, (VALUES (1), (2)) AS twice(k))"""
 _ODDS = " + ".join(f"CASE WHEN {c} = {POLARITY[c]} THEN ln({a}::DOUBLE) - ln({b}::DOUBLE) ELSE 0 END" for c, (a, b) in GIVEN_VOTES.items())
 _GIVEN = f"""given AS (SELECT *, CASE WHEN y + n = 0 THEN -1 WHEN p >= 0.5::DOUBLE THEN 1 ELSE 0 END::TINYINT AS label
   FROM (SELECT *, 1 / (1 + exp(-(ln({GIVEN_PRIOR}::DOUBLE / {1 - GIVEN_PRIOR}::DOUBLE) + {_ODDS}))) AS p FROM m))"""
@@ -311,10 +313,10 @@ SQL = {
     "backports": f"WITH {commits_cte()} SELECT repo, subject, count(*) AS n, min(author_date) AS first_date, arg_min(sha, author_date || sha) AS representative FROM commits GROUP BY 1, 2",
     "backport_members": f"WITH {commits_cte()} SELECT sha, repo, first_value(sha) OVER (PARTITION BY repo, subject ORDER BY author_date, sha) AS representative FROM commits",
     "python_votes": f"{_MESSAGE} SELECT sha, {', '.join(f'{a} AS {b}, {a}' for a, b in (('lf_cve_id', 'py_cve_id'), ('lf_merge_commit', 'py_merge_commit'), ('lf_huge_diff', 'py_huge_diff'), ('lf_typo_or_style', 'py_style')))} FROM counted",
-    "repo_view": f"WITH {commits_cte()} SELECT repo, sha, subject, n_files::INT AS n_files, is_gold FROM commits, (VALUES (1), (2)) AS twice(k) WHERE repo = 'org/src1'",
-    "hot_repo_view": f"WITH {commits_cte()} SELECT repo, sha, subject, n_files::INT AS n_files, is_gold FROM commits, (VALUES (1), (2)) AS twice(k) WHERE repo = 'org/src0'",
-    "stored_distinct": f"WITH {commits_cte()} SELECT DISTINCT repo, sha FROM commits",
-    "stored_counts": f"WITH {commits_cte()} SELECT repo, 2 * count(*) AS commits, 2 * count(*) FILTER (WHERE is_gold) AS gold FROM commits GROUP BY 1",
+    "repo_view": f"{_STORED} SELECT repo, sha, subject, n_files, is_gold FROM stored WHERE repo = 'org/src1'",
+    "hot_repo_view": f"{_STORED} SELECT repo, sha, subject, n_files, is_gold FROM stored WHERE repo = 'org/src0'",
+    "stored_distinct": f"{_STORED} SELECT DISTINCT repo, sha FROM stored",
+    "stored_counts": f"{_STORED} SELECT repo, count(*) AS commits, count(*) FILTER (WHERE is_gold) AS gold FROM stored GROUP BY 1",
     "dump_round_trip": f"WITH {commits_cte()} SELECT repo, sha, parents, author_email, author_date, subject, md5(body) AS body, array_to_string(files, ',') AS files, CASE WHEN n_files = 0 THEN 0 ELSE insertions END AS insertions, CASE WHEN n_files = 0 THEN 0 ELSE deletions END AS deletions, md5(diff_text) AS patch FROM commits",
     "gold_audit": f"{_ALL} SELECT g.repo, g.cve_id, any_value(c.cvss_severity) AS cvss_severity, array_to_string(any_value(c.cwes), ',') AS cwes, count(*) AS n_commits FROM golden g JOIN cves c USING (cve_id) WHERE is_cve_fix GROUP BY 1, 2",
     "unattributed_cves": f"{_ALL}, mined AS (SELECT * FROM every7 WHERE repo_key IN (SELECT lower(repo) FROM commits) AND cve_id NOT IN (SELECT cve_id FROM golden WHERE is_cve_fix)) SELECT cve_id, CASE WHEN max((c.sha IS NOT NULL)::INT) = 1 THEN 'masked' ELSE 'unreachable' END AS state FROM mined m LEFT JOIN commits c ON lower(c.repo) = m.repo_key AND starts_with(c.sha, m.commit) GROUP BY 1",

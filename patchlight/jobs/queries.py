@@ -342,8 +342,9 @@ def python_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf: str) -> CommitStore:
-    """The commits in a store by repository, each written twice, as when mined twice."""
-    rows = fx.commits(spark, sf).select("repo", "sha", "subject", "message", "n_files", "is_gold", "author_date")
+    """The commits in a store by repository, each written twice, as when mined twice; one repository has over a third of them."""
+    repo = F.when(F.col("id") % 3 == 0, "org/src0").otherwise(F.col("repo"))
+    rows = fx.commits(spark, sf).select(repo.alias("repo"), "sha", "subject", "message", "n_files", "is_gold", "author_date")
     return CommitStore.write(rows.unionByName(rows), buckets=16)
 
 
