@@ -1,37 +1,6 @@
-"""Where intermediate tables go: a folder that the driver and every executor share."""
+"""Where intermediate tables go: the library's folder that the driver and every executor share."""
 
-from __future__ import annotations
+from ..sources.staged import new_path, shared_folder
+from ..sources.staged import staged as saved
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only in local mode, as in tests, may the setting be absent: there a temporary folder stands in. A cluster must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage, so that a lost executor costs one stage and not the whole job, and lets
-    several later steps read the rows without making them again.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "saved", "shared_folder"]
