@@ -1,7 +1,8 @@
 """A weighted text classifier: hashed words and pairs of words, document frequencies, logistic regression.
 
 Terms are hashed into a fixed number of places, so the document frequencies are a sketch of fixed size and no vocabulary is gathered. The
-features of a bounded sample of the labelled rows are written once; each step of the fit reads them and brings back one vector per task.
+terms of a bounded sample of the labelled rows are counted and written once, packed by the batch; each step of the fit reads the counts and
+brings back one vector per task.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..sources.staged import staged
 
 #: Each step's tasks have about so many rows each, unless that makes too many tasks.
 TASK_ROWS = 2000
+#: So many rows are packed together: what a step holds of them at once stays small.
+PACK = 256
 
 
 @dataclass(frozen=True)
@@ -122,49 +125,98 @@ def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray
 
 
 def sampled(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each label, in the order of a hash of ``key``; partial sums by its first bits say how far that order is needed."""
+    """At most ``most`` rows of each label, in the order of a hash of ``key``; partial sums by its first bits say how far that order is needed.
+
+    That is a row for each label at most, so it is broadcast. Only the rows that share the first bits of a label's last one are ranked, the others stay where they are: no task gets a label's texts.
+    """
     drawn = rows.withColumn("__draw", F.xxhash64(key)).withColumn("__head", F.shiftrightunsigned("__draw", 48))
     upto = F.sum("n").over(Window.partitionBy(label).orderBy("__head"))
     counts = drawn.groupBy(label, "__head").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", upto)
-    last = counts.groupBy(F.col(label).alias("__label")).agg(F.min(F.when(F.col("upto") >= most, F.col("__head"))).alias("__last"))
-    near = drawn.join(last, F.col(label).eqNullSafe(F.col("__label"))).filter(F.col("__last").isNull() | (F.col("__head") <= F.col("__last")))
+    ends = counts.filter((F.col("upto") >= most) & (F.col("upto") - F.col("n") < most))
+    last = ends.select(F.col(label).alias("__label"), F.col("__head").alias("__last"), (most - F.col("upto") + F.col("n")).alias("__rest"))
+    met = drawn.join(F.broadcast(last), F.col(label).eqNullSafe(F.col("__label")), "left")
+    clear = met.filter(F.col("__last").isNull() | (F.col("__head") < F.col("__last")))
     place = F.row_number().over(Window.partitionBy(label).orderBy("__draw"))
-    return near.withColumn("__place", place).filter(F.col("__place") <= most).select(*rows.columns)
+    tied = met.filter(F.col("__head") == F.col("__last")).withColumn("__place", place).filter((F.col("__place") <= most) & (F.col("__place") <= F.col("__rest")))
+    return clear.select(*rows.columns).unionByName(tied.select(*rows.columns))
+
+
+#: Rows and their terms, packed: ``y`` and ``w`` of the rows; by row and place, how many places each row has (``lengths``), the places, and the counts.
+PACKED = ["y", "w", "lengths", "places", "counts"]
+_TYPES = dict(zip(PACKED, (np.float64, np.float64, np.int32, np.int32, np.int32), strict=True))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` (``terms``, ``y``, ``w``) with their terms counted, a row of bytes for ``PACK`` of them, as every step reads all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PACK):
+                # A slice's offsets don't begin at 0, those of a copy do.
+                batch = whole.take(pa.array(np.arange(at, min(at + PACK, whole.num_rows))))
+                row, place, n = _counted(batch.column(0))
+                held = batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.bincount(row, minlength=batch.num_rows), place, n
+                cols = [pa.array([np.ascontiguousarray(x, _TYPES[c]).tobytes()], pa.binary()) for c, x in zip(PACKED, held, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, PACKED)
+
+    return rows.select("terms", "y", "w").mapInArrow(run, ", ".join(f"{c} binary" for c in PACKED))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for row in zip(*(batch.column(k) for k in range(len(PACKED))), strict=True):
+            yield tuple(np.frombuffer(x.as_buffer(), _TYPES[c]) for c, x in zip(PACKED, row, strict=True))
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sum of the vectors of numbers that the tasks bring back."""
+    return sum((np.frombuffer(x.as_buffer()) for x in parts.toArrow()["part"]), np.zeros(1))
 
 
 def fit(rows: DataFrame, text: str, label: str, weight: str, settings: Settings = Settings()) -> TextModel:
     """Learns from ``rows``: their ``label`` (0.0 or 1.0) and non-negative ``weight``, null as 0. Without rows all is as likely as not."""
     own = sampled(rows.select(text, label, weight), label, text, settings.rows_each)
-    features = staged(own.select(terms(F.col(text), settings.places).alias("terms"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w")), "text-features")
-    n = features.count()
-    features = features.coalesce(max(1, min(settings.tasks, -(-n // TASK_ROWS))))
-    df = features.select(F.explode(F.array_distinct("terms")).alias("place")).groupBy("place").count().toArrow()
-    counts = np.zeros(settings.places)
-    counts[df["place"].to_numpy()] = df["count"].to_numpy()
-    idf = np.where(counts >= settings.least_df, np.log((1 + n) / (1 + counts)) + 1, 0.0)
+    own = own.select(terms(F.col(text), settings.places).alias("terms"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w"))
+    features = staged(packed(own), "text-features")
     spark, places = rows.sparkSession, settings.places
 
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(places + 1)
+        for y, _, _, place, _ in _unpacked(batches):
+            out[:-1] += np.bincount(place, minlength=places)
+            out[-1] += len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["part"])
+
+    features = features.coalesce(settings.tasks)
+    sums = _summed(features.mapInArrow(frequencies, "part binary"))
+    n, df = int(sums[-1]), sums[:-1] if len(sums) > 1 else np.zeros(places)
+    features = features.coalesce(max(1, min(settings.tasks, -(-n // TASK_ROWS))))
+    idf = np.where(df >= settings.least_df, np.log((1 + n) / (1 + df)) + 1, 0.0)
+    known = spark.sparkContext.broadcast(idf)
+
     def value_and_slope(x: np.ndarray) -> tuple[float, np.ndarray]:
-        sent = spark.sparkContext.broadcast((idf, x))
+        sent = spark.sparkContext.broadcast(x)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            idf, x = sent.value
-            loss, slope = 0.0, np.zeros(places + 1)
-            for batch in batches:
-                y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-                row, place, v = _weighed(batch.column(0), idf)
+            idf, x = known.value, sent.value
+            out = np.zeros(places + 2)
+            for y, w, lengths, place, n in _unpacked(batches):
+                v, row = (1 + np.log(np.arange(1, n.max(initial=1) + 1)))[n - 1] * idf[place], np.repeat(np.arange(len(y)), lengths)
+                size = np.sqrt(np.bincount(row, v * v, len(y)))
+                v /= np.where(size > 0, size, 1)[row]
                 score = x[-1] + np.bincount(row, v * x[place], len(y))
-                loss += float(w @ np.logaddexp(0, np.where(y == 1, -score, score)))
                 gap = w * (1 / (1 + np.exp(-score)) - y)
-                slope[:-1] += np.bincount(place, v * gap[row], places)
-                slope[-1] += gap.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()])], ["loss", "slope"])
+                out[:places] += np.bincount(place, v * gap[row], places)
+                out[places] += gap.sum()
+                out[-1] += float(w @ np.logaddexp(0, np.where(y == 1, -score, score)))
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["part"])
 
-        parts = features.mapInArrow(run, "loss double, slope binary").toArrow()
+        out = _summed(features.mapInArrow(run, "part binary"))
         sent.destroy()
-        loss, slope = sum(parts["loss"].to_pylist()), sum((np.frombuffer(s) for s in parts["slope"].to_pylist()), np.zeros(places + 1))
+        loss, slope = (out[-1], out[:-1]) if len(out) > 1 else (0.0, np.zeros(places + 1))
         pull = np.append(x[:-1], 0.0)
-        return settings.strength * loss + float(pull @ pull) / 2, settings.strength * slope + pull
+        return settings.strength * float(loss) + float(pull @ pull) / 2, settings.strength * slope + pull
 
     x = minimised(value_and_slope, np.zeros(places + 1), settings.steps)
+    known.destroy()
     return TextModel(idf, x[:-1], float(x[-1]))

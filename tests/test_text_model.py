@@ -5,7 +5,8 @@ import re
 import numpy as np
 
 from patchlight.jobs import queries as q
-from patchlight.operators.text_model import Settings, fit, minimised, sampled, terms
+from patchlight.operators import text_model
+from patchlight.operators.text_model import Settings, fit, minimised, packed, sampled, terms
 
 
 def made(n, seed=1):
@@ -81,6 +82,23 @@ def test_a_bounded_sample_is_learned_from(spark):
     assert sampled(rows, "y", "t", 10_000).count() == 3000
 
 
+def test_only_a_labels_last_rows_are_ranked(spark):
+    """All of a label's texts don't meet in one task: the rank is over those that share the first bits of its last one."""
+    rows = spark.range(20_000).selectExpr("cast(id as string) AS t", "0.0D AS y")
+    got = sampled(rows, "y", "t", 5000)
+    heads = got.select(q.F.shiftrightunsigned(q.F.xxhash64("t"), 48).alias("h")).collect()
+    every = sorted(r["h"] for r in rows.select(q.F.shiftrightunsigned(q.F.xxhash64("t"), 48).alias("h")).collect())
+    assert sorted(r["h"] for r in heads) == every[:5000]
+    assert got.rdd.getNumPartitions() >= rows.rdd.getNumPartitions()
+
+
+def test_steps_read_counts_not_terms(spark):
+    rows = spark.createDataFrame([([3, 1, 3], 1.0, 0.5), ([], 0.0, 0.0), ([2], 0.0, 1.0)], "terms array<int>, y double, w double").coalesce(1)
+    (r,) = packed(rows).collect()
+    read = {c: np.frombuffer(r[c], t).tolist() for c, t in text_model._TYPES.items()}
+    assert read == {"y": [1.0, 0.0, 0.0], "w": [0.5, 0.0, 1.0], "lengths": [2, 0, 1], "places": [1, 3, 2], "counts": [1, 2, 1]}
+
+
 def test_the_query_beats_the_larger_label(spark):
     row = q.text_classifier(spark, "/root/testdata/sf0.01").first()
     assert row["tested"] > 100 and row["accuracy"] > row["majority"] + 0.1
