@@ -116,3 +116,9 @@ def test_backports_have_members_and_a_first(spark):
     made = spark.createDataFrame(rows, "repo string, subject string, sha string, author_date string")
     assert {(r["repo"], r["subject"], r["n"], r["representative"]) for r in cm.collapse_backports(made).collect()} == {("o/r", "fix", 3, "s1"), ("o/r", None, 1, "s4"), ("o/x", "fix", 1, "s5")}
     assert {(r["sha"], r["representative"]) for r in cm.backport_members(made).collect()} == {("s0", "s1"), ("s1", "s1"), ("s2", "s1"), ("s4", "s4"), ("s5", "s5")}
+
+
+def test_backports_name_all_their_commits(spark):
+    rows = [("o/r", "fix", "s2", "2024"), ("o/r", "fix", "s1", "2024"), ("o/r", "fix", "s2", "2023"), ("o/x", None, "s5", "2024")]
+    made = cm.collapse_backports(spark.createDataFrame(rows, "repo string, subject string, sha string, author_date string"))
+    assert {(r["repo"], r["n"], r["shas"]) for r in made.collect()} == {("o/r", 3, "s1,s2"), ("o/x", 1, "s5")}
