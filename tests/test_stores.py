@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchlight.operators import commits as cm
-from patchlight.sources import dumps, tables
+from patchlight.sources import dumps, schemas, tables
 from patchlight.sources.commit_store import CommitStore
 
 
@@ -122,3 +122,22 @@ def test_backports_name_all_their_commits(spark):
     rows = [("o/r", "fix", "s2", "2024"), ("o/r", "fix", "s1", "2024"), ("o/r", "fix", "s2", "2023"), ("o/x", None, "s5", "2024")]
     made = cm.collapse_backports(spark.createDataFrame(rows, "repo string, subject string, sha string, author_date string"))
     assert {(r["repo"], r["n"], r["shas"]) for r in made.collect()} == {("o/r", 3, "s1,s2"), ("o/x", 1, "s5")}
+
+
+def test_a_repositorys_list_is_stored_once_and_dealt_out(spark, tmp_path, monkeypatch):
+    """A list of CVEs isn't stored with each commit, and a repository's commits aren't one task's when they get it."""
+    monkeypatch.setattr(cm, "LIST_ROWS", 50)
+    columns = [f"'{c}' AS {c}" if kind == "string" else f"cast(NULL AS {kind}) AS {c}" for c, kind in (x.split(" ") for x in schemas.COMMITS.split(", ")) if c not in ("sha", "repo", "repo_cve_ids")]
+    made = spark.range(603).selectExpr("cast(id AS string) AS sha", "CASE WHEN id < 600 THEN 'O/Big' WHEN id < 602 THEN 'o/small' END AS repo", *columns)
+    long = ",".join(f"CVE-{k}" for k in range(5000))
+    lists = spark.createDataFrame([("o/big", long), ("o/other", "x")], "repo_key string, repo_cve_ids string")
+    for kind in ("parquet", "json"):
+        path = tmp_path / kind
+        tables.write_commit_table(made, lists, str(path), kind)
+        assert sum(f.stat().st_size for f in path.rglob("*.json")) < 20 * len(long)
+        back, again = tables.read_commit_table(spark, str(path), kind)
+        out = cm.with_repo_lists(back.select("repo", "sha"), again)
+        got = [(r["repo"], r["sha"], r["repo_cve_ids"]) for r in out.collect()]
+        assert sorted(map(str, got)) == sorted(str((repo, str(k), long if k < 600 else "")) for k in range(603) for repo in ("O/Big" if k < 600 else "o/small" if k < 602 else None,))
+        held = out.filter("repo = 'O/Big'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(held) >= 4 and max(r["count"] for r in held) < 400
