@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .staged import new_path
 
 
+#: A bucket holds about so many rows at most: a larger table has more buckets, not larger ones.
+BUCKET_ROWS = 1 << 14
+
+
 def _bucket(repo: Column, buckets: int) -> Column:
     """The bucket that a bucketed write by ``repo`` chooses, so that a partition of this number holds one bucket."""
     return F.pmod(F.hash(repo), F.lit(buckets))
@@ -32,10 +36,11 @@ class CommitStore:
 
     @classmethod
     def write(cls, commits: DataFrame, buckets: int = 64, name: str | None = None) -> CommitStore:
-        """``commits`` (a column ``repo``, which may be null, and ``sha``) as two external tables in the shared folder."""
+        """``commits`` (a column ``repo``, which may be null, and ``sha``) as two external tables in the shared folder, in ``buckets`` or, if they are many rows, more."""
         spark, name = commits.sparkSession, name or f"commits_{uuid.uuid4().hex}"
         sizes = commits.groupBy("repo").agg(F.count(F.lit(1)).alias("n"))
         total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        buckets = max(buckets, -(-total // BUCKET_ROWS))
         large = sizes.filter((F.col("n") * buckets > total) & (F.col("n") > 1) & F.col("repo").isNotNull())
         hot = tuple(sorted(r["repo"] for r in large.select("repo").toLocalIterator()))
         is_hot = F.coalesce(F.col("repo").isin(*hot), F.lit(False)) if hot else F.lit(False)

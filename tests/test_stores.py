@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchlight.operators import commits as cm
-from patchlight.sources import dumps, schemas, tables
+from patchlight.sources import commit_store, dumps, schemas, tables
 from patchlight.sources.commit_store import CommitStore
 
 
@@ -141,3 +141,16 @@ def test_a_repositorys_list_is_stored_once_and_dealt_out(spark, tmp_path, monkey
         assert sorted(map(str, got)) == sorted(str((repo, str(k), long if k < 600 else "")) for k in range(603) for repo in ("O/Big" if k < 600 else "o/small" if k < 602 else None,))
         held = out.filter("repo = 'O/Big'").groupBy(F.spark_partition_id()).count().collect()
         assert len(held) >= 4 and max(r["count"] for r in held) < 400
+
+
+def test_more_rows_make_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(commit_store, "BUCKET_ROWS", 100)
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'big' ELSE concat('r', id % 500) END AS repo", "cast(id % 1700 AS string) AS sha", "id % 5 = 0 AS is_gold")
+    made = CommitStore.write(rows, buckets=2)
+    assert made.buckets == 30 and made.hot_repos == ("big",)
+    held = made.rows().groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in held) < 500
+    assert sorted(map(str, made.rows().collect())) == sorted(map(str, rows.collect()))
+    assert made.distinct().count() == rows.select("repo", "sha").distinct().count()
+    assert made.view("r7").count() == rows.filter("repo = 'r7'").count()
+    made.drop()
