@@ -237,5 +237,8 @@ def long_votes(votes: DataFrame, names: Sequence[str], *ids: str) -> DataFrame:
 
 
 def wide_votes(votes: DataFrame, names: Sequence[str], *ids: str) -> DataFrame:
-    """Rows as vote columns again; of several votes of one function on one id the largest counts."""
-    return votes.groupBy(*ids).pivot("lf", [*names]).agg(F.max("vote"))
+    """Rows as vote columns again; of several votes of one function on one id the largest counts.
+
+    One aggregation with an entry for each id: a pivot would first keep one for each id and function.
+    """
+    return votes.groupBy(*ids).agg(*[F.max(F.when(F.col("lf") == name, F.col("vote"))).alias(name) for name in names])

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from patchlight.operators import labeling
 from patchlight.operators.diffs import changed_paths, prefiltered, with_hunks
 from patchlight.operators.features import citation_features, release_windows, with_features
 from patchlight.operators.labeling import ALL, ALL_WITH_DIFF, DIFF, MESSAGE, BatchFunction, LabelingFunction, apply_lfs, row_function
@@ -241,3 +242,11 @@ def test_votes_on_a_stream(spark, tmp_path, stream):
     query = voted(commit_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("voted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [(r["sha"], r["lf_cve_id"]) for r in spark.table("voted").collect()] == [("s1", 1)]
+
+
+def test_wide_votes_keep_one_entry_for_each_id(spark):
+    rows = [(1, "a", 0), (1, "a", 1), (1, "b", -1), (2, "b", 0), (2, "other", 1), (None, "a", 1), (3, "a", None)]
+    wide = labeling.wide_votes(spark.createDataFrame(rows, "k int, lf string, vote tinyint"), ["a", "b"], "k")
+    assert wide.columns == ["k", "a", "b"] and {tuple(r) for r in wide.collect()} == {(1, 1, -1), (2, None, 0), (None, 1, None), (3, None, None)}
+    text = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Aggregate") == 1 and "pivot" not in text.lower()
