@@ -1,4 +1,5 @@
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,21 @@ def test_last_three_stages_match_brute_force(spark):
         own = [r for r in mixed if r["source"] == s]
         assert all(abs(r["target"] - target[s]) < 1e-6 * target[s] for r in own)
         assert abs(sum(r["taken"] for r in own) - target[s]) <= max(sizes.values())
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+    sizes = lambda docs: [r["n"] for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long").collect()]
+    try:
+        spark.conf.unset(key)
+        docs = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("long text "), 200).alias("text"))
+        corpus_pipeline.mixing_stage(spark, docs.select(F.lit(1).cast("long").alias("doc_id"), "text", F.lit("a").alias("source")), SF)
+        assert max(sizes(docs)) < 2 * corpus_pipeline.BATCH_BYTES
+        spark.conf.set(key, "1000000")  # a session's own size stays
+        corpus_pipeline.language_stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string"), SF)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+        if own is not None:
+            spark.conf.set(key, own)
