@@ -12,8 +12,6 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-#: A wrapper keeps at most so many nodes; the rarest leave it. A page's node that isn't in the wrapper is judged by its own part alone.
-MOST_NODES = 1 << 14
 #: What is constant within the main part needs so many pages at least, as a chance of one in a thousand that a block on 70 % of pages is on all.
 SURE_PAGES = 20
 #: A region without an article or main part drops blocks with over this share of their text in links.
@@ -124,7 +122,7 @@ def pairs(a: list[Node], b: list[Node], seen: dict) -> Iterator[tuple[Node | Non
 
 
 def merge(wrapper: Node, other: Node) -> Node:
-    """Aligns another tree with the wrapper, which takes its sums and the nodes that it lacks."""
+    """Aligns another tree with the wrapper, which takes its sums and the nodes that it lacks; none leaves it, so each page's tree stays within it."""
     seen: dict = {}
     stack = [(wrapper, other)]
     while stack:
@@ -138,17 +136,7 @@ def merge(wrapper: Node, other: Node) -> Node:
             if x and y:
                 stack.append((x, y))
         mine.children = children
-    return pruned(wrapper)
-
-
-def pruned(root: Node) -> Node:
-    """Without the nodes that are on the fewest pages, if there are too many."""
-    counts = sorted((n.pages for n in root.walk()), reverse=True)
-    if len(counts) > MOST_NODES:
-        least = counts[MOST_NODES // 2]
-        for node in root.walk():
-            node.children = [c for c in node.children if c.pages > least]
-    return root
+    return wrapper
 
 
 def aligned(wrapper: Node, tree: Node) -> dict[int, Node]:
@@ -202,18 +190,15 @@ def _above(node: Node, parent: dict[int, Node]) -> Iterator[Node]:
 
 
 def content(wrapper: Node, is_template: dict[int, bool], tree: Node, nodes: list[Node]) -> list[bool]:
-    """For each of a page's nodes whether its text is content: slots of the wrapper within the page's main part."""
+    """For each of a page's nodes whether its text is content: slots of the wrapper, which has all of them, within the page's main part."""
     of, below = aligned(wrapper, tree), _below(wrapper)
     parent = {id(c): n for n in nodes for c in n.children}
-    dropped: dict[int, bool] = {}
-    for n in nodes:
-        up = parent.get(id(n))
-        dropped[id(n)] = is_template[id(of[id(n)])] if id(n) in of else n.part in DROPPED or up is not None and dropped[id(up)]
+    dropped = {id(n): is_template[id(of[id(n)])] for n in nodes}
     open_ = [n for n in nodes if not dropped[id(n)]]
 
     def weight(n: Node) -> float:
-        met = of.get(id(n))
-        return below[id(met)][0] / max(met.pages, 1) if met else 0.0
+        met = of[id(n)]
+        return below[id(met)][0] / max(met.pages, 1)
 
     def inside(roots: list[Node]) -> set[int]:
         return {id(x) for r in roots for x in r.walk()}
@@ -231,6 +216,6 @@ def content(wrapper: Node, is_template: dict[int, bool], tree: Node, nodes: list
                 chosen |= {id(n) for n in titles if id(parent[id(n)]) in above and (part == "content" or parent[id(n)].part == "main")}
             break
     else:
-        menus = [n for n in open_ if id(n) in of and parent.get(id(n)) is not None and n.label != "body" and below[id(of[id(n)])][1] > MOST_LINKED * below[id(of[id(n)])][0]]
+        menus = [n for n in open_ if parent.get(id(n)) is not None and n.label != "body" and below[id(of[id(n)])][1] > MOST_LINKED * below[id(of[id(n)])][0]]
         chosen = {id(n) for n in nodes} - inside(menus)
     return [id(n) in chosen and not dropped[id(n)] for n in nodes]

@@ -66,6 +66,26 @@ def test_tree_matching_matches_brute_force():
         assert len(list(wr.merge(a, b).walk())) == n + m - want
 
 
+def test_a_wrapper_keeps_the_rare_nodes_of_many_pages():
+    rng = random.Random(5)
+
+    def page(k):
+        # Many nodes of its own beside what all pages have, and a header that holds the article and so is no frame.
+        kids = [wr.Node(f"div.own{k}x{rng.choice('abcdef')}{j}", "", 1) for j in range(40)]
+        return wr.Node("body", "", 1, children=[wr.Node(f"div.top{k}", "frame", 1, children=[wr.Node("article", "article", 1, 90, 0, 1, k, k), *kids]), wr.Node("p", "", 1, 5, 0, 1, k, k)])
+
+    pages = [page(k) for k in range(420)]
+    copies = [wr.loaded(wr.dumped(x)) for x in pages]
+    wrapper = pages[0]
+    for other in pages[1:]:
+        wr.merge(wrapper, other)
+    assert len(list(wrapper.walk())) == 2 + 420 * 42
+    for tree in copies[::60]:
+        nodes = list(tree.walk())
+        assert len(wr.aligned(wrapper, tree)) == len(nodes)
+        assert len(wr.content(wrapper, wr.template(wrapper, True), tree, nodes)) == len(nodes)
+
+
 def site(k, rng, *, article=True):
     """A page with all that isn't its text, and the text."""
     say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
