@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,7 +105,7 @@ def message_facts(commits: DataFrame) -> DataFrame:
             "fact_ci": every(lambda x: rx(x, v.CI_PATH)),
             "fact_bot": rx(text("author_email"), v.BOT) | rx(text("author_name"), v.BOT),
             "fact_merge": F.coalesce(F.col("is_merge"), F.lit(False)),
-            "fact_backport": F.lower(m).contains("security") & F.lower(m).rlike(f"(?dU){v.BACKPORT}"),
+            "fact_backport": F.col("fact_low").contains("security") & F.lower(m).contains("security") & F.lower(m).rlike(f"(?dU){v.BACKPORT}"),
             "fact_bounds": F.size(f).between(1, 4) & F.exists(f, lambda x: rx(x, v.PARSER_PATH)) & found(v.BOUNDS_CHECK),
             "fact_crash": found(v.UNTRUSTED) & rx(m, v.CRASH),
             "fact_bump": rx(s, v.VERSION_BUMP),
@@ -195,7 +197,9 @@ def diff_facts(commits: DataFrame) -> DataFrame:
     excused = _flag("security_paths") > 0
     for known in ("cve", "ghsa", "cwe", "class", "noun", "advisory", *[f"{family}_better" for family, *_ in FAMILIES]):
         excused = excused | _flag(known)
-    return facts.withColumn("fact_excused", excused)
+    # Only a touched surface asks for an excuse, so other commits' messages aren't searched for one.
+    touched = reduce(or_, [_flag(family) for family, *_ in FAMILIES])
+    return facts.withColumn("fact_excused", touched & excused)
 
 
 def _family(family: str, surface: str, mitigation: str, both: str) -> list[LabelingFunction]:
