@@ -110,6 +110,7 @@ def message_facts(commits: DataFrame) -> DataFrame:
             "fact_crash": found(v.UNTRUSTED) & rx(m, v.CRASH),
             "fact_bump": rx(s, v.VERSION_BUMP),
             "fact_style": rx(s, v.STYLE),
+            "fact_short": F.length(stripped(m)) < 8,
             "fact_feature": rx(stripped(s), v.CONVENTIONAL_PREFIX),
         }
     )
@@ -151,7 +152,7 @@ NEGATIVE = [
     _negative("lf_typo_or_style", lambda: _flag("style") & ~_flag("noun")),
     _negative("lf_feature_commit", lambda: _flag("feature") & ~_flag("noun") & ~_flag("class")),
     _negative("lf_huge_diff", _huge),
-    _negative("lf_empty_message", lambda: (F.size(_flag("f")) == 0) & (F.length(stripped(_flag("m"))) < 8)),
+    _negative("lf_empty_message", lambda: (F.size(_flag("f")) == 0) & _flag("short")),
 ]
 DERIVED = [
     LabelingFunction("lf_release_of_security_fix", SECURITY, "derived", lambda: F.col("release_window_positive")),
@@ -221,11 +222,11 @@ def apply_lfs(commits: DataFrame, lfs: Sequence[LabelingFunction | BatchFunction
 
     Facts come in one projection and votes in the next, so no pattern runs twice; Python functions share one pass over Arrow batches of the
     columns that they name. Diff functions need ``diff_added`` and ``diff_removed``; the derived ones abstain where their column is
-    absent, as do user-made ones that return null.
+    absent, as do user-made ones that return null. Commits that have ``message_facts`` already are taken with them.
     """
     in_python = [lf for lf in lfs if isinstance(lf, BatchFunction)]
     ready = commits.withColumn("__python", _python_votes(in_python)) if in_python else commits
-    if len(in_python) < len(lfs):
+    if len(in_python) < len(lfs) and "fact_cve" not in commits.columns:
         ready = message_facts(ready)
     if any(lf.role in ("surface", "mitigation", "conjunction", "standalone") for lf in lfs):
         ready = diff_facts(ready)

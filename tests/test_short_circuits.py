@@ -20,3 +20,11 @@ def test_excuses_are_sought_only_for_touched_surfaces(spark):
     assert [(r["fact_xss"], r["fact_excused"]) for r in facts.collect()] == [(True, True), (True, False), (False, False)]
     votes = labeling.apply_lfs(commits, labeling.DIFF).collect()
     assert [r["lf_diff_dom_sink_touched"] for r in votes] == [-1, 0, -1]
+
+
+def test_commits_with_facts_vote_without_their_messages(spark):
+    rows = [("Fix CVE-2024-12345", ["a.c"]), ("  x  ", []), ("Prevent path traversal", ["docs/a.md"])]
+    commits = spark.createDataFrame(rows, "message string, files array<string>").withColumns({"subject": F.col("message"), "author_email": F.lit(""), "author_name": F.lit(""), "is_merge": F.lit(False), "n_files": F.lit(1), "insertions": F.lit(1), "deletions": F.lit(1)})
+    names = [lf.name for lf in labeling.MESSAGE]
+    facts = labeling.message_facts(commits).drop("message", "fact_m", "fact_low", "fact_s")
+    assert labeling.apply_lfs(facts, labeling.MESSAGE).select(*names).collect() == labeling.apply_lfs(commits, labeling.MESSAGE).select(*names).collect()
