@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from patchlight.jobs import queries as q
 from patchlight.operators import commits as cm
 from patchlight.sources import commit_store, dumps, schemas, tables
 from patchlight.sources.commit_store import CommitStore
@@ -143,6 +144,17 @@ def test_a_repositorys_list_is_stored_once_and_dealt_out(spark, tmp_path, monkey
         assert len(held) >= 4 and max(r["count"] for r in held) < 400
 
 
+@pytest.mark.parametrize("name", ["unattributed_cves", "repo_counts", "gold_audit", "flat_gold", "cwe_of_gold"])
+def test_only_what_shows_a_repositorys_list_makes_it(spark, monkeypatch, name):
+    """Each commit would carry (and, where flags are written, store) its repository's whole list of CVEs."""
+
+    def refused(*_):
+        raise AssertionError("lists are made")
+
+    monkeypatch.setattr(cm, "with_repo_lists", refused)
+    q.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+
 def test_more_rows_make_more_buckets(spark, monkeypatch):
     monkeypatch.setattr(commit_store, "BUCKET_ROWS", 100)
     rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'big' ELSE concat('r', id % 500) END AS repo", "cast(id % 1700 AS string) AS sha", "id % 5 = 0 AS is_gold")
