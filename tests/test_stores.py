@@ -144,6 +144,25 @@ def test_a_repositorys_list_is_stored_once_and_dealt_out(spark, tmp_path, monkey
         assert len(held) >= 4 and max(r["count"] for r in held) < 400
 
 
+@pytest.mark.parametrize("kind", ["parquet", "json"])
+def test_the_lists_are_stored_in_pieces(spark, monkeypatch, kind):
+    """No row holds a list of any length, and pieces meet in their order."""
+    monkeypatch.setattr(cm, "LIST_PIECE", 5, raising=False)
+    monkeypatch.setattr(cm, "RANGE_ROWS", 100, raising=False)
+    read, sizes = tables.read_commit_table, []
+
+    def watched(*args):
+        back, lists = read(*args)
+        sizes.extend(r[0] for r in lists.select(F.size(F.split("repo_cve_ids", ","))).collect())
+        return back, lists
+
+    monkeypatch.setattr(tables, "read_commit_table", watched)
+    got = {r["repo"].lower(): r["repo_cve_ids"] for r in q.reread_commits(spark, "/root/testdata/sf0.01", kind).collect()}
+    want = {r["repo_key"]: r["cve_ids"] for r in q.targets(*q.landed(spark, "/root/testdata/sf0.01")).collect()}
+    assert max(sizes) == 5 and sum(sizes) == sum(map(len, want.values())) and max(map(len, want.values())) > 50
+    assert got == {repo: ",".join(want.get(repo, [])) for repo in got} and any(got.values())
+
+
 @pytest.mark.parametrize("name", ["unattributed_cves", "repo_counts", "gold_audit", "flat_gold", "cwe_of_gold"])
 def test_only_what_shows_a_repositorys_list_makes_it(spark, monkeypatch, name):
     """Each commit would carry (and, where flags are written, store) its repository's whole list of CVEs."""
