@@ -1,18 +1,19 @@
 """A weighted text classifier: hashed words and pairs of words, document frequencies, logistic regression.
 
 Terms are hashed into a fixed number of places, so the document frequencies are a sketch of fixed size and no vocabulary is gathered. The
-terms of a bounded sample of the labelled rows are counted and written once, packed by the batch; each step of the fit reads the counts and
-brings back one vector per task.
+terms of all labelled rows are counted and written once, packed by the batch, and once more as the numbers that they weigh; each step of the
+fit reads those and brings back one vector per task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -23,18 +24,19 @@ from ..sources.staged import staged
 TASK_ROWS = 2000
 #: So many rows are packed together: what a step holds of them at once stays small.
 PACK = 256
+#: Packs go to Python in batches of so many bytes (and a pack), not of 10,000 packs.
+BATCH_BYTES = 1 << 21
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``places`` of terms; ``rows_each``: at most so many rows of each label are learned from; at most so many ``tasks`` read their features.
+    """``places`` of terms; at most so many ``tasks`` read the rows' features.
 
     A place that fewer than ``least_df`` of them have says nothing. ``strength`` weighs the rows' loss against half the squared length of the
     coefficients; ``steps`` bounds the fit.
     """
 
     places: int = 1 << 16
-    rows_each: int = 50_000
     tasks: int = 32
     least_df: int = 3
     strength: float = 1000.0
@@ -44,8 +46,14 @@ class Settings:
 def terms(text: Column, places: int) -> Column:
     """The places of a text's words, of two characters or more and lower-cased, and of its pairs of neighbouring words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.transform(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())), lambda w: F.pmod(F.xxhash64(w), F.lit(places)).cast("int"))
+
+    def with_pairs(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(found, 2, F.greatest(F.size(found), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(found, F.filter(pairs, lambda p: p.isNotNull()))
+
+    # The words are an element of an array, so that the pattern runs once and not at each of their uses.
+    every = F.get(F.transform(F.array(words), with_pairs), F.lit(0))
+    return F.transform(every, lambda w: F.pmod(F.xxhash64(w), F.lit(places)).cast("int"))
 
 
 def _counted(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +135,8 @@ def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray
 def sampled(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each label, in the order of a hash of ``key``; partial sums by its first bits say how far that order is needed.
 
+    For those who want no more of them: ``fit`` learns from all rows that it is given.
+
     That is a row for each label at most, so it is broadcast. Only the rows that share the first bits of a label's last one are ranked, the others stay where they are: no task gets a label's texts.
     """
     drawn = rows.withColumn("__draw", F.xxhash64(key)).withColumn("__head", F.shiftrightunsigned("__draw", 48))
@@ -144,6 +154,18 @@ def sampled(rows: DataFrame, label: str, key: str, most: int) -> DataFrame:
 #: Rows and their terms, packed: ``y`` and ``w`` of the rows; by row and place, how many places each row has (``lengths``), the places, and the counts.
 PACKED = ["y", "w", "lengths", "places", "counts"]
 _TYPES = dict(zip(PACKED, (np.float64, np.float64, np.int32, np.int32, np.int32), strict=True))
+#: The same with the terms' weights in place of counts, each row of length 1, without the places that say nothing.
+WEIGHED = [*PACKED[:-1], "weights"]
+
+
+def _types_weighed(places: int) -> dict[str, type]:
+    """Of ``WEIGHED``; places in two bytes where they fit, as every step reads them."""
+    return {c: _TYPES.get(c, np.float32) for c in WEIGHED} | ({"places": np.uint16} if places <= 1 << 16 else {})
+
+
+def _pack(held: Iterator[np.ndarray], types: dict[str, type]) -> pa.RecordBatch:
+    cols = [pa.array([np.ascontiguousarray(x, t).tobytes()], pa.binary()) for x, t in zip(held, types.values(), strict=True)]
+    return pa.RecordBatch.from_arrays(cols, list(types))
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -155,17 +177,30 @@ def packed(rows: DataFrame) -> DataFrame:
                 # A slice's offsets don't begin at 0, those of a copy do.
                 batch = whole.take(pa.array(np.arange(at, min(at + PACK, whole.num_rows))))
                 row, place, n = _counted(batch.column(0))
-                held = batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.bincount(row, minlength=batch.num_rows), place, n
-                cols = [pa.array([np.ascontiguousarray(x, _TYPES[c]).tobytes()], pa.binary()) for c, x in zip(PACKED, held, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, PACKED)
+                yield _pack((batch.column(1).to_numpy(), batch.column(2).to_numpy(), np.bincount(row, minlength=batch.num_rows), place, n), _TYPES)
 
     return rows.select("terms", "y", "w").mapInArrow(run, ", ".join(f"{c} binary" for c in PACKED))
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+def weighed(counted: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``packed`` rows as ``WEIGHED``."""
+    sent, types = counted.sparkSession.sparkContext.broadcast(idf), _types_weighed(len(idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = sent.value
+        for y, w, lengths, place, n in _unpacked(batches, _TYPES):
+            row, x = np.repeat(np.arange(len(y)), lengths), (1 + np.log(n)) * idf[place]
+            size = np.sqrt(np.bincount(row, x * x, len(y)))
+            row, place, x = row[said := x > 0], place[said], (x / np.where(size > 0, size, 1)[row])[said]
+            yield _pack((y, w, np.bincount(row, minlength=len(y)), place, x), types)
+
+    return counted.mapInArrow(run, ", ".join(f"{c} binary" for c in WEIGHED))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], types: dict[str, type]) -> Iterator[tuple[np.ndarray, ...]]:
     for batch in batches:
-        for row in zip(*(batch.column(k) for k in range(len(PACKED))), strict=True):
-            yield tuple(np.frombuffer(x.as_buffer(), _TYPES[c]) for c, x in zip(PACKED, row, strict=True))
+        for row in zip(*batch.columns, strict=True):
+            yield tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, types.values(), strict=True))
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -173,40 +208,55 @@ def _summed(parts: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(x.as_buffer()) for x in parts.toArrow()["part"]), np.zeros(1))
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``BATCH_BYTES``, unless the session sets a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key, None)
+    if own is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+
+
 def fit(rows: DataFrame, text: str, label: str, weight: str, settings: Settings = Settings()) -> TextModel:
-    """Learns from ``rows``: their ``label`` (0.0 or 1.0) and non-negative ``weight``, null as 0. Without rows all is as likely as not."""
-    own = sampled(rows.select(text, label, weight), label, text, settings.rows_each)
-    own = own.select(terms(F.col(text), settings.places).alias("terms"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w"))
-    features = staged(packed(own), "text-features")
-    spark, places = rows.sparkSession, settings.places
+    """Learns from all ``rows``: their ``label`` (0.0 or 1.0) and non-negative ``weight``, null as 0. Without rows all is as likely as not."""
+    with _small_batches(rows.sparkSession):
+        return _fitted(rows, text, label, weight, settings)
+
+
+def _fitted(rows: DataFrame, text: str, label: str, weight: str, settings: Settings) -> TextModel:
+    own = rows.select(terms(F.col(text), settings.places).alias("terms"), F.col(label).cast("double").alias("y"), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)).alias("w"))
+    counted = staged(packed(own), "text-counts")
+    spark, places, types = rows.sparkSession, settings.places, _types_weighed(settings.places)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(places + 1)
-        for y, _, _, place, _ in _unpacked(batches):
+        for y, _, _, place, _ in _unpacked(batches, _TYPES):
             out[:-1] += np.bincount(place, minlength=places)
             out[-1] += len(y)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["part"])
 
-    features = features.coalesce(settings.tasks)
-    sums = _summed(features.mapInArrow(frequencies, "part binary"))
+    sums = _summed(counted.coalesce(settings.tasks).mapInArrow(frequencies, "part binary"))
     n, df = int(sums[-1]), sums[:-1] if len(sums) > 1 else np.zeros(places)
-    features = features.coalesce(max(1, min(settings.tasks, -(-n // TASK_ROWS))))
     idf = np.where(df >= settings.least_df, np.log((1 + n) / (1 + df)) + 1, 0.0)
-    known = spark.sparkContext.broadcast(idf)
+    features = staged(weighed(counted, idf), "text-features").coalesce(max(1, min(settings.tasks, -(-n // TASK_ROWS))))
 
     def value_and_slope(x: np.ndarray) -> tuple[float, np.ndarray]:
         sent = spark.sparkContext.broadcast(x)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            idf, x = known.value, sent.value
+            x = sent.value
             out = np.zeros(places + 2)
-            for y, w, lengths, place, n in _unpacked(batches):
-                v, row = (1 + np.log(np.arange(1, n.max(initial=1) + 1)))[n - 1] * idf[place], np.repeat(np.arange(len(y)), lengths)
-                size = np.sqrt(np.bincount(row, v * v, len(y)))
-                v /= np.where(size > 0, size, 1)[row]
-                score = x[-1] + np.bincount(row, v * x[place], len(y))
+            for y, w, lengths, place, v in _unpacked(batches, types):
+                place, score, some = place.astype(np.intp), np.full(len(y), x[-1]), lengths > 0
+                if len(v):
+                    score[some] += np.add.reduceat(v * x[place], (np.cumsum(lengths) - lengths)[some])
                 gap = w * (1 / (1 + np.exp(-score)) - y)
-                out[:places] += np.bincount(place, v * gap[row], places)
+                out[:places] += np.bincount(place, v * np.repeat(gap, lengths), places)
                 out[places] += gap.sum()
                 out[-1] += float(w @ np.logaddexp(0, np.where(y == 1, -score, score)))
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["part"])
@@ -218,5 +268,4 @@ def fit(rows: DataFrame, text: str, label: str, weight: str, settings: Settings
         return settings.strength * float(loss) + float(pull @ pull) / 2, settings.strength * slope + pull
 
     x = minimised(value_and_slope, np.zeros(places + 1), settings.steps)
-    known.destroy()
     return TextModel(idf, x[:-1], float(x[-1]))

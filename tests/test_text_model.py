@@ -92,6 +92,14 @@ def test_only_a_labels_last_rows_are_ranked(spark):
     assert got.rdd.getNumPartitions() >= rows.rdd.getNumPartitions()
 
 
+def test_all_rows_are_learned_from(spark):
+    """120,000 rows of a label, of which 100 hold a word: its weight says of how many rows it is in."""
+    rows = spark.range(120_000).selectExpr("CASE WHEN id % 1200 = 7 THEN 'rare word' ELSE 'usual' END AS t", "1.0D AS y", "1.0D AS w")
+    model = fit(rows, "t", "y", "w", Settings(steps=0))
+    (place,) = spark.range(1).select(terms(q.F.lit("rare"), 1 << 16).alias("p")).first()["p"]
+    assert abs(model.idf[place] - (math.log(120_001 / 101) + 1)) < 1e-9
+
+
 def test_steps_read_counts_not_terms(spark):
     rows = spark.createDataFrame([([3, 1, 3], 1.0, 0.5), ([], 0.0, 0.0), ([2], 0.0, 1.0)], "terms array<int>, y double, w double").coalesce(1)
     (r,) = packed(rows).collect()
